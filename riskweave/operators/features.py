@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,6 +132,22 @@ def unpack_feature(features: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(F.try_parse_json(entry["value"]), "$", STORED_TYPES[kind])
 
 
+# Stored types of the simple features of an order.
+SIMPLE_TYPES = {
+    "item_count": "integer", "amount": "double", "amounts": "double_array",
+    "categories": "string_array", "created_at": "datetime", "order_time": "string",
+    "is_new_customer": "boolean", "is_high_value": "boolean",
+}
+
+
+def unpack_features(df: DataFrame, column: str, *keep: str,
+                    types: Mapping[str, str] | None = None) -> DataFrame:
+    """Typed columns of a stored list; the expected types default to the order features."""
+    wanted = types or SIMPLE_TYPES
+    return df.select(*keep, *[unpack_feature(F.col(column), n, t).alias(n)
+                              for n, t in wanted.items()])
+
+
 # What the value of each stored type must look like as JSON.
 _SHAPES = {
     "integer": "(BIGINT|DECIMAL.*|DOUBLE|FLOAT)",

@@ -133,7 +133,7 @@ def _profile_key() -> list[Column]:
             F.bit_xor(F.xxhash64(F.lit("b"), F.reverse("value"))).alias("print_b")]
 
 
-def direct_counts(shared: DataFrame) -> DataFrame:
+def direct_counts(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Per transaction: distinct (other, matcher) rows, without listing them.
 
     With one shared node per matcher the count is its size less one. With
@@ -141,6 +141,12 @@ def direct_counts(shared: DataFrame) -> DataFrame:
     looked into, leaving out whoever is in the largest too. That is done once
     per distinct set of nodes, not once per transaction.
     """
+    if roots is not None:
+        asked = roots.select("payload_number").distinct()
+        touched = shared.join(asked, "payload_number", "left_semi").select(*NODE).distinct()
+        near = direct_counts(shared.join(touched, NODE, "left_semi"))
+        return near.join(asked, "payload_number", "left_semi")
+
     profile = ["matcher", "node_count", "print_a", "print_b"]
     per_root = shared.groupBy("payload_number", "matcher").agg(
         *_profile_key(), F.max(F.struct("size", "value")).alias("largest"))

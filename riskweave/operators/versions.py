@@ -17,23 +17,28 @@ LABEL_TYPE = ("struct<fraud_level:string,fraud_category:string,label_source:stri
               "labeled_by:string,created_at:timestamp>")
 
 
-def import_versions(stored: DataFrame, batch: DataFrame, order: Sequence[Column | str],
-                    slice_by: Column, carried: Sequence[str] = ("label", "comment")) -> DataFrame:
-    """Stored rows and the batch as further versions.
+def next_versions(latest_rows: DataFrame, batch: DataFrame, order: Sequence[Column | str],
+                  slice_by: Column, carried: Sequence[str] = ("label", "comment")) -> DataFrame:
+    """Batch rows as versions after the latest stored ones.
 
-    ``stored`` has ``payload_number, transaction_version, is_latest`` and the
-    carried columns. Several imports of a payload in one batch are numbered in
-    ``order``; only the last is latest. ``slice_by`` is a coarse cut of that
-    order (see ``positions``).
+    Several imports of a payload in one batch are numbered in ``order``; only
+    the last is latest. ``slice_by`` is a coarse cut of that order (see
+    ``positions``).
     """
     fresh = [c for c in batch.columns if c not in carried]
     numbered = positions(batch.select(*fresh), ["payload_number"], list(order), slice_by)
-    base = stored.filter("is_latest").select(
+    base = latest_rows.select(
         "payload_number", F.col("transaction_version").alias("_base"), *carried)
-    imported = numbered.join(base, "payload_number", "left").select(
+    return numbered.join(base, "payload_number", "left").select(
         *fresh, *carried,
         (F.coalesce("_base", F.lit(0)) + F.col("position")).cast("int").alias("transaction_version"),
         (F.col("position") == F.col("total")).alias("is_latest"))
+
+
+def import_versions(stored: DataFrame, batch: DataFrame, order: Sequence[Column | str],
+                    slice_by: Column, carried: Sequence[str] = ("label", "comment")) -> DataFrame:
+    """Stored rows, those the batch replaces no longer latest, and the batch."""
+    imported = next_versions(latest(stored), batch, order, slice_by, carried)
     replaced = batch.select("payload_number").distinct().withColumn("_replaced", F.lit(True))
     kept = stored.join(replaced, "payload_number", "left").withColumn(
         "is_latest", F.col("is_latest") & F.col("_replaced").isNull()).drop("_replaced")
