@@ -2,8 +2,8 @@
 
 The text is read with Python's own expression grammar; each node of it maps to
 a Column. A rule that cannot be typed (bad syntax, unknown feature, mixed
-types) never triggers, and neither does one whose features are missing in a
-row. Integer division drops the fraction, values of different types are never
+types) never triggers, and neither does one that fails in a row, such as for a
+missing feature, whatever the rest of it says. Integer division drops the fraction, values of different types are never
 equal, and ``len`` works on lists and strings.
 """
 
@@ -91,12 +91,31 @@ _COMPARE = {
 }
 
 
+def _float_quotient(left: Column, right: Column) -> Column:
+    """Floating-point division, where dividing by zero is no error."""
+    by_zero = F.when(left > 0, F.lit(float("inf"))).when(
+        left < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    return F.when(right == 0, by_zero).otherwise(F.try_divide(left, right))
+
+
+def _number_test(lk: str, rk: str, left: Column, right: Column, test: Column) -> Column:
+    """A comparison that is false when either side is not a number."""
+    for kind, side in ((lk, left), (rk, right)):
+        if kind == FLOAT:
+            test = test & ~F.isnan(side)
+    return test
+
+
 class _Reader(ast.NodeVisitor):
-    """Maps an expression to (type, Column) and notes the features it uses."""
+    """Maps an expression to (type, Column).
+
+    ``needed`` are the values without which the rule is an error in a row:
+    missing features, integer overflow, integer division by zero.
+    """
 
     def __init__(self, features: dict):
         self.features = features
-        self.used: dict[str, Column] = {}
+        self.needed: list[Column] = []
 
     def generic_visit(self, node):
         raise RuleError(f"{type(node).__name__} is not part of the rule language")
@@ -110,7 +129,7 @@ class _Reader(ast.NodeVisitor):
         if node.id not in self.features:
             raise RuleError(f"unknown feature {node.id}")
         kind, column = self.features[node.id]
-        self.used[node.id] = column
+        self.needed.append(column)
         return kind, column
 
     def visit_Constant(self, node):
@@ -144,12 +163,15 @@ class _Reader(ast.NodeVisitor):
         kind = INT if lk == rk == INT else FLOAT
         left, right = left.cast(_SQL[kind]), right.cast(_SQL[kind])
         if isinstance(node.op, ast.Div):
-            quotient = F.try_divide(left, right)
-            return kind, F.try_divide(F.try_subtract(left, F.try_mod(left, right)),
-                                      right).cast("long") if kind == INT else quotient
-        if type(node.op) not in _ARITHMETIC:
+            result = _float_quotient(left, right) if kind == FLOAT else F.try_divide(
+                F.try_subtract(left, F.try_mod(left, right)), right).cast("long")
+        elif type(node.op) in _ARITHMETIC:
+            result = _ARITHMETIC[type(node.op)](left, right)
+        else:
             raise RuleError(f"operator {type(node.op).__name__}")
-        return kind, _ARITHMETIC[type(node.op)](left, right)
+        if kind == INT:
+            self.needed.append(result)
+        return kind, result
 
     def visit_Compare(self, node):
         if len(node.ops) != 1:
@@ -157,13 +179,13 @@ class _Reader(ast.NodeVisitor):
         (lk, left), (rk, right) = self.visit(node.left), self.visit(node.comparators[0])
         op = node.ops[0]
         if isinstance(op, (ast.Eq, ast.NotEq)):
-            same = left == right if lk == rk else F.lit(False)
+            same = _number_test(lk, rk, left, right, left == right) if lk == rk else F.lit(False)
             return BOOL, same if isinstance(op, ast.Eq) else ~same
         if type(op) not in _COMPARE:
             raise RuleError(f"operator {type(op).__name__}")
         if not (lk == rk == STRING or {lk, rk} <= {INT, FLOAT}):
             raise RuleError(f"comparison of {lk} and {rk}")
-        return BOOL, _COMPARE[type(op)](left, right)
+        return BOOL, _number_test(lk, rk, left, right, _COMPARE[type(op)](left, right))
 
     def visit_Call(self, node):
         if not isinstance(node.func, ast.Name) or node.func.id != "len" or len(node.args) != 1:
@@ -197,7 +219,7 @@ def compile_rule(rule: str, features: dict) -> Column:
     if kind != BOOL:
         raise RuleError(f"rule gives {kind}, not a boolean")
     present = F.lit(True)
-    for column in reader.used.values():
+    for column in reader.needed:
         present = present & column.isNotNull()
     return present & F.coalesce(value, F.lit(False))
 

@@ -114,5 +114,14 @@ def is_high_value(amount: Column) -> Column:
     return amount > HIGH_VALUE
 
 
-def rfc3339(ts: Column) -> Column:
-    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ssXXX")
+def rfc3339(ts: Column, zoned: bool = True) -> Column:
+    """UTC time in RFC 3339, with a fraction only where there is one.
+
+    ``zoned`` is False for times without zone, which are taken as UTC.
+    """
+    utc = F.to_utc_timestamp(ts, F.current_timezone()) if zoned else ts
+    fraction = F.date_format(utc, "SSSSSS")
+    shown = F.when(fraction == "000000", "").when(
+        fraction.endswith("000"), F.concat(F.lit("."), F.substring(fraction, 1, 3))).otherwise(
+        F.concat(F.lit("."), fraction))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), shown, F.lit("+00:00"))

@@ -63,7 +63,7 @@ def item_totals(transactions: DataFrame, items: DataFrame) -> DataFrame:
 
 def item_lists(items: DataFrame, order: list[str]) -> DataFrame:
     """amounts and categories per transaction, in item order."""
-    first = F.sort_array(F.collect_list(F.struct(*order, "price", "category")))
+    first = F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, "price", "category"]))))
     return items.groupBy("payload_number").agg(first.alias("rows")).select(
         "payload_number",
         F.transform("rows", lambda r: F.coalesce(r["price"], F.lit(0.0))).alias("amounts"),
@@ -102,7 +102,8 @@ def _stored(field: T.StructField) -> tuple[str, Column]:
     """(type name, JSON text) of a feature column."""
     kind, column = field.dataType, F.col(f"`{field.name}`")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return "datetime", F.concat(F.lit('"'), values.rfc3339(column.cast("timestamp")), F.lit('"'))
+        return "datetime", F.concat(F.lit('"'), values.rfc3339(
+            column, isinstance(kind, T.TimestampType)), F.lit('"'))
     if isinstance(kind, T.ArrayType):
         element, suffix, text = kind.elementType, "_array", F.to_json(column)
     else:

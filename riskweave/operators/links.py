@@ -175,3 +175,10 @@ def direct_counts(shared: DataFrame, roots: DataFrame | None = None) -> DataFram
         (F.col("largest.size") - 1 + F.coalesce("extra", F.lit(0))).alias("n"))
     return single.unionByName(multi).groupBy("payload_number").agg(
         F.sum("n").alias("direct_connection_count"))
+
+
+def direct_summary(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Per transaction: direct connection count, strongest confidence and importance."""
+    strongest = shared.groupBy("payload_number").agg(
+        F.max("confidence").alias("max_confidence"), F.max("importance").alias("max_importance"))
+    return direct_counts(shared, roots).join(strongest, "payload_number")

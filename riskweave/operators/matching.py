@@ -34,6 +34,11 @@ TIMESPACE = {
 }
 
 
+def _named(matcher: str):
+    return lambda value: F.struct(F.lit(matcher).alias("matcher"),
+                                  value.cast("string").alias("value"))
+
+
 def matching_fields(df: DataFrame, key: Column | str,
                     matchers: Sequence[tuple[str, Column]],
                     timespace: Mapping[str, Column] | None = None,
@@ -47,8 +52,7 @@ def matching_fields(df: DataFrame, key: Column | str,
     for name, column in matchers:
         is_array = isinstance(df.select(column.alias("c")).schema["c"].dataType, T.ArrayType)
         values = column if is_array else F.array(column.cast("string"))
-        arrays.append(F.transform(values, lambda v, n=name: F.struct(
-            F.lit(n).alias("matcher"), v.cast("string").alias("value"))))
+        arrays.append(F.transform(values, _named(name)))
     arrays = [F.coalesce(a, F.array().cast("array<struct<matcher:string,value:string>>"))
               for a in arrays]
     extras = [c.cast(TIMESPACE[n]).alias(n) for n, c in (timespace or {}).items()]

@@ -72,6 +72,14 @@ def _as_payload(rows: DataFrame) -> DataFrame:
         F.col("_metadata.file_modification_time").alias("arrived_at"))
 
 
+def parse_lines(rows: DataFrame, line: str) -> DataFrame:
+    """(payload, corrupt line) of a column of JSON lines, like ``read_orders``."""
+    parsed = rows.withColumn("_parsed", F.from_json(line, _READ_SCHEMA, _OPTIONS))
+    return parsed.select(
+        normalised(F.struct(*[F.col(f"_parsed.`{n}`") for n in ORDER_FIELDS])).alias("payload"),
+        F.col(f"_parsed.`{CORRUPT}`").alias(CORRUPT))
+
+
 def normalised(payload: Column) -> Column:
     """Enum members in their known spelling or the fallback of their set."""
 
