@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.matching import NODE
+from riskweave.session import cut_lineage
 
 HUB_SIZE = 1000
 
@@ -148,34 +149,36 @@ def direct_counts(shared: DataFrame, roots: DataFrame | None = None) -> DataFram
         return near.join(asked, "payload_number", "left_semi")
 
     profile = ["matcher", "node_count", "print_a", "print_b"]
-    per_root = shared.groupBy("payload_number", "matcher").agg(
-        *_profile_key(), F.max(F.struct("size", "value")).alias("largest"))
-
-    multi_matchers = per_root.filter("node_count > 1").select("matcher").distinct()
-    members = shared.join(multi_matchers, "matcher", "left_semi").select(
-        "payload_number", *NODE).join(per_root, ["payload_number", "matcher"])
-    profiles = members.groupBy(*profile, "value").agg(
-        F.count("payload_number").alias("weight"), F.any_value("largest").alias("largest"))
-
+    per_root = cut_lineage(shared.groupBy("payload_number", "matcher").agg(
+        *_profile_key(), F.max(F.struct("size", "value")).alias("largest")))
+    several = per_root.filter("node_count > 1")
+    counts = per_root.filter("node_count = 1").select(
+        "payload_number", (F.col("largest.size") - 1).alias("n"))
+    if not several.isEmpty():
+        counts = counts.unionByName(several.join(
+            _beyond_largest(shared, per_root, profile), profile, "left").select(
+            "payload_number",
+            (F.col("largest.size") - 1 + F.coalesce("extra", F.lit(0))).alias("n")))
+    return counts.groupBy("payload_number").agg(F.sum("n").alias("direct_connection_count"))
+
+
+def _beyond_largest(shared: DataFrame, per_root: DataFrame, profile: list[str]) -> DataFrame:
+    """Per set of nodes: partners that are not members of its largest node."""
+    matchers = per_root.filter("node_count > 1").select("matcher").distinct()
+    profiles = cut_lineage(shared.select("payload_number", *NODE).join(
+        per_root.join(matchers, "matcher", "left_semi"), ["payload_number", "matcher"]).groupBy(
+        *profile, "value").agg(F.count("payload_number").alias("weight"),
+                               F.any_value("largest").alias("largest")))
     mine = profiles.filter("node_count > 1 AND value <> largest.value").select(
         *profile, "value", F.col("largest.value").alias("covered"))
-    theirs = profiles.select("matcher", "value", "weight",
-                             F.struct(*profile[1:]).alias("other"))
+    theirs = profiles.select("matcher", "value", "weight", F.struct(*profile[1:]).alias("other"))
     partners = mine.join(theirs, NODE).groupBy(*profile, "covered", "other").agg(
         F.max("weight").alias("weight"))
     covered = profiles.select("matcher", F.col("value").alias("covered"),
                               F.struct(*profile[1:]).alias("other"))
-    extra = partners.join(covered, ["matcher", "covered", "other"], "left_anti").groupBy(
+    return partners.join(covered, ["matcher", "covered", "other"], "left_anti").groupBy(
         *profile).agg(F.sum("weight").alias("extra"))
 
-    single = per_root.filter("node_count = 1").select(
-        "payload_number", (F.col("largest.size") - 1).alias("n"))
-    multi = per_root.filter("node_count > 1").join(extra, profile, "left").select(
-        "payload_number",
-        (F.col("largest.size") - 1 + F.coalesce("extra", F.lit(0))).alias("n"))
-    return single.unionByName(multi).groupBy("payload_number").agg(
-        F.sum("n").alias("direct_connection_count"))
-
 
 def direct_summary(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Per transaction: direct connection count, strongest confidence and importance."""

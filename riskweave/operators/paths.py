@@ -19,6 +19,8 @@ Three facts keep this linear in the data however hot a value is, and exact:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,10 +108,8 @@ def _keep_best(state: DataFrame, limit: int) -> DataFrame:
     source = Window.partitionBy("src")
     ranked = best.withColumn("rank", F.rank().over(by_cost)).filter(
         F.col("rank") <= limit + 1).drop("rank")
-    return ranked.withColumns({
-        "full": F.count(F.lit(1)).over(source) > limit,
-        "worst": F.max("cost").over(source),
-    }).withColumn("worst", F.when(F.col("full"), F.col("worst")).otherwise(0))
+    return ranked.withColumn("worst", F.when(
+        F.count(F.lit(1)).over(source) > limit, F.max("cost").over(source)).otherwise(0))
 
 
 def _arrive(nodes: DataFrame, members: DataFrame, thin: DataFrame | None) -> DataFrame:
@@ -141,22 +141,31 @@ def _cross(frontier: DataFrame, members: DataFrame, thin: DataFrame | None, hop:
         F.col("node").alias("via"))
 
 
-def _source_lists(shared: DataFrame, max_depth: int, limit: int, min_confidence: int,
-                  roots: DataFrame | None, count_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, the ``limit + 1`` best partners of every node).
+def _sources(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members of the nodes to start from: all, or those with a root."""
+    if roots is None:
+        return members
+    asked = members.join(roots.select("payload_number").distinct(), "payload_number", "left_semi")
+    return members.join(asked.select("node").distinct(), "node", "left_semi")
 
-    To count, a source with a full list is finished, whatever better partners
-    it might still find.
-    """
+
+def _roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(root, src): the nodes whose lists a root merges."""
+    mine = members.select(F.col("payload_number").alias("root"), F.col("node").alias("src"))
+    if roots is None:
+        return mine
+    return mine.join(roots.select(F.col("payload_number").alias("root")).distinct(),
+                     "root", "left_semi")
+
+
+def _source_lists(shared: DataFrame, max_depth: int, limit: int, min_confidence: int,
+                  roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(members, the ``limit + 1`` best partners of every node)."""
     depth = max(max_depth, 1)
     members = _membership(shared, min(max(min_confidence, 0), 100))
     thin = _thin_hubs(members, limit, depth)
 
-    sources = members
-    if roots is not None:
-        asked = members.join(roots.select("payload_number").distinct(), "payload_number", "left_semi")
-        sources = members.join(asked.select("node").distinct(), "node", "left_semi")
-    start = sources.groupBy("node").agg(
+    start = _sources(members, roots).groupBy("node").agg(
         F.first("node_conf").alias("node_conf"), F.first("matcher").alias("matcher"))
     start = start.select("node", (-F.col("node_conf")).cast("int").alias("cost"), "matcher")
     state = cut_lineage(_keep_best(_arrive(start, members, thin).select(
@@ -164,10 +173,7 @@ def _source_lists(shared: DataFrame, max_depth: int, limit: int, min_confidence:
         F.array("matcher").alias("path"), F.col("node").alias("via")), limit))
 
     for hop in range(2, depth + 1):
-        frontier = state.filter(F.col("hops") == hop - 1)
-        if count_only:
-            frontier = frontier.filter("NOT full")
-        found = _cross(frontier, members, thin, hop)
+        found = _cross(state.filter(F.col("hops") == hop - 1), members, thin, hop)
         state = cut_lineage(_keep_best(state.select(*found.columns).unionByName(found), limit))
         if state.filter(F.col("hops") == hop).isEmpty():
             break
@@ -184,11 +190,7 @@ def connected_transactions(shared: DataFrame, max_depth: int = DEFAULT_DEPTH,
     ``min_confidence`` applies to each node that is crossed.
     """
     members, lists = _source_lists(shared, max_depth, limit, min_confidence, roots)
-    mine = members.select(F.col("payload_number").alias("root"), F.col("node").alias("src"))
-    if roots is not None:
-        mine = mine.join(roots.select(F.col("payload_number").alias("root")).distinct(),
-                         "root", "left_semi")
-    best = mine.join(lists, "src").filter("root <> payload_number").groupBy(
+    best = _roots(members, roots).join(lists, "src").filter("root <> payload_number").groupBy(
         "root", "payload_number").agg(F.min(F.struct("cost", "hops", "path")).alias("b")).select(
         "root", "payload_number", "b.*")
     kept = top_per_key(best, ["root"], [F.col("cost"), F.col("payload_number")], limit)
@@ -196,25 +198,56 @@ def connected_transactions(shared: DataFrame, max_depth: int = DEFAULT_DEPTH,
                        "hops", "path")
 
 
+def _settle(state: DataFrame, limit: int) -> DataFrame:
+    """Distinct partners per source; of a full source one row is left."""
+    source = Window.partitionBy("src")
+    best = state.repartition("src").groupBy("src", "payload_number").agg(
+        F.min(F.struct("hops", "via")).alias("b")).select("src", "payload_number", "b.*")
+    return best.withColumns({
+        "full": F.count(F.lit(1)).over(source) > limit,
+        "first": F.min("payload_number").over(source),
+    }).filter("NOT full OR payload_number = first").drop("first")
+
+
 def connected_counts(shared: DataFrame, max_depth: int = DEFAULT_DEPTH,
                      limit: int = DEFAULT_LIMIT, min_confidence: int = 0,
                      roots: DataFrame | None = None) -> DataFrame:
     """Number of connected transactions per root, after the limit.
 
-    A root with one full list has ``limit`` partners; only the lists of the
-    others are merged to count distinct partners.
+    Confidence plays no part in a count, and a source with more than ``limit``
+    partners is finished: every root in it has ``limit``. So a node of more
+    than ``limit + 1`` members needs no more of them than that, and only the
+    lists of unfinished sources are merged.
     """
-    members, lists = _source_lists(shared, max_depth, limit, min_confidence, roots,
-                                   count_only=True)
-    lists = cut_lineage(lists.select("src", "payload_number"))
-    full = lists.groupBy("src").agg((F.count("payload_number") > limit).alias("full"))
-    mine = members.select(F.col("payload_number").alias("root"), F.col("node").alias("src"))
-    if roots is not None:
-        mine = mine.join(roots.select(F.col("payload_number").alias("root")).distinct(),
-                         "root", "left_semi")
-    mine = mine.join(full, "src")
-    done = mine.filter("full").select("root").distinct()
-    rest = mine.join(done, "root", "left_anti").join(lists, "src").filter(
+    members = _membership(shared, min(max(min_confidence, 0), 100))
+    small, large = (members.filter(test).select("node", "payload_number")
+                    for test in (F.col("size") <= limit + 1, F.col("size") > limit + 1))
+    if not large.isEmpty():
+        small = cut_lineage(small.unionByName(
+            top_per_key(large, ["node"], [F.col("payload_number")], limit + 1)))
+    stations = members.select("payload_number", F.col("node").alias("next"))
+
+    start = _sources(members, roots).select(F.col("node").alias("src")).distinct()
+    state = cut_lineage(_settle(start.join(
+        small.withColumn("src", F.col("node")), "src").select(
+        "src", "payload_number", F.lit(1).alias("hops"), F.col("node").alias("via")), limit))
+    finished = [state.filter("full").select("src")]
+    for hop in range(2, max(max_depth, 1) + 1):
+        open_state = state.filter("NOT full").drop("full")
+        nodes = open_state.filter(F.col("hops") == hop - 1).join(
+            stations, "payload_number").filter("next <> via").select(
+            "src", F.col("next").alias("node")).distinct()
+        found = nodes.join(small, "node").select(
+            "src", "payload_number", F.lit(hop).alias("hops"), F.col("node").alias("via"))
+        state = cut_lineage(_settle(open_state.unionByName(found), limit))
+        finished.append(state.filter("full").select("src"))
+        if state.filter((F.col("hops") == hop) & ~F.col("full")).isEmpty():
+            break
+
+    mine = _roots(members, roots)
+    done = mine.join(reduce(DataFrame.unionByName, finished), "src", "left_semi").select("root").distinct()
+    rest = mine.join(done, "root", "left_anti").join(
+        state.filter("NOT full").select("src", "payload_number"), "src").filter(
         "root <> payload_number").groupBy("root").agg(
         F.least(F.count_distinct("payload_number"), F.lit(limit)).alias("n"))
     return done.withColumn("n", F.lit(limit).cast("long")).unionByName(rest).select(

@@ -11,6 +11,7 @@ from riskweave.operators.features import combine_features, graph_features
 from riskweave.operators.links import direct_counts
 from riskweave.operators.paths import DEFAULT_DEPTH, DEFAULT_LIMIT, connected_counts, connected_transactions
 from riskweave.operators.scoring import Channel, score_channels
+from riskweave.session import cut_lineage
 
 MIN_CONFIDENCE = 50
 
@@ -26,7 +27,8 @@ def graph_features_of(ids: DataFrame, shared: DataFrame, everything: bool = Fals
     joins that narrow the graph to them.
     """
     asked = ids.select("payload_number")
-    roots = None if everything else asked
+    roots = None if everything else cut_lineage(asked.distinct())
+    shared = cut_lineage(shared)
     return graph_features(
         asked, connected_counts(shared, max_depth, limit, min_confidence, roots),
         direct_counts(shared, roots))
@@ -46,7 +48,7 @@ def process(simple: DataFrame, shared: DataFrame, channels: Sequence[Channel],
 def recalculate(ids: DataFrame, stored_simple: DataFrame, shared: DataFrame,
                 channels: Sequence[Channel], **search) -> tuple[DataFrame, DataFrame]:
     """Graph features and scores anew; simple features are the stored ones."""
-    asked = ids.select("payload_number").distinct()
+    asked = cut_lineage(ids.select("payload_number").distinct())
     return process(stored_simple.join(asked, "payload_number", "left_semi"), shared, channels, **search)
 
 
