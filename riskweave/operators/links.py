@@ -29,13 +29,17 @@ def _strongest(df: DataFrame) -> DataFrame:
     return best.select(*LINK, "best.confidence", "best.importance")
 
 
-def _hub_attributes(pairs: DataFrame, shared: DataFrame, hub_size: int) -> DataFrame:
-    """Attributes that given pairs share through hubs."""
+def _with_hub_attributes(links: DataFrame, pairs: DataFrame, shared: DataFrame,
+                         hub_size: int) -> DataFrame:
+    """Links plus the attributes that the given pairs share through hubs."""
     hubs = shared.filter(F.col("size") > hub_size)
+    if hubs.isEmpty():
+        return links
     left = hubs.select(F.col("payload_number").alias("a_id"), *NODE, "confidence", "importance")
     right = hubs.select(F.col("payload_number").alias("b_id"), *NODE)
-    return pairs.select("a_id", "b_id").distinct().join(left, "a_id").join(
+    through_hubs = pairs.select("a_id", "b_id").distinct().join(left, "a_id").join(
         right, ["b_id", *NODE], "left_semi").select(*LINK, "confidence", "importance")
+    return _strongest(links.unionByName(through_hubs))
 
 
 def pair_links(shared: DataFrame, hub_size: int = HUB_SIZE) -> DataFrame:
@@ -45,7 +49,7 @@ def pair_links(shared: DataFrame, hub_size: int = HUB_SIZE) -> DataFrame:
     right = small.select(F.col("payload_number").alias("b_id"), *NODE)
     pairs = left.join(right, NODE).filter("a_id < b_id").select(*LINK, "confidence", "importance")
     found = _strongest(pairs)
-    return _strongest(found.unionByName(_hub_attributes(found, shared, hub_size)))
+    return _with_hub_attributes(found, found, shared, hub_size)
 
 
 def star_links(shared: DataFrame, hub_size: int = HUB_SIZE) -> DataFrame:
@@ -73,7 +77,7 @@ def refresh_links(stored: DataFrame, shared: DataFrame, batch_ids: DataFrame,
     ids = batch.withColumnRenamed("payload_number", "a_id")
     touched = links.join(ids, "a_id", "left_semi").unionByName(
         links.join(ids.withColumnRenamed("a_id", "b_id"), "b_id", "left_semi"))
-    return _strongest(links.unionByName(_hub_attributes(touched, shared, hub_size)))
+    return _with_hub_attributes(links, touched, shared, hub_size)
 
 
 def pair_edges(links: DataFrame) -> DataFrame:

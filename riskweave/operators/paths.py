@@ -92,8 +92,10 @@ def _thin_hubs(members: DataFrame, limit: int, depth: int) -> DataFrame | None:
     free = members.filter("node_conf = 100").select(
         F.col("node").alias("next"), "payload_number").join(
         _lossless_lowest(members, max(depth - 2, 0)).withColumnRenamed("node", "next"), "next")
+    # members that lead to the same next node serve the same purpose
     steps = hubs.join(bound, "node").join(free, "payload_number").filter(
-        "next <> node AND label < bound").select("node", "payload_number").distinct()
+        "next <> node AND label < bound").groupBy("node", "next").agg(
+        F.min("payload_number").alias("payload_number")).select("node", "payload_number")
     needed = first.select("node", "payload_number").unionByName(steps).distinct()
     thinned = hubs.join(needed, ["node", "payload_number"], "left_semi")
     return cut_lineage(members.filter(F.col("size") <= limit + 1).unionByName(thinned))

@@ -1,7 +1,7 @@
 """Graph tree: fewest-hop tree around given roots.
 
-The search is breadth first over members and nodes. A node is crossed once per
-root, so a hot value costs its members once and no pairs are built.
+The search is breadth first over members and nodes. A node is crossed in two
+rounds at most, so a hot value costs its members twice and no pairs are built.
 """
 
 from __future__ import annotations
@@ -30,19 +30,16 @@ def graph_tree(shared: DataFrame, roots: DataFrame, max_depth: int | None = None
         F.array("root").alias("path_nodes"),
         F.array().cast("array<string>").alias("path_attributes"))
     level = cut_lineage(level)
-    levels, crossed, depth = [level], None, 0
+    levels, depth = [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         at_nodes = level.select("root", "payload_number").join(members, "payload_number").groupBy(
             "root", *NODE).agg(F.min("payload_number").alias("parent"),
                                F.first("confidence").alias("confidence"))
-        if crossed is not None:
-            at_nodes = at_nodes.join(crossed, ["root", *NODE], "left_anti")
-        at_nodes = cut_lineage(at_nodes)
-        # a node crossed for the first time has members of this level and the next only
+        # whoever shares a node with this level is in the one before, this or the next
+        seen = reduce(DataFrame.unionByName, levels[-2:]).select("root", "payload_number")
         best = at_nodes.join(members.drop("confidence"), NODE).join(
-            level.select("root", "payload_number"), ["root", "payload_number"], "left_anti").groupBy(
-            "root", "payload_number").agg(
+            seen, ["root", "payload_number"], "left_anti").groupBy("root", "payload_number").agg(
             F.min(F.struct("parent", (-F.col("confidence")).alias("rank"), "matcher")).alias("b"))
         parents = level.select("root", F.col("payload_number").alias("parent"),
                                "path_nodes", "path_attributes")
@@ -55,5 +52,4 @@ def graph_tree(shared: DataFrame, roots: DataFrame, max_depth: int | None = None
         if level.isEmpty():
             break
         levels.append(level)
-        crossed = at_nodes.select("root", *NODE)
     return reduce(DataFrame.unionByName, levels)

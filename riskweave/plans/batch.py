@@ -24,11 +24,11 @@ def graph_features_of(ids: DataFrame, shared: DataFrame, everything: bool = Fals
     """Graph features of the given transactions.
 
     ``everything`` says that ``ids`` are all transactions, which saves the
-    joins that narrow the graph to them.
+    joins that narrow the graph to them. ``shared`` is read several times, so
+    pass a written table or the result of ``cut_lineage``.
     """
     asked = ids.select("payload_number")
     roots = None if everything else cut_lineage(asked.distinct())
-    shared = cut_lineage(shared)
     return graph_features(
         asked, connected_counts(shared, max_depth, limit, min_confidence, roots),
         direct_counts(shared, roots))

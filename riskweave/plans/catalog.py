@@ -17,6 +17,7 @@ from riskweave.operators import (features, links, matching, monitor, paths, scor
 from riskweave.operators.ordering import positions
 from riskweave.operators.scoring import Channel, Rule
 from riskweave.plans import batch as plans
+from riskweave.session import cut_lineage
 from riskweave.sources import order_json
 from riskweave.sources.tables import MATCHER_CONFIG, Tables
 
@@ -49,8 +50,10 @@ def _members(t: Tables) -> DataFrame:
 
 
 def _shared(t: Tables) -> DataFrame:
+    """Shared members, written once because every query reads them several times."""
     members = _members(t)
-    return matching.shared_members(members, matching.match_nodes(members, MATCHER_CONFIG))
+    return cut_lineage(matching.shared_members(
+        members, matching.match_nodes(members, MATCHER_CONFIG)))
 
 
 def _money(column: Column) -> Column:

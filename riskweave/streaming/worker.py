@@ -48,7 +48,7 @@ class Worker:
         imported = cut_lineage(self._import(spark, good, run))
         new = imported.filter("is_latest")
         self._link(spark, new, run)
-        shared = self.shared_members(spark, run + 1)
+        shared = cut_lineage(self.shared_members(spark, run + 1))
 
         simple = self.domain.simple_features(new)
         scored, events = plans.process(simple, shared, self.channels, **self.search)
