@@ -14,12 +14,14 @@ Three facts keep this linear in the data however hot a value is, and exact:
 * A node with more than ``limit + 1`` members fills the list of whoever gets
   there. Of its members only the first ``limit + 1`` are needed as partners,
   and as stepping stones only those that lead on without loss (confidence 100)
-  to a smaller payload number than the last of these.
+  to a smaller payload number than the last of these. Likewise a transaction
+  in more than ``limit + 1`` nodes needs only those of its first partners.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,16 +84,24 @@ def _lossless_lowest(members: DataFrame, rounds: int) -> DataFrame:
     return label
 
 
-def _thin_hubs(members: DataFrame, limit: int, depth: int) -> DataFrame | None:
-    """Members a search with confidence above 0 needs, or None for all."""
+def _busy(members: DataFrame, limit: int) -> DataFrame:
+    """Transactions in more than ``limit + 1`` nodes."""
+    return cut_lineage(members.groupBy("payload_number").agg(F.count("node").alias("n")).filter(
+        F.col("n") > limit + 1).select("payload_number"))
+
+
+def _free_steps(members: DataFrame, depth: int) -> DataFrame:
+    """(payload_number, next, label): lossless nodes a transaction is in."""
+    return cut_lineage(members.filter("node_conf = 100").select(
+        F.col("node").alias("next"), "payload_number").join(
+        _lossless_lowest(members, max(depth - 2, 0)).withColumnRenamed("node", "next"), "next"))
+
+
+def _thin_hubs(members: DataFrame, free: DataFrame, limit: int) -> DataFrame:
+    """Members to go to from a node, at a confidence above 0."""
     hubs = members.filter(F.col("size") > limit + 1)
-    if hubs.isEmpty():
-        return None
     first = cut_lineage(top_per_key(hubs, ["node"], [F.col("payload_number")], limit + 1))
     bound = first.groupBy("node").agg(F.max("payload_number").alias("bound"))
-    free = members.filter("node_conf = 100").select(
-        F.col("node").alias("next"), "payload_number").join(
-        _lossless_lowest(members, max(depth - 2, 0)).withColumnRenamed("node", "next"), "next")
     # members that lead to the same next node serve the same purpose
     steps = hubs.join(bound, "node").join(free, "payload_number").filter(
         "next <> node AND label < bound").groupBy("node", "next").agg(
@@ -101,6 +111,55 @@ def _thin_hubs(members: DataFrame, limit: int, depth: int) -> DataFrame | None:
     return cut_lineage(members.filter(F.col("size") <= limit + 1).unionByName(thinned))
 
 
+def _thin_busy(members: DataFrame, busy: DataFrame, limit: int, by: list[str],
+               free: DataFrame | None = None) -> DataFrame:
+    """Nodes to go to from a transaction, at a confidence above 0.
+
+    Nodes that agree in ``by`` give the same confidence, so of those of a busy
+    transaction its first ``limit + 1`` partners need one node each.
+    """
+    mine = members.join(busy, "payload_number", "left_semi").select(
+        F.col("payload_number").alias("busy"), "node", *by)
+    partners = mine.join(members.select("node", "payload_number"), "node").filter(
+        "busy <> payload_number").groupBy("busy", *by, "payload_number").agg(
+        F.min("node").alias("node"))
+    partners = cut_lineage(partners)
+    first = top_per_key(partners, ["busy", *by], [F.col("payload_number")], limit + 1)
+    needed = first.select("busy", "node")
+    if free is not None:
+        bound = first.groupBy("busy", *by).agg(F.max("payload_number").alias("bound"))
+        needed = needed.unionByName(partners.join(bound, ["busy", *by]).join(
+            free, "payload_number").filter("next <> node AND label < bound").groupBy(
+            "busy", *by, "next").agg(F.min("node").alias("node")).select("busy", "node"))
+    needed = needed.withColumnRenamed("busy", "payload_number").distinct()
+    return cut_lineage(members.join(busy, "payload_number", "left_anti").unionByName(
+        members.join(needed, ["payload_number", "node"], "left_semi").select(*members.columns)))
+
+
+class _Graph(NamedTuple):
+    """All members, and those a search with a confidence above 0 needs: to
+    leave a node (``exits``) and to leave a transaction (``stations``)."""
+
+    members: DataFrame
+    exits: DataFrame
+    stations: DataFrame
+    lowest_conf: int = 0
+
+
+def _search_graph(members: DataFrame, limit: int, depth: int) -> _Graph:
+    busy = _busy(members, limit)
+    has_hubs = not members.filter(F.col("size") > limit + 1).isEmpty()
+    has_busy = not busy.isEmpty()
+    if not (has_hubs or has_busy):
+        return _Graph(members, members, members)
+    free = _free_steps(members, depth)
+    return _Graph(
+        members,
+        _thin_hubs(members, free, limit) if has_hubs else members,
+        _thin_busy(members, busy, limit, ["matcher", "node_conf"], free) if has_busy else members,
+        members.agg(F.min("node_conf")).first()[0] or 0)
+
+
 def _keep_best(state: DataFrame, limit: int) -> DataFrame:
     """Best entry per (src, partner); drop what the list of a source cannot hold."""
     best = state.repartition("src").groupBy("src", "payload_number").agg(
@@ -114,31 +173,41 @@ def _keep_best(state: DataFrame, limit: int) -> DataFrame:
         F.count(F.lit(1)).over(source) > limit, F.max("cost").over(source)).otherwise(0))
 
 
-def _arrive(nodes: DataFrame, members: DataFrame, thin: DataFrame | None) -> DataFrame:
+def _arrive(nodes: DataFrame, graph: _Graph) -> DataFrame:
     """Members of reached nodes. At confidence 0 every node is lossless, so
     there nothing may be thinned."""
-    pairs = members.select("node", "payload_number")
-    if thin is None:
-        return nodes.join(pairs, "node")
-    return nodes.filter("cost < 0").join(thin.select("node", "payload_number"), "node").unionByName(
-        nodes.filter("cost = 0").join(pairs, "node"))
+    everyone = graph.members.select("node", "payload_number")
+    if graph.exits is graph.members:
+        return nodes.join(everyone, "node")
+    exits = graph.exits.select("node", "payload_number")
+    return nodes.filter("cost < 0").join(exits, "node").unionByName(
+        nodes.filter("cost = 0").join(everyone, "node"))
 
 
-def _cross(frontier: DataFrame, members: DataFrame, thin: DataFrame | None, hop: int) -> DataFrame:
-    """One hop: partners -> nodes they are in -> members of these nodes.
+def _enter(frontier: DataFrame, stations: DataFrame) -> DataFrame:
+    """Nodes of reached partners, other than those they were reached through.
 
     ``cost`` is the negated confidence, so that the minimum is the best.
     """
-    stations = members.select("payload_number", F.col("node").alias("next"),
-                              "matcher", "node_conf")
-    reached = frontier.join(stations, "payload_number").filter("next <> via").select(
+    ways = stations.select("payload_number", F.col("node").alias("next"), "matcher", "node_conf")
+    return frontier.join(ways, "payload_number").filter("next <> via").select(
         "src", "worst", F.col("next").alias("node"),
         (-F.floor(-F.col("cost") * F.col("node_conf") / 100)).cast("int").alias("cost"),
         F.concat("path", F.array("matcher")).alias("path"),
     ).filter("cost <= worst")
+
+
+def _cross(frontier: DataFrame, graph: _Graph, hop: int) -> DataFrame:
+    """One hop: partners -> nodes they are in -> members of these nodes."""
+    if graph.stations is graph.members:
+        reached = _enter(frontier, graph.members)
+    else:
+        reached = _enter(frontier, graph.stations).filter("cost < 0").unionByName(
+            _enter(frontier.filter((F.col("worst") == 0) & (-F.col("cost") * graph.lowest_conf < 100)),
+                   graph.members).filter("cost = 0"))
     nodes = reached.groupBy("src", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select(
         "src", "node", "b.cost", "b.path")
-    return _arrive(nodes, members, thin).select(
+    return _arrive(nodes, graph).select(
         "src", "payload_number", "cost", F.lit(hop).alias("hops"), "path",
         F.col("node").alias("via"))
 
@@ -165,17 +234,17 @@ def _source_lists(shared: DataFrame, max_depth: int, limit: int, min_confidence:
     """(members, the ``limit + 1`` best partners of every node)."""
     depth = max(max_depth, 1)
     members = _membership(shared, min(max(min_confidence, 0), 100))
-    thin = _thin_hubs(members, limit, depth)
+    graph = _search_graph(members, limit, depth)
 
     start = _sources(members, roots).groupBy("node").agg(
         F.first("node_conf").alias("node_conf"), F.first("matcher").alias("matcher"))
     start = start.select("node", (-F.col("node_conf")).cast("int").alias("cost"), "matcher")
-    state = cut_lineage(_keep_best(_arrive(start, members, thin).select(
+    state = cut_lineage(_keep_best(_arrive(start, graph).select(
         F.col("node").alias("src"), "payload_number", "cost", F.lit(1).alias("hops"),
         F.array("matcher").alias("path"), F.col("node").alias("via")), limit))
 
     for hop in range(2, depth + 1):
-        found = _cross(state.filter(F.col("hops") == hop - 1), members, thin, hop)
+        found = _cross(state.filter(F.col("hops") == hop - 1), graph, hop)
         state = cut_lineage(_keep_best(state.select(*found.columns).unionByName(found), limit))
         if state.filter(F.col("hops") == hop).isEmpty():
             break
@@ -227,7 +296,9 @@ def connected_counts(shared: DataFrame, max_depth: int = DEFAULT_DEPTH,
     if not large.isEmpty():
         small = cut_lineage(small.unionByName(
             top_per_key(large, ["node"], [F.col("payload_number")], limit + 1)))
-    stations = members.select("payload_number", F.col("node").alias("next"))
+    busy = _busy(members, limit)
+    stations = (members if busy.isEmpty() else _thin_busy(members, busy, limit, [])).select(
+        "payload_number", F.col("node").alias("next"))
 
     start = _sources(members, roots).select(F.col("node").alias("src")).distinct()
     state = cut_lineage(_settle(start.join(

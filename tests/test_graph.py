@@ -103,6 +103,17 @@ def test_hot_node_keeps_the_smallest_partners(spark):
         "a", "p000", "p001", "p002", "p003"}
 
 
+def test_busy_transaction_keeps_the_smallest_partners(spark):
+    nodes = [("item", f"i{i:03d}", 90, 1, ["busy", f"p{i:03d}"]) for i in range(40)]
+    nodes += [("start", "s", 80, 1, ["busy", "root"]), ("free", "f", 100, 1, ["p039", "a"]),
+              ("low", "l", 60, 1, ["busy", "b"])]
+    found = connected(spark, nodes, "root", depth=3, limit=5)
+    assert {k: v[0] for k, v in found.items()} == {"busy": 80, "a": 72, "p000": 72, "p001": 72, "p002": 72}
+    roots = spark.createDataFrame([("root",)], "payload_number string")
+    counts = paths.connected_counts(shared_of(spark, nodes), 3, 5, 0, roots).collect()
+    assert [r.connected_transaction_count for r in counts] == [5]
+
+
 DIRECT = [("email", "e", 90, 80, "12"), ("phone", "p", 85, 75, "13")]
 
 
