@@ -12,10 +12,10 @@ Three facts keep this linear in the data however hot a value is, and exact:
 * Confidence never rises along a path. Once a source has ``limit + 1``
   partners, whatever is weaker than the weakest of them is dropped; ties stay.
 * A node with more than ``limit + 1`` members fills the list of whoever gets
-  there. Of its members only the first ``limit + 1`` are needed as partners,
-  and as stepping stones only those that lead on without loss (confidence 100)
-  to a smaller payload number than the last of these. Likewise a transaction
-  in more than ``limit + 1`` nodes needs only those of its first partners.
+  there. The search ends in such a hub: what counts behind it are the first
+  payload numbers it holds or leads to without loss (confidence 100), which are
+  worked out once per hub. A transaction in more than ``limit + 1`` nodes needs
+  only those of its first partners and those that lead on without loss.
 """
 
 from __future__ import annotations
@@ -97,18 +97,51 @@ def _free_steps(members: DataFrame, depth: int) -> DataFrame:
         _lossless_lowest(members, max(depth - 2, 0)).withColumnRenamed("node", "next"), "next"))
 
 
-def _thin_hubs(members: DataFrame, free: DataFrame, limit: int) -> DataFrame:
-    """Members to go to from a node, at a confidence above 0."""
-    hubs = members.filter(F.col("size") > limit + 1)
-    first = cut_lineage(top_per_key(hubs, ["node"], [F.col("payload_number")], limit + 1))
-    bound = first.groupBy("node").agg(F.max("payload_number").alias("bound"))
-    # members that lead to the same next node serve the same purpose
-    steps = hubs.join(bound, "node").join(free, "payload_number").filter(
-        "next <> node AND label < bound").groupBy("node", "next").agg(
-        F.min("payload_number").alias("payload_number")).select("node", "payload_number")
-    needed = first.select("node", "payload_number").unionByName(steps).distinct()
-    thinned = hubs.join(needed, ["node", "payload_number"], "left_semi")
-    return cut_lineage(members.filter(F.col("size") <= limit + 1).unionByName(thinned))
+def _nearest(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The ``limit + 1`` lowest payload numbers per key, each with its fewest hops."""
+    best = rows.groupBy(*keys, "payload_number").agg(
+        F.min(F.struct("hops", "suffix")).alias("b")).select(*keys, "payload_number", "b.*")
+    return top_per_key(best, keys, [F.col("payload_number")], limit + 1)
+
+
+def _hub_lists(members: DataFrame, limit: int, depth: int) -> DataFrame:
+    """What a source finds in a hub, per number of hops it has left.
+
+    (node, within, payload_number, hops, suffix): the ``limit + 1`` lowest
+    payload numbers that are in the hub or that it leads to without loss. They
+    fill the list of whoever gets to the hub, so a search ends there.
+    """
+    hubs = members.filter(F.col("size") > limit + 1).select("node", "payload_number")
+    free = members.filter("node_conf = 100").select("node", "payload_number", "matcher")
+    own = cut_lineage(_nearest(hubs.unionByName(free.drop("matcher")).distinct().select(
+        "node", "payload_number", F.lit(1).alias("hops"),
+        F.array().cast("array<string>").alias("suffix")), ["node"], limit))
+    hub_ids = hubs.select("node").distinct()
+    free_ids = free.select("node").distinct()
+    places = cut_lineage(hubs.unionByName(free.drop("matcher")).distinct())
+    lists, reached = [], own
+    for within in range(1, depth + 1):
+        lists.append(reached.join(hub_ids, "node", "left_semi").withColumn("within", F.lit(within)))
+        if within == depth:
+            break
+        onward = _nearest(free.withColumnRenamed("payload_number", "step").join(
+            reached, "node").select(
+            "step", "payload_number", (F.col("hops") + 1).alias("hops"),
+            F.concat(F.array("matcher"), "suffix").alias("suffix")), ["step"], limit)
+        found = places.withColumnRenamed("payload_number", "step").join(onward, "step").drop("step")
+        further = cut_lineage(_nearest(own.unionByName(found.select(*own.columns)), ["node"], limit))
+        settled = further.join(free_ids, "node", "left_semi").select(
+            "node", "payload_number", "hops").exceptAll(
+            reached.join(free_ids, "node", "left_semi").select(
+                "node", "payload_number", "hops")).isEmpty()
+        reached = further
+        if settled:
+            # the lists of free nodes no longer change, so those of hubs will not
+            last = reached.join(hub_ids, "node", "left_semi").withColumn(
+                "within", F.explode(F.sequence(F.lit(within + 1), F.lit(depth))))
+            lists.append(last)
+            break
+    return cut_lineage(reduce(DataFrame.unionByName, lists))
 
 
 def _thin_busy(members: DataFrame, busy: DataFrame, limit: int, by: list[str],
@@ -137,51 +170,66 @@ def _thin_busy(members: DataFrame, busy: DataFrame, limit: int, by: list[str],
 
 
 class _Graph(NamedTuple):
-    """All members, and those a search with a confidence above 0 needs: to
-    leave a node (``exits``) and to leave a transaction (``stations``)."""
+    """All members; what hubs lead to, or None without hubs; the nodes to go to
+    from a transaction at a confidence above 0."""
 
     members: DataFrame
-    exits: DataFrame
+    hub_lists: DataFrame | None
     stations: DataFrame
+    limit: int
+    depth: int
     lowest_conf: int = 0
 
 
 def _search_graph(members: DataFrame, limit: int, depth: int) -> _Graph:
     busy = _busy(members, limit)
     has_hubs = not members.filter(F.col("size") > limit + 1).isEmpty()
-    has_busy = not busy.isEmpty()
-    if not (has_hubs or has_busy):
-        return _Graph(members, members, members)
-    free = _free_steps(members, depth)
+    hub_lists = _hub_lists(members, limit, depth) if has_hubs else None
+    if busy.isEmpty():
+        return _Graph(members, hub_lists, members, limit, depth)
     return _Graph(
-        members,
-        _thin_hubs(members, free, limit) if has_hubs else members,
-        _thin_busy(members, busy, limit, ["matcher", "node_conf"], free) if has_busy else members,
-        members.agg(F.min("node_conf")).first()[0] or 0)
+        members, hub_lists,
+        _thin_busy(members, busy, limit, ["matcher", "node_conf"], _free_steps(members, depth)),
+        limit, depth, members.agg(F.min("node_conf")).first()[0] or 0)
 
 
 def _keep_best(state: DataFrame, limit: int) -> DataFrame:
     """Best entry per (src, partner); drop what the list of a source cannot hold."""
     best = state.repartition("src").groupBy("src", "payload_number").agg(
-        F.min(F.struct("cost", "hops", "path", "via")).alias("b")).select(
+        F.min(F.struct("cost", "hops", "path", "via", "done")).alias("b")).select(
         "src", "payload_number", "b.*")
     by_cost = Window.partitionBy("src").orderBy("cost")
     source = Window.partitionBy("src")
-    ranked = best.withColumn("rank", F.rank().over(by_cost)).filter(
-        F.col("rank") <= limit + 1).drop("rank")
+    in_list = Window.partitionBy("src").orderBy("cost", "payload_number")
+    # ties may still lead on, unless the search ended there
+    ranked = best.withColumns({
+        "rank": F.rank().over(by_cost), "position": F.row_number().over(in_list),
+    }).filter((F.col("rank") <= limit + 1) & (~F.col("done") | (F.col("position") <= limit + 1))).drop(
+        "rank", "position")
     return ranked.withColumn("worst", F.when(
         F.count(F.lit(1)).over(source) > limit, F.max("cost").over(source)).otherwise(0))
 
 
-def _arrive(nodes: DataFrame, graph: _Graph) -> DataFrame:
-    """Members of reached nodes. At confidence 0 every node is lossless, so
-    there nothing may be thinned."""
-    everyone = graph.members.select("node", "payload_number")
-    if graph.exits is graph.members:
-        return nodes.join(everyone, "node")
-    exits = graph.exits.select("node", "payload_number")
-    return nodes.filter("cost < 0").join(exits, "node").unionByName(
-        nodes.filter("cost = 0").join(everyone, "node"))
+def _arrive(nodes: DataFrame, graph: _Graph, hop: int) -> DataFrame:
+    """Partners found in reached nodes (src, node, cost, path, size).
+
+    At confidence 0 every node is lossless, so there the search never ends in
+    a hub.
+    """
+    pairs = graph.members.select("node", "payload_number")
+    ends = (F.col("size") > graph.limit + 1) & (F.col("cost") < 0)
+    through = nodes if graph.hub_lists is None else nodes.filter(~ends)
+    found = through.join(pairs, "node").select(
+        "src", "payload_number", "cost", F.lit(hop).alias("hops"), "path",
+        F.col("node").alias("via"), F.lit(False).alias("done"))
+    if graph.hub_lists is None:
+        return found
+    lists = graph.hub_lists.filter(F.col("within") == graph.depth - hop + 1)
+    ended = nodes.filter(ends).join(lists, "node").select(
+        "src", "payload_number", "cost", (F.col("hops") + hop - 1).alias("hops"),
+        F.concat("path", "suffix").alias("path"), F.col("node").alias("via"),
+        F.lit(True).alias("done"))
+    return found.unionByName(ended)
 
 
 def _enter(frontier: DataFrame, stations: DataFrame) -> DataFrame:
@@ -189,9 +237,10 @@ def _enter(frontier: DataFrame, stations: DataFrame) -> DataFrame:
 
     ``cost`` is the negated confidence, so that the minimum is the best.
     """
-    ways = stations.select("payload_number", F.col("node").alias("next"), "matcher", "node_conf")
+    ways = stations.select("payload_number", F.col("node").alias("next"), "matcher",
+                           "node_conf", "size")
     return frontier.join(ways, "payload_number").filter("next <> via").select(
-        "src", "worst", F.col("next").alias("node"),
+        "src", "worst", F.col("next").alias("node"), "size",
         (-F.floor(-F.col("cost") * F.col("node_conf") / 100)).cast("int").alias("cost"),
         F.concat("path", F.array("matcher")).alias("path"),
     ).filter("cost <= worst")
@@ -205,11 +254,10 @@ def _cross(frontier: DataFrame, graph: _Graph, hop: int) -> DataFrame:
         reached = _enter(frontier, graph.stations).filter("cost < 0").unionByName(
             _enter(frontier.filter((F.col("worst") == 0) & (-F.col("cost") * graph.lowest_conf < 100)),
                    graph.members).filter("cost = 0"))
-    nodes = reached.groupBy("src", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select(
-        "src", "node", "b.cost", "b.path")
-    return _arrive(nodes, graph).select(
-        "src", "payload_number", "cost", F.lit(hop).alias("hops"), "path",
-        F.col("node").alias("via"))
+    nodes = reached.groupBy("src", "node").agg(
+        F.min(F.struct("cost", "path")).alias("b"), F.first("size").alias("size")).select(
+        "src", "node", "size", "b.cost", "b.path")
+    return _arrive(nodes, graph, hop)
 
 
 def _sources(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -237,16 +285,18 @@ def _source_lists(shared: DataFrame, max_depth: int, limit: int, min_confidence:
     graph = _search_graph(members, limit, depth)
 
     start = _sources(members, roots).groupBy("node").agg(
-        F.first("node_conf").alias("node_conf"), F.first("matcher").alias("matcher"))
-    start = start.select("node", (-F.col("node_conf")).cast("int").alias("cost"), "matcher")
-    state = cut_lineage(_keep_best(_arrive(start, graph).select(
-        F.col("node").alias("src"), "payload_number", "cost", F.lit(1).alias("hops"),
-        F.array("matcher").alias("path"), F.col("node").alias("via")), limit))
+        F.first("node_conf").alias("node_conf"), F.first("matcher").alias("matcher"),
+        F.first("size").alias("size"))
+    start = start.select(F.col("node").alias("src"), "node", "size",
+                         (-F.col("node_conf")).cast("int").alias("cost"),
+                         F.array("matcher").alias("path"))
+    state = cut_lineage(_keep_best(_arrive(start, graph, 1), limit))
 
     for hop in range(2, depth + 1):
-        found = _cross(state.filter(F.col("hops") == hop - 1), graph, hop)
+        frontier = state.filter((F.col("hops") == hop - 1) & ~F.col("done"))
+        found = _cross(frontier, graph, hop)
         state = cut_lineage(_keep_best(state.select(*found.columns).unionByName(found), limit))
-        if state.filter(F.col("hops") == hop).isEmpty():
+        if state.filter((F.col("hops") == hop) & ~F.col("done")).isEmpty():
             break
     lists = top_per_key(state.select("src", "payload_number", "cost", "hops", "path"),
                         ["src"], [F.col("cost"), F.col("payload_number")], limit + 1)
