@@ -14,8 +14,8 @@ Three facts keep this linear in the data however hot a value is, and exact:
 * A node with more than ``limit + 1`` members fills the list of whoever gets
   there. The search ends in such a hub: what counts behind it are the first
   payload numbers it holds or leads to without loss (confidence 100), which are
-  worked out once per hub. A transaction in more than ``limit + 1`` nodes needs
-  only those of its first partners and those that lead on without loss.
+  worked out once per hub. A transaction in more than ``limit + 1`` nodes acts
+  as a hub in the same way.
 """
 
 from __future__ import annotations
@@ -53,35 +53,11 @@ def _membership(shared: DataFrame, min_confidence: int) -> DataFrame:
     """Members keyed by a short node id (ids are fixed by the checkpoint)."""
     live = shared.filter(F.col("confidence") >= min_confidence)
     nodes = live.groupBy(*NODE).agg(
-        F.count("payload_number").alias("size"), F.first("confidence").alias("node_conf"),
-        F.min("payload_number").alias("lowest"))
+        F.count("payload_number").alias("size"), F.first("confidence").alias("node_conf"))
     nodes = cut_lineage(nodes.filter("size > 1").withColumn(
         "node", F.monotonically_increasing_id()))
     return cut_lineage(live.select(*NODE, "payload_number").join(nodes, NODE).select(
-        "node", "payload_number", "matcher", "node_conf", "size", "lowest"))
-
-
-def _lossless_lowest(members: DataFrame, rounds: int) -> DataFrame:
-    """Per node the lowest payload number reachable through confidence 100."""
-    free = members.filter("node_conf = 100").select("node", "payload_number", "lowest")
-    label = free.groupBy("node").agg(F.min("lowest").alias("label"))
-    edges = free.select("node", "payload_number")
-    several = edges.groupBy("payload_number").agg(F.count("node").alias("n")).filter("n > 1")
-    bridges = cut_lineage(edges.join(several.select("payload_number"), "payload_number", "left_semi"))
-    if bridges.isEmpty():
-        return label
-    for _ in range(rounds):
-        at_member = bridges.join(label, "node").groupBy("payload_number").agg(
-            F.min("label").alias("label"))
-        at_node = bridges.join(at_member, "payload_number").groupBy("node").agg(
-            F.min("label").alias("label"))
-        merged = cut_lineage(label.unionByName(at_node).groupBy("node").agg(
-            F.min("label").alias("label")))
-        changed = not merged.join(label, ["node", "label"], "left_anti").isEmpty()
-        label = merged
-        if not changed:
-            break
-    return label
+        "node", "payload_number", "matcher", "node_conf", "size"))
 
 
 def _busy(members: DataFrame, limit: int) -> DataFrame:
@@ -90,13 +66,6 @@ def _busy(members: DataFrame, limit: int) -> DataFrame:
         F.col("n") > limit + 1).select("payload_number"))
 
 
-def _free_steps(members: DataFrame, depth: int) -> DataFrame:
-    """(payload_number, next, label): lossless nodes a transaction is in."""
-    return cut_lineage(members.filter("node_conf = 100").select(
-        F.col("node").alias("next"), "payload_number").join(
-        _lossless_lowest(members, max(depth - 2, 0)).withColumnRenamed("node", "next"), "next"))
-
-
 def _nearest(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """The ``limit + 1`` lowest payload numbers per key, each with its fewest hops."""
     best = rows.groupBy(*keys, "payload_number").agg(
@@ -104,14 +73,13 @@ def _nearest(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return top_per_key(best, keys, [F.col("payload_number")], limit + 1)
 
 
-def _hub_lists(members: DataFrame, limit: int, depth: int) -> DataFrame:
+def _hub_lists(members: DataFrame, hubs: DataFrame, limit: int, depth: int) -> DataFrame:
     """What a source finds in a hub, per number of hops it has left.
 
     (node, within, payload_number, hops, suffix): the ``limit + 1`` lowest
     payload numbers that are in the hub or that it leads to without loss. They
     fill the list of whoever gets to the hub, so a search ends there.
     """
-    hubs = members.filter(F.col("size") > limit + 1).select("node", "payload_number")
     free = members.filter("node_conf = 100").select("node", "payload_number", "matcher")
     own = cut_lineage(_nearest(hubs.unionByName(free.drop("matcher")).distinct().select(
         "node", "payload_number", F.lit(1).alias("hops"),
@@ -144,29 +112,21 @@ def _hub_lists(members: DataFrame, limit: int, depth: int) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionByName, lists))
 
 
-def _thin_busy(members: DataFrame, busy: DataFrame, limit: int, by: list[str],
-               free: DataFrame | None = None) -> DataFrame:
-    """Nodes to go to from a transaction, at a confidence above 0.
-
-    Nodes that agree in ``by`` give the same confidence, so of those of a busy
-    transaction its first ``limit + 1`` partners need one node each.
-    """
+def _partners(members: DataFrame, busy: DataFrame, by: list[str]) -> DataFrame:
+    """(busy, *by, payload_number, node): partners of busy transactions, with one
+    node each that they share. Nodes that agree in ``by`` are equally good."""
     mine = members.join(busy, "payload_number", "left_semi").select(
         F.col("payload_number").alias("busy"), "node", *by)
-    partners = mine.join(members.select("node", "payload_number"), "node").filter(
+    return mine.join(members.select("node", "payload_number"), "node").filter(
         "busy <> payload_number").groupBy("busy", *by, "payload_number").agg(
         F.min("node").alias("node"))
-    partners = cut_lineage(partners)
-    first = top_per_key(partners, ["busy", *by], [F.col("payload_number")], limit + 1)
-    needed = first.select("busy", "node")
-    if free is not None:
-        bound = first.groupBy("busy", *by).agg(F.max("payload_number").alias("bound"))
-        needed = needed.unionByName(partners.join(bound, ["busy", *by]).join(
-            free, "payload_number").filter("next <> node AND label < bound").groupBy(
-            "busy", *by, "next").agg(F.min("node").alias("node")).select("busy", "node"))
-    needed = needed.withColumnRenamed("busy", "payload_number").distinct()
-    return cut_lineage(members.join(busy, "payload_number", "left_anti").unionByName(
-        members.join(needed, ["payload_number", "node"], "left_semi").select(*members.columns)))
+
+
+def _only(members: DataFrame, busy: DataFrame, needed: DataFrame) -> DataFrame:
+    """Members, of busy transactions only the needed (busy, node)."""
+    needed = needed.select(F.col("busy").alias("payload_number"), "node").distinct()
+    return members.join(busy, "payload_number", "left_anti").unionByName(
+        members.join(needed, ["payload_number", "node"], "left_semi").select(*members.columns))
 
 
 class _Graph(NamedTuple):
@@ -182,15 +142,31 @@ class _Graph(NamedTuple):
 
 
 def _search_graph(members: DataFrame, limit: int, depth: int) -> _Graph:
+    """Hubs and stations of a search.
+
+    The nodes of a busy transaction that agree in matcher and confidence act as
+    one hub if they hold enough partners; else they are few partners, and one
+    node for each will do.
+    """
+    hubs = members.filter(F.col("size") > limit + 1).select("node", "payload_number")
     busy = _busy(members, limit)
-    has_hubs = not members.filter(F.col("size") > limit + 1).isEmpty()
-    hub_lists = _hub_lists(members, limit, depth) if has_hubs else None
-    if busy.isEmpty():
-        return _Graph(members, hub_lists, members, limit, depth)
-    return _Graph(
-        members, hub_lists,
-        _thin_busy(members, busy, limit, ["matcher", "node_conf"], _free_steps(members, depth)),
-        limit, depth, members.agg(F.min("node_conf")).first()[0] or 0)
+    stations, lowest = members, 0
+    if not busy.isEmpty():
+        kind = ["matcher", "node_conf"]
+        partners = cut_lineage(_partners(members, busy, kind))
+        joint = cut_lineage(partners.groupBy("busy", *kind).agg(
+            F.count("payload_number").alias("n")).filter(F.col("n") > limit).withColumn(
+            "joint", -1 - F.monotonically_increasing_id()))
+        hubs = hubs.unionByName(partners.join(joint, ["busy", *kind]).select(
+            F.col("joint").alias("node"), "payload_number"))
+        few = partners.join(joint, ["busy", *kind], "left_anti")
+        stations = cut_lineage(_only(members, busy, few).unionByName(joint.select(
+            F.col("joint").alias("node"), F.col("busy").alias("payload_number"), *kind,
+            F.lit(limit + 2).cast("long").alias("size"))))
+        lowest = members.agg(F.min("node_conf")).first()[0] or 0
+    hubs = cut_lineage(hubs)
+    lists = None if hubs.isEmpty() else _hub_lists(members, hubs, limit, depth)
+    return _Graph(members, lists, stations, limit, depth, lowest)
 
 
 def _keep_best(state: DataFrame, limit: int) -> DataFrame:
@@ -347,8 +323,11 @@ def connected_counts(shared: DataFrame, max_depth: int = DEFAULT_DEPTH,
         small = cut_lineage(small.unionByName(
             top_per_key(large, ["node"], [F.col("payload_number")], limit + 1)))
     busy = _busy(members, limit)
-    stations = (members if busy.isEmpty() else _thin_busy(members, busy, limit, [])).select(
-        "payload_number", F.col("node").alias("next"))
+    stations = members
+    if not busy.isEmpty():
+        stations = cut_lineage(_only(members, busy, top_per_key(
+            _partners(members, busy, []), ["busy"], [F.col("payload_number")], limit + 1)))
+    stations = stations.select("payload_number", F.col("node").alias("next"))
 
     start = _sources(members, roots).select(F.col("node").alias("src")).distinct()
     state = cut_lineage(_settle(start.join(
