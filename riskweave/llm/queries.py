@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, langid, quality, toxicity, warc
+from riskweave.llm import ann, bpe, chat, langid, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every row whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
@@ -87,6 +93,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op8_chat_format": op8_chat_format,
+    "op9_nearest": op9_nearest,
 }
 
 ORACLES = {
