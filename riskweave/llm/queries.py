@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import ann, bpe, chat, langid, mixing, quality, toxicity, warc
+from riskweave.llm import ann, bpe, chat, langid, mixing, neardup, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "log_ppl", "lower", "upper")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies for every document, by three-word shingles at 85%."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one that holds control strings, formatted and read back."""
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -99,6 +104,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_chat_format": op8_chat_format,
     "op9_nearest": op9_nearest,
 }
