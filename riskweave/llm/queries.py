@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import ann, bpe, chat, langid, mixing, neardup, quality, toxicity, warc
+from riskweave.llm import ann, bpe, chat, langid, mixing, neardup, pii, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,18 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base rules, and spans that the trees add."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(number(k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base_spans")).cast("long").alias("n_added"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -107,6 +119,7 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_chat_format": op8_chat_format,
     "op9_nearest": op9_nearest,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
