@@ -35,11 +35,11 @@ SHINGLE = 3
 #: A pair of similarity 0.85 shares no bucket with a chance of 4e-7.
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
-#: Links have ``100 * intersection >= PERCENT * union``.
+#: Links have ``100 * intersection >= PERCENT * union``, unless another percentage is asked for.
 PERCENT = 85
-#: Share of equal minima below which a pair is not confirmed: nearly five
-#: standard deviations under 0.85. Pairs from ``FIRST`` on are confirmed first.
-ESTIMATE, FIRST = 0.70, 0.85
+#: A pair is confirmed where its share of equal minima is no further than this
+#: below the threshold: over four standard deviations.
+SLACK = 0.15
 #: Members of a block when a bucket is opened again.
 BLOCK = 256
 
@@ -127,7 +127,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return chosen.mapInArrow(run, "node long, shingles binary")
 
 
-def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     """``a, b, estimate`` of the pairs whose share of equal minima is high enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, HASHES)
                            for i in (2, 3))
             share = (left == right).mean(axis=1)
-            keep = np.flatnonzero(share >= ESTIMATE)
+            keep = np.flatnonzero(share >= least)
             part = batch.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(share[keep])],
                                              names=["a", "b", "estimate"])
@@ -146,7 +146,7 @@ def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         run, "a long, b long, estimate double")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that hold on their full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +158,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                     both = len(x) + len(y)
                     common = both - len(np.unique(np.concatenate([x, y])))
-                    if 100 * common >= PERCENT * (both - common):
+                    if 100 * common >= percent * (both - common):
                         keep.append(i)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -200,7 +200,8 @@ def components(links: DataFrame, work: Workspace, name: str = "cc") -> DataFrame
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _open_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, work: Workspace) -> DataFrame:
+def _open_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, work: Workspace,
+                least: float) -> DataFrame:
     """``a, b, estimate`` between different components of a bucket, estimated in blocks."""
     placed = work.save(members.join(found, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
@@ -230,7 +231,7 @@ def _open_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, wor
                 out: tuple[list, list, list] = ([], [], [])
                 for node, own, line in zip(ids, owner, mine, strict=True):
                     share = (signed == line).mean(axis=1)
-                    keep = np.flatnonzero((share >= ESTIMATE) & (theirs != own))
+                    keep = np.flatnonzero((share >= least) & (theirs != own))
                     out[0].append(np.minimum(others[keep], node))
                     out[1].append(np.maximum(others[keep], node))
                     out[2].append(share[keep])
@@ -241,7 +242,7 @@ def _open_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, wor
         run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Documents without
@@ -253,6 +254,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     prepare_workers(spark)
     work = Workspace(spark, "neardup")
+    least = percent / 100 - SLACK
     signed = work.save(sign(docs, size), "signed")
     valid = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     groups = work.save(valid.groupBy("set_key").agg(
@@ -272,20 +274,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     work.drop("crowd")
     pairs = work.save(members.where("node <> pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    close = work.save(_estimated(pairs, signatures), "close")
-    links = work.save(_confirmed(close, sets), "links")
+    close = work.save(_estimated(pairs, signatures, least), "close")
+    links = work.save(_confirmed(close, sets, percent), "links")
     work.drop("pairs", "close")
     found = work.save(components(links, work, "cc1"), "found1")
     work.drop("links")
-    later = work.save(_open_pairs(members, found, signatures, work), "later")
+    later = work.save(_open_pairs(members, found, signatures, work, least), "later")
     work.drop("members", "signatures", "placed", "open", "opened", "left", "right")
     # The likeliest pairs first, then the others where components still differ.
     for step, likely in ((2, True), (3, False)):
-        some = later.where((F.col("estimate") >= FIRST) == F.lit(likely))
+        some = later.where((F.col("estimate") >= percent / 100) == F.lit(likely))
         owner = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
         some = some.join(owner("a"), "a", "left").join(owner("b"), "b", "left").where(
             F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        fresh = work.save(_confirmed(work.save(some, f"some{step}"), sets), f"fresh{step}")
+        fresh = work.save(_confirmed(work.save(some, f"some{step}"), sets, percent), f"fresh{step}")
         if fresh.limit(1).count():
             joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)
             found = work.save(components(joined, work, f"cc{step}"), f"found{step}")
