@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -33,6 +34,7 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", {
         "spark.driver.memory": "20g",
         "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="riskweave-bench-"),
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": str(2 * int(cpus)),
     })

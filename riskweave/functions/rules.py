@@ -56,8 +56,13 @@ def feature_columns(schema: T.StructType, exclude: tuple[str, ...] = ()) -> dict
 
 def _python_text(rule: str) -> str:
     """``&&``, ``||`` and ``!`` in Python spelling, outside of string literals."""
-    if _PYTHON_WORDS.search(re.sub(r'"(\\.|[^"\\])*"', '""', rule)):
+    bare = re.sub(r'"(\\.|[^"\\])*"', '""', rule)
+    if _PYTHON_WORDS.search(bare):
         raise RuleError("unknown operator")
+    # What Python allows and the rule language does not: comments, strings side by
+    # side or with a prefix, digits with underscores.
+    if re.search(r'#|""\s*""|\w""|\b[0-9][0-9.]*_', bare):
+        raise RuleError("not part of the rule language")
     out, quoted, i = [], False, 0
     while i < len(rule):
         two, one = rule[i:i + 2], rule[i]
@@ -137,7 +142,18 @@ class _Reader(ast.NodeVisitor):
         if type(node.value) not in kinds:
             raise RuleError(f"literal {node.value!r}")
         kind = kinds[type(node.value)]
-        return kind, F.lit(node.value).cast("long") if kind == INT else F.lit(node.value)
+        return self._integer(node.value) if kind == INT else (kind, F.lit(node.value))
+
+    @staticmethod
+    def _integer(value: int):
+        """A literal beyond 64 bits counts as a floating-point number."""
+        if -(1 << 63) <= value < 1 << 63:
+            # The JVM takes its least integer only as text.
+            return INT, F.lit(str(value)).cast("long")
+        try:
+            return FLOAT, F.lit(float(value))
+        except OverflowError as error:
+            raise RuleError("number too large") from error
 
     def visit_BoolOp(self, node):
         parts = [self._typed(v, BOOL) for v in node.values]
@@ -149,6 +165,9 @@ class _Reader(ast.NodeVisitor):
     def visit_UnaryOp(self, node):
         if isinstance(node.op, ast.Invert):
             return BOOL, ~self._typed(node.operand, BOOL)
+        if isinstance(node.op, ast.USub) and isinstance(node.operand, ast.Constant) and (
+                type(node.operand.value) is int):
+            return self._integer(-node.operand.value)
         kind, value = self.visit(node.operand)
         if isinstance(node.op, ast.USub) and kind in (INT, FLOAT):
             return kind, F.try_subtract(F.lit(0).cast(_SQL[kind]), value)
@@ -209,13 +228,11 @@ _SQL = {INT: "long", FLOAT: "double"}
 
 def compile_rule(rule: str, features: dict) -> Column:
     """Boolean Column of a rule; raises ``RuleError`` when it has no meaning."""
-    text = _python_text(rule)
-    try:
-        tree = ast.parse(text, mode="eval")
-    except (SyntaxError, ValueError) as error:
-        raise RuleError(str(error)) from error
     reader = _Reader(features)
-    kind, value = reader.visit(tree)
+    try:
+        kind, value = reader.visit(ast.parse(_python_text(rule), mode="eval"))
+    except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError) as error:
+        raise error if isinstance(error, RuleError) else RuleError(str(error)) from error
     if kind != BOOL:
         raise RuleError(f"rule gives {kind}, not a boolean")
     present = F.lit(True)

@@ -3,11 +3,10 @@
 All functions take *shared members*: ``matcher, value, payload_number, size,
 confidence, importance`` of nodes with at least two members.
 
-A node of n members stands for n*(n-1)/2 pairs. Pairs are written out only for
-nodes of at most ``hub_size`` members; a larger node stays in its compact star
-form (one row per member, ``star_links``), which says the same thing. Pairs
-that are written out carry the attributes they share through hubs as well, so
-pairs plus stars are the whole edge set.
+The membership itself is the whole edge set in compact form: one row per member.
+``edge_summary`` reads it for all transactions. Pairs, of which a node of n
+members has n*(n-1)/2, are written out for a batch of roots, or for all of a
+table whose nodes are small; either way they are complete.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 from riskweave.operators.matching import NODE
 from riskweave.session import cut_lineage
 
-HUB_SIZE = 1000
-
 LINK = ["a_id", "b_id", "matcher"]
 
 
@@ -29,55 +26,45 @@ def _strongest(df: DataFrame) -> DataFrame:
     return best.select(*LINK, "best.confidence", "best.importance")
 
 
-def _with_hub_attributes(links: DataFrame, pairs: DataFrame, shared: DataFrame,
-                         hub_size: int) -> DataFrame:
-    """Links plus the attributes that the given pairs share through hubs."""
-    hubs = shared.filter(F.col("size") > hub_size)
-    if hubs.isEmpty():
-        return links
-    left = hubs.select(F.col("payload_number").alias("a_id"), *NODE, "confidence", "importance")
-    right = hubs.select(F.col("payload_number").alias("b_id"), *NODE)
-    through_hubs = pairs.select("a_id", "b_id").distinct().join(left, "a_id").join(
-        right, ["b_id", *NODE], "left_semi").select(*LINK, "confidence", "importance")
-    return _strongest(links.unionByName(through_hubs))
+def pair_links(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs (a_id < b_id) and the matchers that link them.
 
+    With ``roots`` (``payload_number``), all pairs that hold one of them.
+    """
+    left = shared.select(F.col("payload_number").alias("src"), *NODE, "confidence", "importance")
+    right = shared.select(F.col("payload_number").alias("dst"), *NODE)
+    if roots is None:
+        pairs = left.join(right, NODE).filter("src < dst")
+    else:
+        chosen = roots.select(F.col("payload_number").alias("src")).distinct()
+        pairs = left.join(chosen, "src", "left_semi").join(right, NODE).filter("src <> dst")
+    return _strongest(pairs.select(
+        F.least("src", "dst").alias("a_id"), F.greatest("src", "dst").alias("b_id"),
+        "matcher", "confidence", "importance"))
 
-def pair_links(shared: DataFrame, hub_size: int = HUB_SIZE) -> DataFrame:
-    """Unordered pairs (a_id < b_id) and the matchers that link them."""
-    small = shared.filter(F.col("size") <= hub_size)
-    left = small.select(F.col("payload_number").alias("a_id"), *NODE, "confidence", "importance")
-    right = small.select(F.col("payload_number").alias("b_id"), *NODE)
-    pairs = left.join(right, NODE).filter("a_id < b_id").select(*LINK, "confidence", "importance")
-    found = _strongest(pairs)
-    return _with_hub_attributes(found, found, shared, hub_size)
 
+def edge_summary(shared: DataFrame) -> DataFrame:
+    """One row per linked transaction: its attributes and the best one, without any pair.
 
-def star_links(shared: DataFrame, hub_size: int = HUB_SIZE) -> DataFrame:
-    """Members of hubs: every two members of one hub are linked."""
-    return shared.filter(F.col("size") > hub_size).select(
-        "payload_number", *NODE, "size", "confidence", "importance")
+    Every row of ``shared`` belongs to a node with another member, so its
+    matcher is an attribute of at least one edge of the transaction.
+    """
+    ranked = shared.groupBy("payload_number", "matcher").agg(F.max("confidence").alias("confidence"))
+    best = F.min(F.struct((-F.col("confidence")).alias("rank"), F.col("matcher").alias("name")))
+    return ranked.groupBy("payload_number").agg(
+        F.sort_array(F.collect_set("matcher")).alias("attributes"), best.alias("best")).select(
+        "payload_number", "attributes", F.col("best.name").alias("best_attribute"),
+        (-F.col("best.rank")).alias("best_confidence"))
 
 
-def refresh_links(stored: DataFrame, shared: DataFrame, batch_ids: DataFrame,
-                  hub_size: int = HUB_SIZE) -> DataFrame:
+def refresh_links(stored: DataFrame, shared: DataFrame, batch_ids: DataFrame) -> DataFrame:
     """Stored links after a batch: only pairs with a batch member are rebuilt.
 
-    ``shared`` is the membership after the batch. Pairs already written for a
-    node that the batch turned into a hub stay, beside its star.
+    ``shared`` is the membership after the batch. The result equals a fresh
+    build over it.
     """
-    batch = batch_ids.select("payload_number").distinct()
-    small = shared.filter(F.col("size") <= hub_size)
-    changed = small.join(batch, "payload_number", "left_semi").select(
-        F.col("payload_number").alias("src"), *NODE, "confidence", "importance")
-    others = small.select(F.col("payload_number").alias("dst"), *NODE)
-    new = changed.join(others, NODE).filter("src <> dst").select(
-        F.least("src", "dst").alias("a_id"), F.greatest("src", "dst").alias("b_id"),
-        "matcher", "confidence", "importance")
-    links = _strongest(stored.select(*new.columns).unionByName(new))
-    ids = batch.withColumnRenamed("payload_number", "a_id")
-    touched = links.join(ids, "a_id", "left_semi").unionByName(
-        links.join(ids.withColumnRenamed("a_id", "b_id"), "b_id", "left_semi"))
-    return _with_hub_attributes(links, touched, shared, hub_size)
+    new = pair_links(shared, batch_ids)
+    return _strongest(stored.select(*new.columns).unionByName(new))
 
 
 def pair_edges(links: DataFrame) -> DataFrame:

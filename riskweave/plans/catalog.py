@@ -259,15 +259,10 @@ def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge_rows(links.pair_edges(links.pair_links(_shared(Tables(spark, sf_dir)))))
 
 
-def hub_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges when a node of more than 12 members counts as a hub."""
-    shared = _shared(Tables(spark, sf_dir))
-    pairs = links.pair_links(shared, 12).select(
-        F.lit("pair").alias("kind"), "a_id", "b_id", "matcher", "confidence")
-    stars = links.star_links(shared, 12).select(
-        F.lit("star").alias("kind"), F.col("payload_number").alias("a_id"),
-        F.col("value").alias("b_id"), "matcher", "confidence")
-    return pairs.unionByName(stars)
+def edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes and best attribute of every linked transaction."""
+    return links.edge_summary(_shared(Tables(spark, sf_dir))).withColumn(
+        "attributes", F.array_join("attributes", ","))
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -598,7 +593,7 @@ QUERIES = {f.__name__: f for f in [
     import_versions, latest_view, label_bulk, fetch_by_ids, mark_processed,
     filter_scalar, filter_sets, filter_text_null, filter_groups, search_page,
     match_nodes, value_dictionary, match_timespace, match_merge,
-    pair_edges, hub_edges, adjacency, neighbours, edge_refresh, direct_connections,
+    pair_edges, edge_summary, adjacency, neighbours, edge_refresh, direct_connections,
     connected, connected_topk, graph_tree,
     simple_features, time_feature, graph_features, feature_pack, feature_unpack,
     feature_violations, feature_save,

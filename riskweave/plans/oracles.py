@@ -268,16 +268,14 @@ FROM nodes n LEFT JOIN (
 WHERE n.size > 1""",
     "pair_edges": EDGES,
     "edge_refresh": EDGES,
-    "hub_edges": f"""
+    "edge_summary": f"""
 WITH {PAIRS},
-written AS (
-  SELECT DISTINCT a.payload_number AS a_id, b.payload_number AS b_id
-  FROM shared a JOIN shared b ON a.matcher = b.matcher AND a.value = b.value
-   AND a.payload_number < b.payload_number WHERE a.size <= 12)
-SELECT 'pair' AS kind, l.a_id, l.b_id, l.matcher, l.confidence
-FROM links l JOIN written w ON w.a_id = l.a_id AND w.b_id = l.b_id
-UNION ALL
-SELECT 'star', payload_number, value, matcher, confidence FROM shared WHERE size > 12""",
+best AS (
+  SELECT payload_number, matcher, max(confidence) AS confidence FROM shared GROUP BY 1, 2)
+SELECT payload_number, string_agg(matcher, ',' ORDER BY matcher) AS attributes,
+       first(matcher ORDER BY confidence DESC, matcher) AS best_attribute,
+       max(confidence) AS best_confidence
+FROM best GROUP BY payload_number""",
     "adjacency": f"WITH {PAIRS} SELECT * FROM both_ways",
     "neighbours": f"""
 WITH {PAIRS}

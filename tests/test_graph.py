@@ -153,39 +153,40 @@ def test_direct_counts_match_pairs(spark, seed):
     assert part == {p: n for p, n in wanted.items() if p in ("t00", "t05")}
 
 
-@pytest.mark.parametrize("hub_size", [1000, 3, 2])
-def test_pairs_and_stars_are_the_whole_edge_set(spark, hub_size):
+def test_pairs_are_the_whole_edge_set(spark):
     nodes = random_nodes(random.Random(7), 12, 10, [50, 80, 100])
     shared = shared_of(spark, nodes)
-    pairs = {(r.a_id, r.b_id, r.matcher): (r.confidence, r.importance)
-             for r in links.pair_links(shared, hub_size).collect()}
-    stars = {}
-    for r in links.star_links(shared, hub_size).collect():
-        stars.setdefault((r.matcher, r.value, r.confidence, r.importance), []).append(r.payload_number)
-    whole = dict(pairs)
-    for (a, b, m), best in brute_links([(m, v, c, i, ps) for (m, v, c, i), ps in stars.items()]).items():
-        whole[a, b, m] = max(whole.get((a, b, m), (0, 0)), best)
     wanted = brute_links(nodes)
-    assert whole == wanted
-    # a pair that is written out has all its attributes
-    written = {(a, b) for a, b, _ in pairs}
-    assert {k: v for k, v in wanted.items() if k[:2] in written} == pairs
-
-
-@pytest.mark.parametrize("hub_size", [1000, 4])
-def test_refreshed_links_equal_a_full_build(spark, hub_size):
+    assert {(r.a_id, r.b_id, r.matcher): (r.confidence, r.importance)
+            for r in links.pair_links(shared).collect()} == wanted
+    roots = spark.createDataFrame([("t01",), ("t04",), ("t04",), ("none",)], "payload_number string")
+    assert {(r.a_id, r.b_id, r.matcher): (r.confidence, r.importance)
+            for r in links.pair_links(shared, roots).collect()} == {
+        k: v for k, v in wanted.items() if {"t01", "t04"} & set(k[:2])}
+    attributes = {}
+    for (one, other, matcher), (confidence, _) in wanted.items():
+        for p in (one, other):
+            held = attributes.setdefault(p, {})
+            held[matcher] = max(held.get(matcher, 0), confidence)
+    found = {r.payload_number: (r.attributes, r.best_attribute, r.best_confidence)
+             for r in links.edge_summary(shared).collect()}
+    assert found == {p: (sorted(m), min(m, key=lambda x: (-m[x], x)), max(m.values()))
+                     for p, m in attributes.items()}
+
+
+@pytest.mark.parametrize("hot", [0, 40])
+def test_refreshed_links_equal_a_full_build(spark, hot):
     nodes = random_nodes(random.Random(11), 12, 10, [50, 80, 100])
+    nodes += [("hot", "h", 70, 7, [f"t{i:02d}" for i in range(hot)])] if hot else []
     batch = {"t03", "t07", "t11"}
     before = [(m, v, c, i, [p for p in ps if p not in batch]) for m, v, c, i, ps in nodes]
     before = [n for n in before if n[4]]
-    stored = links.pair_links(shared_of(spark, before), 1000)
+    stored = links.pair_links(shared_of(spark, before))
     now = shared_of(spark, nodes)
     ids = spark.createDataFrame([(b,) for b in batch], "payload_number string")
-    found = {tuple(r) for r in links.refresh_links(stored, now, ids, hub_size).collect()}
-    if hub_size == 1000:
-        assert found == {tuple(r) for r in links.pair_links(now).collect()}
-    wanted = brute_links(nodes)
-    assert {r[:3]: r[3:] for r in found}.items() <= wanted.items()
+    found = {tuple(r) for r in links.refresh_links(stored, now, ids).collect()}
+    assert found == {tuple(r) for r in links.pair_links(now).collect()}
+    assert {r[:3]: r[3:] for r in found} == brute_links(nodes)
 
 
 def test_edges_adjacency_neighbours(spark):

@@ -6,23 +6,23 @@ from riskweave.operators import links, matching, paths
 
 FIELDS = "matcher string, value string, payload_number string"
 
-TX1 = [("customer.email", "test@example.com", "tx1"),
-       ("billing.payment_details", "4111-1111-1111-1111", "tx1"),
-       ("test.matcher", "test-value", "tx1")]
-TX2 = [("customer.email", "test@example.com", "tx2"), ("ip.address", "192.168.1.1", "tx2")]
+TX1 = [("customer.email", "mira@post.example", "tx1"),
+       ("billing.payment_details", "iban 77 0042", "tx1"),
+       ("club.card", "gold 12", "tx1")]
+TX2 = [("customer.email", "mira@post.example", "tx2"), ("ip.address", "203.0.113.9", "tx2")]
 
 
 def test_nodes_and_incremental_merge(spark):
     first = matching.node_members(spark.createDataFrame(TX1, FIELDS))
     nodes = matching.match_nodes(first)
     assert {(r.matcher, r.confidence, r.importance) for r in nodes.collect()} == {
-        ("customer.email", 100, 90), ("billing.payment_details", 100, 80), ("test.matcher", 80, 50)}
+        ("customer.email", 100, 90), ("billing.payment_details", 100, 80), ("club.card", 80, 50)}
 
     second = spark.createDataFrame(TX2, FIELDS)
     merged = matching.merge_members(first, second)
     rows = {(r.matcher, r.size) for r in matching.merge_nodes(nodes, merged).collect()}
-    assert rows == {("customer.email", 2), ("billing.payment_details", 1), ("test.matcher", 1), ("ip.address", 1)}
-    assert [r[0] for r in matching.members_of(merged, "customer.email", "test@example.com").collect()] == ["tx1", "tx2"]
+    assert rows == {("customer.email", 2), ("billing.payment_details", 1), ("club.card", 1), ("ip.address", 1)}
+    assert [r[0] for r in matching.members_of(merged, "customer.email", "mira@post.example").collect()] == ["tx1", "tx2"]
 
     again = matching.merge_members(merged, spark.createDataFrame(TX1, FIELDS))
     assert again.count() == 5 and matching.match_nodes(again).count() == 4

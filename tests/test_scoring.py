@@ -13,28 +13,26 @@ def score(spark, schema, row, *rules):
     return r.total_score, len(r.triggered)
 
 
-JAN, FEB = (dt.datetime(2023, m, 1) for m in (1, 2))
+OLD, NEW = dt.datetime(2019, 4, 3), dt.datetime(2024, 9, 17)
 
 
 @pytest.mark.parametrize("schema,row,rules,total,hits", [
-    ("transaction_count long", (10,), ["transaction_count > 5"], 100, 1),
-    ("amount double", (120.75,), ["amount > 100.0"], 100, 1),
-    ("is_high_risk boolean", (True,), ["is_high_risk"], 100, 1),
-    ("country string", ("US",), ['country == "US"'], 100, 1),
-    ("created_at timestamp, recent_date timestamp", (JAN, FEB),
-     ["recent_date > created_at", "recent_date > 1600000000000"], 200, 2),
-    ("purchase_amounts array<double>, item_counts array<long>, categories array<string>, "
-     "high_value_flags array<boolean>", ([1.0, 2.0, 3.0, 4.0], [1, 2], ["a", "b", "c"], [True]),
-     ["len(purchase_amounts) > 3", "len(item_counts) < 5", "len(categories) >= 3",
-      "len(high_value_flags) > 0"], 400, 4),
-    ("total_amount double, transaction_count long, is_new_customer boolean, payment_method string",
-     (850.0, 5, True, "credit_card"),
-     ["total_amount > 500.0", "transaction_count >= 5", "is_new_customer",
-      'payment_method == "credit_card"'], 400, 4),
-    ("amount double", (100.0,),
-     ["amount > 50.0", "amount * )", "unknown_var > 10", 'amount + "string" == 0'], 100, 1),
-    ("", (), ["true", "missing_feature == 10"], 100, 1),
-    ("amount double", (100.0,), [], 0, 0),
+    ("orders_today long", (3,), ["orders_today >= 2"], 100, 1),
+    ("basket double", (19.5,), ["basket < 20.5", "basket < 19.5"], 100, 1),
+    ("blocked boolean", (True,), ["blocked"], 100, 1),
+    ("town string", ("Graz",), ['town == "Graz"', 'town == "graz"'], 100, 1),
+    ("opened timestamp, seen timestamp", (OLD, NEW), ["seen > opened", "opened < 1700000000000"], 200, 2),
+    ("prices array<double>, flags array<boolean>, tags array<string>", ([2.5, 7.0], [], ["x"] * 5),
+     ["len(prices) == 2", "len(flags) < 1", "len(tags) >= 6"], 200, 2),
+    ("weight double, parcels long, gift boolean, route string", (3.25, 8, False, "north"),
+     ["weight <= 3.25", "parcels > 7", "gift", 'route != "south"'], 300, 3),
+    ("score double", (41.0,), ["score > 40.0", "score * )", "nobody > 1", 'score + "a" == 0'], 100, 1),
+    ("n long", (5,), ["n < 99999999999999999999", "n < 9223372036854775808", "-9223372036854775808 < n",
+                      "n > 4"], 400, 4),
+    ("n long", (5,), ["n > 4", "!" * 5000 + "true", "(" * 400 + "n" + ")" * 400 + " > 4", "n > 1 # note",
+                      '"a" "b" == "ab"', 'r"a" == "a"', "n < 1_0", "n < " + "9" * 5000], 100, 1),
+    ("", (), ["true", "nothing == 3"], 100, 1),
+    ("basket double", (19.5,), [], 0, 0),
 ])
 def test_rule_sets(spark, schema, row, rules, total, hits):
     assert score(spark, schema, row, *rules) == (total, hits)
