@@ -11,8 +11,6 @@
    of other components, in blocks. Two members of the largest component need no
    comparison, as they are together already. So no link is lost, and a large
    group of near copies costs its stragglers times its size, not its square.
-   The likeliest of these pairs are confirmed first; the others only where their
-   components still differ.
 5. Components are found by alternating large-star and small-star until the edges
    no longer change.
 
@@ -40,8 +38,8 @@ PERCENT = 85
 #: A pair is confirmed where its share of equal minima is no further than this
 #: below the threshold: over four standard deviations.
 SLACK = 0.15
-#: Members of a block when a bucket is opened again.
-BLOCK = 256
+#: Members of a block, with their full sets, when a bucket is opened again.
+BLOCK = 64
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -200,9 +198,14 @@ def components(links: DataFrame, work: Workspace, name: str = "cc") -> DataFrame
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _open_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, work: Workspace,
-                least: float) -> DataFrame:
-    """``a, b, estimate`` between different components of a bucket, estimated in blocks."""
+def _open_links(members: DataFrame, found: DataFrame, signatures: DataFrame, sets: DataFrame, work: Workspace,
+                least: float, percent: int) -> DataFrame:
+    """``a, b``: links between different components of a bucket, confirmed on full sets in blocks.
+
+    A straggler needs one link to a component only, so its candidates of a
+    component are tried from the likeliest on until one holds. Pairs never
+    become rows: a row holds a block of stragglers and a block of members.
+    """
     placed = work.save(members.join(found, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -210,9 +213,9 @@ def _open_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, wor
         F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"),
         F.max_by("component", "n").alias("main")).where("parts > 1"), "open")
     opened = work.save(placed.join(state, F.col("bucket") == F.col("k")).select(
-        "bucket", "node", "component", "main", "n", "most").join(signatures, "node"), "opened")
+        "bucket", "node", "component", "main", "n", "most").join(signatures, "node").join(sets, "node"), "opened")
     outside = opened.where("component <> main")
-    items = F.collect_list(F.struct("node", "component", "minima"))
+    items = F.collect_list(F.struct("node", "component", "minima", "shingles"))
     slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK).cast("int")).alias("slot")
     left = work.save(outside.groupBy("bucket", slot(F.col("n") - F.col("most"))).agg(items.alias("x")).drop("slot"),
                      "left")
@@ -221,25 +224,34 @@ def _open_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, wor
     def unpack(column: pa.Array):
         return (column.field("node").to_numpy(zero_copy_only=False), column.field("component").to_numpy(
             zero_copy_only=False), np.frombuffer(b"".join(column.field("minima").to_pylist()), "<u2").reshape(
-            -1, HASHES))
+            -1, HASHES), [np.frombuffer(x, "<u8") for x in column.field("shingles").to_pylist()])
+
+    def holds(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        common = int((x[at] == y).sum())
+        return 100 * common >= percent * (len(x) + len(y) - common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, owner, mine = unpack(batch.column(0)[i].values)
-                others, theirs, signed = unpack(batch.column(1)[i].values)
-                out: tuple[list, list, list] = ([], [], [])
-                for node, own, line in zip(ids, owner, mine, strict=True):
+                ids, owner, mine, my_sets = unpack(batch.column(0)[i].values)
+                others, theirs, signed, their_sets = unpack(batch.column(1)[i].values)
+                out: tuple[list, list] = ([], [])
+                for node, own, line, full in zip(ids.tolist(), owner.tolist(), mine, my_sets, strict=True):
                     share = (signed == line).mean(axis=1)
                     keep = np.flatnonzero((share >= least) & (theirs != own))
-                    out[0].append(np.minimum(others[keep], node))
-                    out[1].append(np.maximum(others[keep], node))
-                    out[2].append(share[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out],
-                                                 names=["a", "b", "estimate"])
+                    linked = set()
+                    for j in keep[np.argsort(-share[keep], kind="stable")].tolist():
+                        if theirs[j] not in linked and holds(full, their_sets[j]):
+                            linked.add(theirs[j])
+                            out[0].append(node)
+                            out[1].append(int(others[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b"])
 
-    return left.join(right, "bucket").select("x", "y").mapInArrow(
-        run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    return left.join(right, "bucket").select("x", "y").mapInArrow(run, "a long, b long").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -279,19 +291,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     work.drop("pairs", "close")
     found = work.save(components(links, work, "cc1"), "found1")
     work.drop("links")
-    later = work.save(_open_pairs(members, found, signatures, work, least), "later")
-    work.drop("members", "signatures", "placed", "open", "opened", "left", "right")
-    # The likeliest pairs first, then the others where components still differ.
-    for step, likely in ((2, True), (3, False)):
-        some = later.where((F.col("estimate") >= percent / 100) == F.lit(likely))
-        owner = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
-        some = some.join(owner("a"), "a", "left").join(owner("b"), "b", "left").where(
-            F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        fresh = work.save(_confirmed(work.save(some, f"some{step}"), sets, percent), f"fresh{step}")
-        if fresh.limit(1).count():
-            joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)
-            found = work.save(components(joined, work, f"cc{step}"), f"found{step}")
-    work.drop("later", "sets", "some2", "some3", "fresh2", "fresh3")
+    fresh = work.save(_open_links(members, found, signatures, sets, work, least, percent), "fresh")
+    work.drop("members", "signatures", "sets", "placed", "open", "opened", "left", "right")
+    if fresh.limit(1).count():
+        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)
+        found = work.save(components(joined, work, "cc2"), "found2")
     answers = work.save(groups.join(found.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").where(
         (F.col("copies") > 1) | F.col("component").isNotNull()).select(
         F.col("set_key").alias("key"), F.coalesce("component", "node").alias("component")), "answers")
