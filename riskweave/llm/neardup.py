@@ -213,13 +213,15 @@ def _open_links(members: DataFrame, found: DataFrame, signatures: DataFrame, set
         F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"),
         F.max_by("component", "n").alias("main")).where("parts > 1"), "open")
     opened = work.save(placed.join(state, F.col("bucket") == F.col("k")).select(
-        "bucket", "node", "component", "main", "n", "most").join(signatures, "node").join(sets, "node"), "opened")
-    outside = opened.where("component <> main")
+        "bucket", "node", "component", "main", "n", "most"), "opened")
+    # The sets are joined last and only for open buckets; their blocks are not written out.
+    full = signatures.join(sets, "node").join(opened.select("node").distinct(), "node", "left_semi")
+    filled = opened.join(full, "node")
+    outside = filled.where("component <> main")
     items = F.collect_list(F.struct("node", "component", "minima", "shingles"))
     slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK).cast("int")).alias("slot")
-    left = work.save(outside.groupBy("bucket", slot(F.col("n") - F.col("most"))).agg(items.alias("x")).drop("slot"),
-                     "left")
-    right = work.save(opened.groupBy("bucket", slot(F.col("n"))).agg(items.alias("y")).drop("slot"), "right")
+    left = outside.groupBy("bucket", slot(F.col("n") - F.col("most"))).agg(items.alias("x")).drop("slot")
+    right = filled.groupBy("bucket", slot(F.col("n"))).agg(items.alias("y")).drop("slot")
 
     def unpack(column: pa.Array):
         return (column.field("node").to_numpy(zero_copy_only=False), column.field("component").to_numpy(
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     found = work.save(components(links, work, "cc1"), "found1")
     work.drop("links")
     fresh = work.save(_open_links(members, found, signatures, sets, work, least, percent), "fresh")
-    work.drop("members", "signatures", "sets", "placed", "open", "opened", "left", "right")
+    work.drop("members", "signatures", "sets", "placed", "open", "opened")
     if fresh.limit(1).count():
         joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)
         found = work.save(components(joined, work, "cc2"), "found2")
