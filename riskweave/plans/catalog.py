@@ -6,6 +6,8 @@ scalar columns only; lists are joined to text and money is decimal(18,2).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from riskweave.operators import (features, links, matching, monitor, paths, scor
 from riskweave.operators.ordering import positions
 from riskweave.operators.scoring import Channel, Rule
 from riskweave.plans import batch as plans
-from riskweave.session import cut_lineage
-from riskweave.sources import order_json
+from riskweave.plans.domain import ORDERS
+from riskweave.session import cut_lineage, shared_path
+from riskweave.sources import order_json, sinks
 from riskweave.sources.tables import MATCHER_CONFIG, Tables
 
 LINK_DEPTH = 3
@@ -173,8 +176,8 @@ def filter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_text_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    big = t.lineitem.filter("l_quantity >= 49")
-    rows = t.part.join(big, F.col("p_partkey") == F.col("l_partkey"), "left")
+    rows = t.part.join(t.lineitem, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn(
+        "l_orderkey", F.when(F.col("l_quantity") >= 49, F.col("l_orderkey")))
     registry = {"name": (STRING, F.col("p_name")), "order": (INT, F.col("l_orderkey")),
                 "brand": (STRING, F.col("p_brand")), "kind": (STRING, F.col("p_type"))}
     without = filters.filter_transactions(rows, registry, [
@@ -293,6 +296,24 @@ def direct_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.direct_summary(_shared(Tables(spark, sf_dir)))
 
 
+def direct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every direct connection of the last month's orders."""
+    t = Tables(spark, sf_dir)
+    return links.direct_connections(_shared(t), _recent(t))
+
+
+def batch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs that hold an order of the last month."""
+    t = Tables(spark, sf_dir)
+    return links.pair_links(_shared(t), _recent(t))
+
+
+def batch_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the last month's orders with all their attributes."""
+    t = Tables(spark, sf_dir)
+    return _edge_rows(links.neighbours(_shared(t), _recent(t)))
+
+
 # paths
 
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,8 +367,8 @@ def simple_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).events.select(
-        "event_id", F.date_format("ts", "HH:mm:ss").alias("order_time"))
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return Tables(spark, sf_dir).events.select("event_id", values.time_of_day(utc).alias("order_time"))
 
 
 def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,16 +454,36 @@ def triggered_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_number", "total_score", "rule", "triggered_count")
 
 
+def _channel_table(spark: SparkSession, channels: Sequence[Channel]) -> DataFrame:
+    """The control table of channels, as ``scoring.read_channels`` takes it."""
+    rows = [(c.name, c.is_active, (c.model_type, [
+        (r.name, r.description, r.rule, r.score) for r in c.rules])) for c in channels]
+    rule = "struct<name:string,description:string,rule:string,score:int>"
+    return spark.createDataFrame(rows, "channel_name string, is_active boolean, "
+                                       f"model struct<model_type:string,expression_rules:array<{rule}>>")
+
+
 def score_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels over simple features and direct connections; rules that need
-    the connected count do not trigger here."""
+    """Channels of the control table over simple features and both graph counts."""
     t = Tables(spark, sf_dir)
-    rows = _simple(t).join(links.direct_counts(_shared(t)), "payload_number", "left").withColumn(
-        "direct_connection_count", F.coalesce("direct_connection_count", F.lit(0)))
-    return scoring.score_channels(rows, CHANNELS).select(
+    simple = _simple(t)
+    rows = features.combine_features(simple, plans.graph_features_of(simple, _shared(t), everything=True))
+    return scoring.score_channels(rows, scoring.read_channels(_channel_table(spark, CHANNELS))).select(
         "payload_number", "channel", "total_score", _joined("triggered").alias("triggered"))
 
 
+def channel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a channel, appended to their table and read back for finished orders."""
+    t = Tables(spark, sf_dir)
+    channels = scoring.read_channels(_channel_table(spark, [Channel("orders", RULES)]))
+    path = shared_path(spark, "events")
+    sinks.append_run(scoring.score_channels(_simple(t), channels), path, 1)
+    finished = t.orders.filter("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").cast("string").alias("payload_number"))
+    return scoring.events_of(sinks.read_runs(spark, path), finished).select(
+        "payload_number", "channel", "total_score", _joined("triggered").alias("triggered"), "run")
+
+
 # processing
 
 def process_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,6 +607,22 @@ def reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         rejected.select(F.coalesce("payload.id", F.lit("")).alias("id"), "reason"))
 
 
+def order_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order documents written as JSON lines and read by the file source."""
+    path = shared_path(spark, "orders")
+    _documents(Tables(spark, sf_dir)).write.text(path)
+    good, rejected = order_json.split_rejected(order_json.read_orders(spark, path))
+    return good.select(F.col("payload.id").alias("id"), F.lit("imported").alias("reason")).unionByName(
+        rejected.select(F.coalesce("payload.id", F.lit("")).alias("id"), "reason"))
+
+
+def domain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match nodes of the order domain's own matchers over the order documents."""
+    good, _ = order_json.split_rejected(_parsed_documents(Tables(spark, sf_dir)))
+    fields = ORDERS.matching_fields(good.withColumn("payload_number", F.col("payload.id")))
+    return matching.match_nodes(matching.node_members(fields), ORDERS.config)
+
+
 def payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = order_json.split_rejected(_parsed_documents(Tables(spark, sf_dir)))
     names = ["created", "order_number", "state", "origin", "checkout_time", "report_date",
@@ -594,6 +651,7 @@ QUERIES = {f.__name__: f for f in [
     filter_scalar, filter_sets, filter_text_null, filter_groups, search_page,
     match_nodes, value_dictionary, match_timespace, match_merge,
     pair_edges, edge_summary, adjacency, neighbours, edge_refresh, direct_connections,
+    direct_rows, batch_links, batch_neighbours, domain_nodes, order_source, channel_events,
     connected, connected_topk, graph_tree,
     simple_features, time_feature, graph_features, feature_pack, feature_unpack,
     feature_violations, feature_save,

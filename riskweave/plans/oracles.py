@@ -158,6 +158,10 @@ FROM (SELECT payload_number, is_new_customer AS a, dc = 0 AS b FROM {source})
 """
 
 
+RECENT = """
+recent AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01')
+"""
+
 AFFECTED = """
 affected AS (
   SELECT DISTINCT target AS payload_number FROM ranked
@@ -231,8 +235,8 @@ WHERE l_quantity BETWEEN 5 AND 40 AND l_returnflag IN ('A', 'R')
   AND l_linenumber IN (1, 2, 3, 5) AND l_suppkey NOT IN (1, 2, 3)""",
     "filter_text_null": """
 WITH r AS (
-  SELECT p_partkey, p_name, p_brand, p_type, l_orderkey FROM part
-  LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity >= 49) ON p_partkey = l_partkey)
+  SELECT p_partkey, p_name, p_brand, p_type, CASE WHEN l_quantity >= 49 THEN l_orderkey END AS l_orderkey
+  FROM part LEFT JOIN lineitem ON p_partkey = l_partkey)
 SELECT p_partkey, CAST(-1 AS BIGINT) AS orderkey, p_name, p_brand FROM r
 WHERE contains(p_name, 'ring') AND l_orderkey IS NULL
 UNION ALL
@@ -287,6 +291,39 @@ SELECT d.payload_number, d.direct_connection_count, s.max_confidence, s.max_impo
 FROM direct d JOIN (
   SELECT payload_number, max(confidence) AS max_confidence, max(importance) AS max_importance
   FROM shared GROUP BY 1) s ON s.payload_number = d.payload_number""",
+    "direct_rows": f"""
+WITH {MEMBERS}, {RECENT}
+SELECT a.payload_number AS root, b.payload_number, a.matcher,
+       max(a.confidence) AS confidence, max(a.importance) AS importance
+FROM shared a JOIN recent r ON r.id = a.payload_number
+JOIN shared b ON a.matcher = b.matcher AND a.value = b.value AND a.payload_number <> b.payload_number
+GROUP BY 1, 2, 3""",
+    "batch_links": f"""
+WITH {PAIRS}, {RECENT}
+SELECT * FROM links WHERE a_id IN (SELECT id FROM recent) OR b_id IN (SELECT id FROM recent)""",
+    "batch_neighbours": f"""
+WITH {PAIRS}, {RECENT}
+SELECT id AS src_id, CASE WHEN a_id = id THEN b_id ELSE a_id END AS dst_id,
+       attributes, best_attribute, best_confidence, connection_types
+FROM recent JOIN edges ON id = a_id OR id = b_id""",
+    "domain_nodes": f"""
+WITH {DOCUMENTS},
+fields AS (
+  SELECT 'customer.email' AS matcher, lower(replace(c_name, '#', '.')) || '@example.com' AS value,
+         100 AS confidence, 90 AS importance FROM docs WHERE reason = 'imported' AND good_account
+  UNION ALL
+  SELECT 'customer.name', CASE WHEN good_account THEN c_name || ' ' || c_mktsegment ELSE c_name END, 80, 50
+  FROM docs WHERE reason = 'imported')
+SELECT matcher, value, count(*) AS size, confidence, importance FROM fields
+GROUP BY matcher, value, confidence, importance""",
+    "order_source": f"""
+WITH {DOCUMENTS}
+SELECT CASE WHEN reason = 'malformed record' THEN '' ELSE id END AS id, reason FROM docs""",
+    "channel_events": f"""
+WITH {SIMPLE}, {RULE_FLAGS}
+SELECT payload_number, 'orders' AS channel, total_score, triggered, CAST(1 AS BIGINT) AS run
+FROM scored WHERE payload_number IN (
+  SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')""",
     "connected": f"""
 WITH {CONNECTED}
 SELECT root, confidence, hops, count(*) AS partners, min(target) AS first_partner,
@@ -371,10 +408,11 @@ WITH {SIMPLE}, {RULE_FLAGS}
 SELECT payload_number, total_score, unnest(string_split(triggered, ',')) AS rule, triggered_count
 FROM scored WHERE triggered <> ''""",
     "score_channels": f"""
-WITH {DIRECT}, {SIMPLE},
-rows_ AS (
-  SELECT s.*, 0 AS cc, coalesce(d.direct_connection_count, 0) AS dc
-  FROM simple s LEFT JOIN direct d ON d.payload_number = s.payload_number)
+WITH {DIRECT}, {_reach(10, 200)}, {SIMPLE},
+rows_ AS MATERIALIZED (
+  SELECT s.*, coalesce(c.connected_transaction_count, 0) AS cc, coalesce(d.direct_connection_count, 0) AS dc
+  FROM simple s LEFT JOIN direct d ON d.payload_number = s.payload_number
+  LEFT JOIN connected c ON c.payload_number = s.payload_number)
 {_channels("rows_")}""",
     "process_orders": f"""
 WITH {DIRECT}, {_reach(10, 200)}, {SIMPLE},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,14 +28,20 @@ def build_session(app: str = "riskweave", master: str | None = None,
     return builder.getOrCreate()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; the warehouse is shared as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _prepare_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:  # the warehouse is shared as well
-        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    sc.setCheckpointDir(shared)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
