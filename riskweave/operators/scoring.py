@@ -40,18 +40,18 @@ def active_channels(channels: Sequence[Channel]) -> list[Channel]:
     return active
 
 
-def read_channels(table: DataFrame) -> list[Channel]:
+def read_channels(table: DataFrame, most_rules: int = MAX_RULES) -> list[Channel]:
     """Channels from a control table (channel_name, is_active, model).
 
     Rules become part of the query plan, so the table must be small; more than
-    ``MAX_RULES`` rules are refused.
+    ``most_rules`` active rules are refused, none is dropped.
     """
     rules = table.filter("is_active").select(
         "channel_name", "model.model_type",
         F.posexplode_outer("model.expression_rules").alias("pos", "rule"))
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = rules.limit(most_rules + 1).collect()
+    if len(rows) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
     found: dict[str, Channel] = {}
     for row in sorted(rows, key=lambda r: (r["channel_name"], r["pos"] or 0)):
         channel = found.get(row["channel_name"]) or Channel(row["channel_name"], (), True, row["model_type"])

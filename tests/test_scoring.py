@@ -97,3 +97,5 @@ def test_channel_table(spark):
     channels = {c.name: c for c in scoring.read_channels(table)}
     assert set(channels) == {"a", "empty"}
     assert [r.name for r in channels["a"].rules] == ["one", "two"] and channels["empty"].rules == ()
+    with pytest.raises(ValueError):
+        scoring.read_channels(table, most_rules=2)
