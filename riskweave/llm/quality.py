@@ -1,17 +1,20 @@
 """Quality rules and n-gram perplexity.
 
-The language model is a modified Kneser-Ney model over characters, one per
-language. Texts are lower-cased and folded to an alphabet of 64 symbols: the
-letters and signs of ``ALPHABET`` and, for every other code point, one of the
-remaining symbols by its number. So an n-gram is an integer of ``6 * n`` bits,
-exact, and the number of n-grams of a language has a fixed bound.
+The language model is a modified Kneser-Ney model of order 5 over characters,
+one per language. Texts are lower-cased and folded to an alphabet of 64
+symbols: the letters and signs of ``ALPHABET`` and, for every other code point,
+one of the remaining symbols by its number. An n-gram is an integer of
+``6 * n`` bits, held in one key with a hash of its language.
 
 Tasks count the n-grams of their own texts, Spark adds the counts up, and the
 lower orders' continuation counts, the discounts, probabilities and back-off
-weights are aggregates over that table. The finished model is held in sorted
-arrays of n-gram keys, searched by bisection. Each document's perplexity is
-then compared with a band of its language, taken from the quantiles of all its
-documents.
+weights are aggregates and joins over that table. Every n-gram of the corpus is
+kept, so the model grows with it: it is written to the shared folder as blocks
+of sorted keys, never sent to the driver or broadcast. A scoring task folds a
+run of texts, notes which contexts occur there and looks these up by bisection
+in one block after the other, so its memory does not depend on the model's
+size. Each document's perplexity is then compared with a band of its language,
+taken from the quantiles of all its documents.
 """
 
 from __future__ import annotations
@@ -19,17 +22,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.common import Workspace, add_columns, prepare_workers, slices
-
-#: Order of the model. Keys have 6 bits a symbol, so a language has at most
-#: 2 ** 18 trigrams, 2 ** 12 bigrams and 64 symbols: some 4 MB whatever the corpus.
-ORDER = 3
+from riskweave.llm.common import Workspace, prepare_workers, slices
+
+#: Order of the model; n-grams take 6 bits a symbol.
+ORDER = 5
+#: Bits of a key below the hash of its language, and those of the n-gram.
+GRAM_BITS = 6 * ORDER
+GRAM = (1 << GRAM_BITS) - 1
+LANG = (1 << 60) - 1 - GRAM
+#: Rows of a model block; blocks grow in number with the corpus.
+BLOCK = 1 << 18
+#: Symbols that a task counts or scores at a time, and contexts it looks up at once.
+COUNTED, SCORED, LOOKED_UP = 1 << 23, 1 << 24, 1 << 18
 #: Symbol 0 is white space (one for a run), then these; others share the rest.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíïñóôöùúûüß.,0"
 SYMBOLS = 64
@@ -120,180 +131,214 @@ def keys_of(symbols: np.ndarray, order: int) -> np.ndarray:
 
 # -- counting and estimation
 
-def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``lang, gram, n`` over all texts; a null language is a language of its own.
+def lang_number() -> Column:
+    """30 bits of a hash of ``lang``; a null language has a number as well."""
+    return F.shiftrightunsigned(F.xxhash64("lang"), 34)
 
-    A task holds one dense table of ``2 ** 18`` counts a language at a time
-    for the texts of an Arrow batch and emits the n-grams that occur.
-    """
+
+def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, n`` over all texts; a task adds up the n-grams of some millions of symbols at a time."""
     prepare_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, space = Folder(), 1 << 6 * order
-        totals: dict[str | None, np.ndarray] = {}
+        fold, held, size = Folder(), {}, 0
 
         def emptied():
-            for lang, counts in totals.items():
-                used = np.flatnonzero(counts)
+            for number, parts in held.items():
+                grams, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)),
-                     pa.array(counts[used])], names=["lang", "gram", "n"])
-            totals.clear()
+                    [pa.array(number << GRAM_BITS | grams.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["key", "n"])
+            held.clear()
 
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1)
+            numbers, texts = batch.column(0).to_pylist(), batch.column(1)
             lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
             for a, b in slices(lengths, 1 << 20):
-                grams: dict[str | None, list[np.ndarray]] = {}
-                for lang, text in zip(langs[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
-                    grams.setdefault(lang, []).append(keys_of(fold(text or ""), order))
-                for lang, parts in grams.items():
-                    if lang not in totals:
-                        if len(totals) >= 64:  # tables of languages that a task has met
-                            yield from emptied()
-                        totals[lang] = np.zeros(space, dtype=np.int64)
-                    totals[lang] += np.bincount(np.concatenate(parts), minlength=space)
+                for number, text in zip(numbers[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
+                    grams = keys_of(fold(text or ""), order)
+                    held.setdefault(number, []).append(grams)
+                    size += len(grams)
+                if size >= COUNTED:
+                    yield from emptied()
+                    size = 0
         yield from emptied()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram int, n long").groupBy(
-        "lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(lang_number().alias("number"), "text").mapInArrow(run, "key long, n long").groupBy(
+        "key").agg(F.sum("n").alias("n"))
+
+
+def _discounted(grams: DataFrame) -> DataFrame:
+    """Adds ``d``: the discount of a row by its count and its language's counts of counts."""
+    number = F.shiftright("key", GRAM_BITS)
+    times = [F.sum(F.when(F.col("c") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(1, 5)]
+    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+
+    def discount(i: int) -> Column:
+        ratio = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        some = F.when(F.col(f"n{i}") > 0, ratio).otherwise(F.lit(0.5))
+        return F.least(F.greatest(some, F.lit(0.05)), F.lit(float(i)) - 0.05)
+
+    rates = grams.groupBy(number.alias("l")).agg(*times).select(
+        "l", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
+    taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return grams.join(rates, number == F.col("l")).withColumn(
+        "d", F.least(taken, F.col("c"))).drop("l", "d1", "d2", "d3")
+
 
+def _cut(size: int) -> Column:
+    """A key's last ``size`` symbols, with its language."""
+    return F.col("key").bitwiseAND(LANG | ((1 << 6 * size) - 1))
 
-def estimate(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``lang, size, gram, logp, backoff`` of all orders by modified Kneser-Ney.
+
+def estimate(counts: DataFrame, work: Workspace, order: int = ORDER) -> dict[int, DataFrame]:
+    """``key, p, weight`` for every order by modified Kneser-Ney, in written blocks of sorted keys.
 
     The highest order uses the counts, each lower one the number of distinct
     symbols before an n-gram. Discounts per language and order come from the
-    number of n-grams counted once, twice, three and four times.
+    number of n-grams counted once, twice, three and four times. ``weight`` is
+    the back-off weight of a row's context, the same in all its rows.
     """
-    levels = {order: counts.select("lang", "gram", F.col("n").cast("double").alias("c"))}
+    levels = {order: counts.select("key", F.col("n").cast("double").alias("c"))}
     for size in range(order - 1, 0, -1):
-        levels[size] = levels[size + 1].groupBy(
-            "lang", F.col("gram").bitwiseAND((1 << 6 * size) - 1).alias("gram")).agg(
-            F.count(F.lit(1)).cast("double").alias("c"))
-    lower = None
-    tables = []
+        levels[size] = work.save(levels[size + 1].groupBy(_cut(size).alias("key")).agg(
+            F.count(F.lit(1)).cast("double").alias("c")), f"level-{size}")
+    model: dict[int, DataFrame] = {}
     for size in range(1, order + 1):
-        grams = levels[size].withColumn("context", F.shiftright("gram", 6))
-        times = [F.sum(F.when(F.col("c") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(1, 5)]
-        rates = grams.groupBy("lang").agg(*times)
-        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-        discount = lambda i: F.least(F.greatest(
-            F.when(F.col(f"n{i}") > 0, i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(
-                F.lit(0.5)), F.lit(0.05)), F.lit(float(i)) - 0.05)
-        rates = rates.select(F.col("lang").alias("l"), *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
-        taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams = grams.join(rates, F.col("lang").eqNullSafe(F.col("l"))).withColumn(
-            "d", F.least(taken, F.col("c"))).drop("l", "d1", "d2", "d3")
-        inside = Window.partitionBy("lang", "context")
-        grams = grams.withColumns({"total": F.sum("c").over(inside), "held": F.sum("d").over(inside)})
-        if lower is None:
-            base = F.lit(1.0 / SYMBOLS)
-        else:
-            low = lower.select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("p").alias("base"))
-            grams = grams.join(low, F.col("lang").eqNullSafe(F.col("l")) & (
-                F.col("gram").bitwiseAND((1 << 6 * (size - 1)) - 1) == F.col("g"))).drop("l", "g")
-            base = F.col("base")
-        grams = grams.withColumn("p", (F.col("c") - F.col("d") + F.col("held") * base) / F.col("total"))
-        lower = grams.select("lang", "gram", "p")
-        # The row of a context's first n-gram also carries the context's back-off weight.
-        tables.append(grams.select(
-            "lang", F.lit(size).alias("size"), "gram", "context", F.log("p").alias("logp"),
-            F.log(F.col("held") / F.col("total")).alias("backoff")))
-    found = tables[0]
-    for table in tables[1:]:
-        found = found.unionByName(table)
-    return found
+        context = F.col("key").bitwiseAND(LANG).bitwiseOR(F.shiftright(F.col("key").bitwiseAND(GRAM), 6))
+        inside = Window.partitionBy("context")
+        grams = _discounted(levels[size]).withColumn("context", context).withColumns(
+            {"total": F.sum("c").over(inside), "held": F.sum("d").over(inside)})
+        base = F.lit(1.0 / SYMBOLS)
+        if size > 1:
+            lower = model[size - 1].select(F.col("key").alias("short"), F.col("p").alias("base"))
+            grams, base = grams.join(lower, _cut(size - 1) == F.col("short")), F.col("base")
+        rows = grams.select(
+            "key", ((F.col("c") - F.col("d") + F.col("held") * base) / F.col("total")).alias("p"),
+            (F.col("held") / F.col("total")).alias("weight"))
+        blocks = -(-levels[size].count() // BLOCK) or 1
+        model[size] = work.save(rows.coalesce(blocks).sortWithinPartitions("key"), f"model-{size}")
+    work.drop(*(f"level-{size}" for size in range(1, order)))
+    return model
 
 
 class KneserNey:
-    """The model of all languages in sorted arrays of keys.
+    """Reads the model of all languages from its blocks of sorted keys.
 
-    A key holds the number of the language, the size and the n-gram; a second
-    pair of arrays holds the back-off weights of contexts.
+    It holds file names only and goes to tasks as it is.
     """
 
-    def __init__(self, rows: pd.DataFrame, order: int = ORDER):
-        self.order = order
-        self.langs = {k: i for i, k in enumerate(sorted(set(rows["lang"].where(rows["lang"].notna(), None)),
-                                                        key=lambda x: (x is not None, x or "")))}
-        number = rows["lang"].where(rows["lang"].notna(), None).map(self.langs).to_numpy(np.int64)
-        head = (number * 8 + rows["size"].to_numpy(np.int64)) << 40
-        keys = head | rows["gram"].to_numpy(np.int64)
-        place = np.argsort(keys)
-        self.keys, self.logp = keys[place], rows["logp"].to_numpy(np.float32)[place]
-        contexts, first = np.unique(head | rows["context"].to_numpy(np.int64), return_index=True)
-        self.contexts, self.backoff = contexts, rows["backoff"].to_numpy(np.float32)[first]
-
-    @staticmethod
-    def _search(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float):
-        if not len(keys):
-            return np.full(len(wanted), missing, np.float32), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        there = keys[at] == wanted
-        return np.where(there, values[at], np.float32(missing)), there
-
-    def table(self, lang: str | None) -> np.ndarray:
-        """Log probability of every possible n-gram of highest order, unseen ones by back-off.
-
-        Its size is fixed (2 ** 18), so a worker searches the arrays once a
-        language instead of once a position.
-        """
-        number = self.langs.get(lang, -1)
-        grams = np.arange(1 << 6 * self.order, dtype=np.int64)
-        logp = np.full(len(grams), np.nan, np.float32)
-        carried = np.zeros(len(grams), np.float32)
-        for size in range(self.order, 0, -1):
-            head = np.int64(number * 8 + size) << 40
-            tail = grams & ((1 << 6 * size) - 1)
-            value, there = self._search(self.keys, self.logp, head | tail, 0)
-            fresh = np.isnan(logp) & there
-            logp[fresh] = carried[fresh] + value[fresh]
-            weight, _ = self._search(self.contexts, self.backoff, head | (tail >> 6), 0)
-            carried += weight
-        return np.where(np.isnan(logp), carried - np.float32(np.log(SYMBOLS)), logp)
-
-
-def learn(docs: DataFrame, work: Workspace, order: int = ORDER) -> pd.DataFrame:
-    """The model's rows on the driver: at most some 270,000 per language by the alphabet."""
+    def __init__(self, tables: dict[int, DataFrame]):
+        self.order = max(tables)
+        self.files = {size: sorted(table.inputFiles()) for size, table in tables.items()}
+
+    def _blocks(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for uri in self.files[size]:
+            filesystem, path = pafs.FileSystem.from_uri(uri)
+            block = pq.read_table(path, filesystem=filesystem, columns=["key", "p", "weight"])
+            key, p, weight = (c.to_numpy() for c in block.columns)
+            yield key, np.log(p).astype(np.float32), np.log(weight).astype(np.float32)
+
+    def distribution(self, number: int, contexts: np.ndarray, size: int | None = None) -> np.ndarray:
+        """Log probability of each of the 64 symbols (columns) after each context (rows, ascending)."""
+        size = self.order if size is None else size
+        if size == 0:
+            return np.full((len(contexts), SYMBOLS), -np.log(SYMBOLS), np.float32)
+        shorter, place = np.unique(contexts & ((1 << 6 * max(0, size - 2)) - 1), return_inverse=True)
+        result = self.distribution(number, shorter, size - 1)[place]
+        seen = np.full(result.shape, np.nan, np.float32)
+        backoff = np.zeros(len(contexts), np.float32)
+        wanted = number << GRAM_BITS | contexts.astype(np.int64) << 6
+        for key, logp, weight in self._blocks(size):
+            first = np.searchsorted(key, wanted)
+            n = np.searchsorted(key, wanted | SYMBOLS - 1, side="right") - first
+            rows = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(rows)) + np.repeat(first - np.cumsum(n) + n, n)
+            seen[rows, key[at] & SYMBOLS - 1] = logp[at]
+            backoff[rows] = weight[at]
+        result += backoff[:, None]
+        np.copyto(result, seen, where=~np.isnan(seen))
+        return result
+
+    def score(self, number: int, grams: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of each n-gram of highest order."""
+        context = grams >> 6
+        place = np.zeros(1 << 6 * (self.order - 1), np.int32)
+        place[context] = 1
+        contexts = np.flatnonzero(place)
+        place[contexts] = np.arange(len(contexts))
+        row, symbol = place[context], grams & SYMBOLS - 1
+        found = np.empty(len(grams), np.float32)
+        for at in range(0, len(contexts), LOOKED_UP):
+            part = self.distribution(number, contexts[at:at + LOOKED_UP])
+            mine = slice(None) if len(part) == len(contexts) else np.flatnonzero(
+                (row >= at) & (row < at + LOOKED_UP))
+            found[mine] = part[row[mine] - at, symbol[mine]]
+        return found
+
+
+def learn(docs: DataFrame, work: Workspace, order: int = ORDER) -> KneserNey:
+    """The model of all texts, written to ``work``."""
     counts = work.save(count_ngrams(docs, order), "counts")
-    rows = estimate(counts, order).toPandas()
+    model = KneserNey(estimate(counts, work, order))
     work.drop("counts")
-    return rows
+    return model
+
+
+def _mean_scores(model: KneserNey, numbers: list[int], grams: list[np.ndarray]) -> list[float | None]:
+    """Mean negative log probability a symbol of each text; null for texts without n-grams."""
+    means: list[float | None] = [None] * len(grams)
+    for number in set(numbers):
+        mine = [i for i, n in enumerate(numbers) if n == number and len(grams[i])]
+        if mine:
+            scores = model.score(number, np.concatenate([grams[i] for i in mine]))
+            ends = np.cumsum([len(grams[i]) for i in mine])
+            for i, end in zip(mine, ends.tolist(), strict=True):
+                means[i] = -float(scores[end - len(grams[i]):end].mean(dtype=np.float64))
+    return means
 
 
 def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
     """Base counts and ``log_ppl`` (mean negative log probability a symbol; null for empty texts)."""
     added = T.StructType([*BASE.fields, T.StructField("log_ppl", T.DoubleType())])
     prepare_workers(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in added.names]
-    through = [c for c in columns if c != "text"]
+    through = [c for c in docs.columns if c not in added.names and c != "text"]
     schema = T.StructType([docs.schema[c] for c in through] + list(added.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, tables = Folder(), {}
+        fold = Folder()
+        parts, base, numbers, grams = [], [], [], []
+
+        def emptied():
+            ppl, at = _mean_scores(model, numbers, grams), 0
+            for part in parts:
+                rows = slice(at, at + part.num_rows)
+                made = [pa.array(list(c), pa.int64()) for c in zip(*base[rows], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    part.columns + made + [pa.array(ppl[rows], pa.float64())], names=through + added.names)
+                at += part.num_rows
+            for held in (parts, base, numbers, grams):
+                held.clear()
+
+        size = 0
         for batch in batches:
-            text_column = batch.column(batch.schema.get_field_index("text"))
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            lengths = [n or 0 for n in pa.compute.binary_length(text_column).to_pylist()]
+            texts = batch.column(0)
+            rest = pa.RecordBatch.from_arrays(batch.columns[2:], names=through)
+            lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
             for a, b in slices(lengths, 1 << 20):
-                base, ppl = [], []
-                for lang, text in zip(langs[a:b], text_column.slice(a, b - a).to_pylist(), strict=True):
-                    text = text or ""
-                    base.append(base_counts(text))
-                    keys = keys_of(fold(text), model.order)
-                    if lang not in tables:
-                        if len(tables) >= 64:
-                            tables.clear()
-                        tables[lang] = model.table(lang)
-                    ppl.append(-float(tables[lang][keys].mean(dtype=np.float64)) if len(keys) else None)
-                part = batch.slice(a, b - a)
-                made = [pa.array(list(c), pa.int64()) for c in zip(*base, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in through] + made
-                    + [pa.array(ppl, pa.float64())], names=through + added.names)
+                parts.append(rest.slice(a, b - a))
+                numbers.extend(batch.column(1).slice(a, b - a).to_pylist())
+                for text in texts.slice(a, b - a).to_pylist():
+                    base.append(base_counts(text or ""))
+                    grams.append(keys_of(fold(text or ""), model.order))
+                    size += len(grams[-1])
+                if size >= SCORED:
+                    yield from emptied()
+                    size = 0
+        if parts:
+            yield from emptied()
 
-    return docs.select(*(f"`{c}`" for c in columns)).mapInArrow(run, schema)
+    return docs.select("text", lang_number().alias("number"), *(f"`{c}`" for c in through)).mapInArrow(run, schema)
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -323,10 +368,11 @@ def judge(docs: DataFrame) -> DataFrame:
     rows as often as they stand there), and an empty table stays empty.
     """
     work = Workspace(docs.sparkSession, "quality")
-    model = KneserNey(learn(docs, work))
+    model = learn(docs, work)
     own = ("base_failed", "lower", "upper", "kept", "band_lang")
     clean = docs.drop(*(c for c in docs.columns if c in own))
     measured = work.save(measure(clean, model).withColumn("base_failed", base_failed()), "measured")
+    work.drop(*(f"model-{size}" for size in model.files))
     limits = work.save(bands(measured), "bands")
     inside = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
     return measured.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn(

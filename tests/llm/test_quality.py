@@ -31,7 +31,7 @@ def test_base_counts(text):
     assert quality.base_counts(text) == plain_base(text)
 
 
-def plain_model(texts, order=3):
+def plain_model(texts, order=quality.ORDER):
     """Modified Kneser-Ney in dictionaries: a function from a symbol list to its mean -log p."""
     fold = quality.Folder()
     levels = {order: Counter(tuple(s[i:i + order].tolist()) for s in map(fold, texts)
@@ -84,18 +84,43 @@ def test_perplexity_equals_a_plain_model(spark, small):
         assert got[doc_id]["base_failed"] == (n_words < 50 or 100 * repeated > 50 * n_words)
 
 
-def test_unseen_texts_back_off(spark, small):
+def number_of(spark, lang):
+    row = spark.createDataFrame([(lang,)], "lang string").select(quality.lang_number()).first()
+    return row[0]
+
+
+def test_unseen_texts_back_off(spark, small, monkeypatch):
     docs = spark.createDataFrame(small, "doc_id long, text string, lang string")
-    model = quality.KneserNey(quality.learn(docs, Workspace(spark, "t")))
+    work = Workspace(spark, "t")
+    monkeypatch.setattr(quality, "BLOCK", 5000)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    model = quality.learn(docs, work)
+    spark.conf.unset(merging)
+    assert len(model.files[quality.ORDER]) > 1
     plain = plain_model([t for _, t, x in small if x == "en"])
-    fold = quality.Folder()
-    table = model.table("en")
-    for text in ("qqxq zzyzx", "ßß 12 #", "the and of", "漢字 漢"):
-        keys = quality.keys_of(fold(text), 3)
-        assert abs(-table[keys].mean() - plain(text)) < 1e-4
-    assert abs(model.table("none").mean() + math.log(64)) < 1e-4
+    fold, english = quality.Folder(), number_of(spark, "en")
+    texts = ("qqxq zzyzx", "ßß 12 #", "the and of", "漢字 漢", small[0][1])
+    for most in (1 << 18, 7):
+        monkeypatch.setattr(quality, "LOOKED_UP", most)
+        for text in texts[:4] if most == 7 else texts:
+            keys = quality.keys_of(fold(text), quality.ORDER)
+            assert abs(-model.score(english, keys).mean() - plain(text)) < 1e-4
+    assert np.allclose(model.score(number_of(spark, "none"), keys), -math.log(64))
     # Probabilities after a context add up to one.
-    assert np.allclose(np.exp(table.astype(float)).reshape(-1, 64).sum(axis=1), 1, atol=1e-4)
+    contexts = np.unique(quality.keys_of(fold(small[0][1] + " qzqzq"), quality.ORDER - 1))
+    assert np.allclose(np.exp(model.distribution(english, contexts).astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_model_grows_with_its_corpus(spark):
+    texts = [" ".join(f"{a}{b}{c}" for c in "bdgklmnt") for a in "bdgklmnt" for b in "aeiouy"]
+    sizes = []
+    for part in (texts[:8], texts):
+        docs = spark.createDataFrame([(t, "en") for t in part], "text string, lang string")
+        grams = {g for t in part for g in quality.keys_of(quality.Folder()(t), quality.ORDER).tolist()}
+        sizes.append(quality.count_ngrams(docs).count())
+        assert sizes[-1] == len(grams)
+    assert sizes[1] > 4 * sizes[0]
 
 
 def test_bands_reject_noise_and_keep_prose(spark):
