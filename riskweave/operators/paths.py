@@ -73,18 +73,30 @@ def _nearest(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return top_per_key(best, keys, [F.col("payload_number")], limit + 1)
 
 
-def _hub_lists(members: DataFrame, hubs: DataFrame, limit: int, depth: int) -> DataFrame:
+def _hub_lists(members: DataFrame, hubs: DataFrame, parts: DataFrame | None, limit: int,
+               depth: int) -> DataFrame:
     """What a source finds in a hub, per number of hops it has left.
 
     (node, within, payload_number, hops, suffix): the ``limit + 1`` lowest
     payload numbers that are in the hub or that it leads to without loss. They
-    fill the list of whoever gets to the hub, so a search ends there.
+    fill the list of whoever gets to the hub, so a search ends there. ``parts``
+    (joint, node) names hubs whose lists a joint hub takes over.
     """
+    def with_parts(lists: DataFrame) -> DataFrame:
+        if parts is None:
+            return lists
+        taken = parts.join(lists, "node").select(
+            F.col("joint").alias("node"), "payload_number", "hops", "suffix")
+        return _nearest(lists.select(*taken.columns).unionByName(taken), ["node"], limit)
+
     free = members.filter("node_conf = 100").select("node", "payload_number", "matcher")
-    own = cut_lineage(_nearest(hubs.unionByName(free.drop("matcher")).distinct().select(
+    own = cut_lineage(with_parts(_nearest(hubs.unionByName(free.drop("matcher")).distinct().select(
         "node", "payload_number", F.lit(1).alias("hops"),
-        F.array().cast("array<string>").alias("suffix")), ["node"], limit))
-    hub_ids = hubs.select("node").distinct()
+        F.array().cast("array<string>").alias("suffix")), ["node"], limit)))
+    hub_ids = hubs.select("node")
+    if parts is not None:
+        hub_ids = hub_ids.unionByName(parts.select(F.col("joint").alias("node")))
+    hub_ids = hub_ids.distinct()
     free_ids = free.select("node").distinct()
     places = cut_lineage(hubs.unionByName(free.drop("matcher")).distinct())
     lists, reached = [], own
@@ -97,7 +109,8 @@ def _hub_lists(members: DataFrame, hubs: DataFrame, limit: int, depth: int) -> D
             "step", "payload_number", (F.col("hops") + 1).alias("hops"),
             F.concat(F.array("matcher"), "suffix").alias("suffix")), ["step"], limit)
         found = places.withColumnRenamed("payload_number", "step").join(onward, "step").drop("step")
-        further = cut_lineage(_nearest(own.unionByName(found.select(*own.columns)), ["node"], limit))
+        further = cut_lineage(with_parts(_nearest(
+            own.unionByName(found.select(*own.columns)), ["node"], limit)))
         settled = further.join(free_ids, "node", "left_semi").select(
             "node", "payload_number", "hops").exceptAll(
             reached.join(free_ids, "node", "left_semi").select(
@@ -112,12 +125,13 @@ def _hub_lists(members: DataFrame, hubs: DataFrame, limit: int, depth: int) -> D
     return cut_lineage(reduce(DataFrame.unionByName, lists))
 
 
-def _partners(members: DataFrame, busy: DataFrame, by: list[str]) -> DataFrame:
+def _partners(members: DataFrame, busy: DataFrame, others: DataFrame, by: list[str]) -> DataFrame:
     """(busy, *by, payload_number, node): partners of busy transactions, with one
-    node each that they share. Nodes that agree in ``by`` are equally good."""
+    node each that they share. Nodes that agree in ``by`` are equally good.
+    ``others`` has at most ``limit + 1`` members a node."""
     mine = members.join(busy, "payload_number", "left_semi").select(
         F.col("payload_number").alias("busy"), "node", *by)
-    return mine.join(members.select("node", "payload_number"), "node").filter(
+    return mine.join(others.select("node", "payload_number"), "node").filter(
         "busy <> payload_number").groupBy("busy", *by, "payload_number").agg(
         F.min("node").alias("node"))
 
@@ -146,17 +160,24 @@ def _search_graph(members: DataFrame, limit: int, depth: int) -> _Graph:
 
     The nodes of a busy transaction that agree in matcher and confidence act as
     one hub if they hold enough partners; else they are few partners, and one
-    node for each will do.
+    node for each will do. Hubs among these nodes hand over their lists, so no
+    member of a hub is paired with a busy transaction.
     """
-    hubs = members.filter(F.col("size") > limit + 1).select("node", "payload_number")
+    large = F.col("size") > limit + 1
+    hubs = members.filter(large).select("node", "payload_number")
     busy = _busy(members, limit)
-    stations, lowest = members, 0
+    stations, lowest, parts = members, 0, None
     if not busy.isEmpty():
         kind = ["matcher", "node_conf"]
-        partners = cut_lineage(_partners(members, busy, kind))
-        joint = cut_lineage(partners.groupBy("busy", *kind).agg(
-            F.count("payload_number").alias("n")).filter(F.col("n") > limit).withColumn(
+        small = members.filter(~large)
+        partners = cut_lineage(_partners(small, busy, small, kind))
+        wide = members.filter(large).join(busy, "payload_number", "left_semi").select(
+            F.col("payload_number").alias("busy"), *kind, "node")
+        many = partners.groupBy("busy", *kind).agg(
+            F.count("payload_number").alias("n")).filter(F.col("n") > limit).drop("n")
+        joint = cut_lineage(many.unionByName(wide.drop("node")).distinct().withColumn(
             "joint", -1 - F.monotonically_increasing_id()))
+        parts = cut_lineage(wide.join(joint, ["busy", *kind]).select("joint", "node"))
         hubs = hubs.unionByName(partners.join(joint, ["busy", *kind]).select(
             F.col("joint").alias("node"), "payload_number"))
         few = partners.join(joint, ["busy", *kind], "left_anti")
@@ -165,7 +186,7 @@ def _search_graph(members: DataFrame, limit: int, depth: int) -> _Graph:
             F.lit(limit + 2).cast("long").alias("size"))))
         lowest = members.agg(F.min("node_conf")).first()[0] or 0
     hubs = cut_lineage(hubs)
-    lists = None if hubs.isEmpty() else _hub_lists(members, hubs, limit, depth)
+    lists = None if hubs.isEmpty() else _hub_lists(members, hubs, parts, limit, depth)
     return _Graph(members, lists, stations, limit, depth, lowest)
 
 
@@ -326,7 +347,7 @@ def connected_counts(shared: DataFrame, max_depth: int = DEFAULT_DEPTH,
     stations = members
     if not busy.isEmpty():
         stations = cut_lineage(_only(members, busy, top_per_key(
-            _partners(members, busy, []), ["busy"], [F.col("payload_number")], limit + 1)))
+            _partners(members, busy, small, []), ["busy"], [F.col("payload_number")], limit + 1)))
     stations = stations.select("payload_number", F.col("node").alias("next"))
 
     start = _sources(members, roots).select(F.col("node").alias("src")).distinct()

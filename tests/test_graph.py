@@ -114,6 +114,22 @@ def test_busy_transaction_keeps_the_smallest_partners(spark):
     assert [r.connected_transaction_count for r in counts] == [5]
 
 
+def test_partners_of_busy_members_of_a_hot_node_stay_linear(spark, monkeypatch):
+    counted, found = [], paths._partners
+    monkeypatch.setattr(paths, "_partners", lambda *a: counted.append(found(*a).count()) or found(*a))
+    for n in (30, 60):
+        names = [f"p{i:03d}" for i in range(n)]
+        nodes = [("hot", "h", 90, 1, names)] + [
+            ("own", f"{p}-{k}", 80, 1, [p, f"q{p}{k}"]) for p in names for k in range(8)]
+        shared = shared_of(spark, nodes)
+        roots = spark.createDataFrame([(names[9],)], "payload_number string")
+        best = [r.payload_number for r in paths.connected_transactions(shared, 2, 5, 0, roots).collect()]
+        assert sorted(best) == names[:5]
+        counts = paths.connected_counts(shared, 2, 5, 0, roots).collect()
+        assert [r.connected_transaction_count for r in counts] == [5]
+    assert counted[2:] == [pytest.approx(2 * c, rel=0.05) for c in counted[:2]]
+
+
 DIRECT = [("email", "e", 90, 80, "12"), ("phone", "p", 85, 75, "13")]
 
 
