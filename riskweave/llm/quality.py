@@ -13,8 +13,12 @@ kept, so the model grows with it: it is written to the shared folder as blocks
 of sorted keys, never sent to the driver or broadcast. A scoring task folds a
 run of texts, notes which contexts occur there and looks these up by bisection
 in one block after the other, so its memory does not depend on the model's
-size. Each document's perplexity is then compared with a band of its language,
-taken from the quantiles of all its documents.
+size. Each document's perplexity is then compared with a band of its language
+around the median, as wide as the median deviation from it tells.
+
+``judge(docs, held_out=True)``, which the query takes, scores each text by the
+counts of all other texts (``heldout``): in a model that holds the text itself,
+rare noise looks more predictable than prose.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.llm import heldout
 from riskweave.llm.common import Workspace, prepare_workers, slices
 
 #: Order of the model; n-grams take 6 bits a symbol.
@@ -44,8 +49,8 @@ COUNTED, SCORED, LOOKED_UP = 1 << 23, 1 << 24, 1 << 18
 #: Symbol 0 is white space (one for a run), then these; others share the rest.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíïñóôöùúûüß.,0"
 SYMBOLS = 64
-#: Bands reach this many times the distance from median to the outer quantiles beyond these.
-QUANTILES, REACH = (0.05, 0.5, 0.95), 4.0
+#: Bands reach this many standard deviations (told from the median deviation) from the median.
+REACH, NORMAL = 6.0, 1.4826
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: Characters that count as symbols.
 SIGNS = "#*$%&|<>"
@@ -129,6 +134,10 @@ def keys_of(symbols: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
+#: What the held-out model counts: a maker of tokens, its order and the bits of a token.
+TOKENS = (Folder, ORDER, 6)
+
+
 # -- counting and estimation
 
 def lang_number() -> Column:
@@ -298,19 +307,32 @@ def _mean_scores(model: KneserNey, numbers: list[int], grams: list[np.ndarray])
     return means
 
 
-def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
+def _held_out_scores(model: heldout.HeldOut, numbers: list[int], tokens: list[np.ndarray]) -> list[float | None]:
+    """The same by the model of all other texts."""
+    means: list[float | None] = [None] * len(tokens)
+    for number in set(numbers):
+        mine = [i for i, n in enumerate(numbers) if n == number and len(tokens[i]) >= model.order]
+        if mine:
+            for i, mean in zip(mine, model.score(number, [tokens[i] for i in mine]).tolist(), strict=True):
+                means[i] = mean
+    return means
+
+
+def measure(docs: DataFrame, model: KneserNey | heldout.HeldOut) -> DataFrame:
     """Base counts and ``log_ppl`` (mean negative log probability a symbol; null for empty texts)."""
     added = T.StructType([*BASE.fields, T.StructField("log_ppl", T.DoubleType())])
     prepare_workers(docs.sparkSession)
     through = [c for c in docs.columns if c not in added.names and c != "text"]
     schema = T.StructType([docs.schema[c] for c in through] + list(added.fields))
 
+    held_out = isinstance(model, heldout.HeldOut)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = Folder()
+        fold = TOKENS[0]() if held_out else Folder()
         parts, base, numbers, grams = [], [], [], []
 
         def emptied():
-            ppl, at = _mean_scores(model, numbers, grams), 0
+            ppl, at = (_held_out_scores if held_out else _mean_scores)(model, numbers, grams), 0
             for part in parts:
                 rows = slice(at, at + part.num_rows)
                 made = [pa.array(list(c), pa.int64()) for c in zip(*base[rows], strict=True)]
@@ -330,9 +352,10 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
                 numbers.extend(batch.column(1).slice(a, b - a).to_pylist())
                 for text in texts.slice(a, b - a).to_pylist():
                     base.append(base_counts(text or ""))
-                    grams.append(keys_of(fold(text or ""), model.order))
+                    tokens = fold(text or "")
+                    grams.append(tokens if held_out else keys_of(tokens, model.order))
                     size += len(grams[-1])
-                if size >= SCORED:
+                if size >= (heldout.SCORED if held_out else SCORED):
                     yield from emptied()
                     size = 0
         if parts:
@@ -342,15 +365,19 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """``band_lang, lower, upper`` per language over its documents that pass the base rules."""
-    q = F.percentile_approx("log_ppl", list(QUANTILES), 10_000).alias("q")
-    found = measured.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy(
-        F.col("lang").alias("band_lang")).agg(q)
-    low, mid, high = (F.col("q")[i] for i in range(3))
+    """``band_lang, lower, upper`` per language over its documents that pass the base rules.
+
+    Median and median deviation hold as long as less than half are junk.
+    """
+    middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    fair = measured.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).select("lang", "log_ppl")
+    mid = fair.groupBy(F.col("lang").alias("mid_lang")).agg(middle("log_ppl").alias("mid"))
+    far = fair.join(mid, F.col("lang").eqNullSafe(F.col("mid_lang"))).groupBy("mid_lang", "mid").agg(
+        middle(F.abs(F.col("log_ppl") - F.col("mid"))).alias("deviation"))
     # A language whose documents are all alike still has a band of some width.
-    reach = lambda part: F.greatest(REACH * part, F.lit(0.05))
-    return found.select("band_lang", (low - reach(mid - low)).alias("lower"),
-                        (high + reach(high - mid)).alias("upper"))
+    reach = F.greatest(REACH * NORMAL * F.col("deviation"), F.lit(0.05))
+    return far.select(F.col("mid_lang").alias("band_lang"), (F.col("mid") - reach).alias("lower"),
+                      (F.col("mid") + reach).alias("upper"))
 
 
 def base_failed() -> Column:
@@ -358,21 +385,22 @@ def base_failed() -> Column:
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, held_out: bool = False) -> DataFrame:
     """Base counts, ``base_failed``, ``log_ppl``, ``lower``, ``upper`` and ``kept`` for each row.
 
     Takes ``text`` and ``lang`` and passes other columns on; columns named
     like the added ones are replaced. A null text counts as empty, fails the
     base rules and has no perplexity; a null language is one of its own. Whole
     texts are counted and scored, all rows shape counts and bands (repeated
-    rows as often as they stand there), and an empty table stays empty.
+    rows as often as they stand there), and an empty table stays empty. With
+    ``held_out``, ``log_ppl`` is by the model of all other rows.
     """
     work = Workspace(docs.sparkSession, "quality")
-    model = learn(docs, work)
+    model = heldout.learn(docs, lang_number(), *TOKENS, work) if held_out else learn(docs, work)
     own = ("base_failed", "lower", "upper", "kept", "band_lang")
     clean = docs.drop(*(c for c in docs.columns if c in own))
     measured = work.save(measure(clean, model).withColumn("base_failed", base_failed()), "measured")
-    work.drop(*(f"model-{size}" for size in model.files))
+    work.drop(*(f"{'held' if held_out else 'model'}-{size}" for size in model.files))
     limits = work.save(bands(measured), "bands")
     inside = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
     return measured.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn(

@@ -61,7 +61,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and perplexity bands for every text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return quality.judge(docs).select(
+    return quality.judge(docs, held_out=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "log_ppl", "lower", "upper")
 
