@@ -142,7 +142,8 @@ def _parts(key, bits: int):
     return key >> bits, key & (1 << bits) - 1
 
 
-def learn(docs: DataFrame, number, make: Callable, order: int, bits: int, work: Workspace) -> HeldOut:
+def learn(docs: DataFrame, number, make: Callable, order: int, bits: int, work: Workspace,
+          name: str = "held") -> HeldOut:
     """Counts of all orders over ``text``, in ``work``; ``make`` gives a task its function from text to tokens."""
     prepare_workers(docs.sparkSession)
 
@@ -186,5 +187,5 @@ def learn(docs: DataFrame, number, make: Callable, order: int, bits: int, work:
         added = dealt.groupBy("number", "context", "next").agg(F.sum("c").alias("c"))
         if 1 < size < order:
             added = added.repartition("number", "context")
-        tables[size] = work.save(added.sortWithinPartitions("number", "context", "next"), f"held-{size}")
+        tables[size] = work.save(added.sortWithinPartitions("number", "context", "next"), f"{name}-{size}")
     return HeldOut(tables, bits)

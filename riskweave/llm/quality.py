@@ -18,7 +18,9 @@ around the median, as wide as the median deviation from it tells.
 
 ``judge(docs, held_out=True)``, which the query takes, scores each text by the
 counts of all other texts (``heldout``): in a model that holds the text itself,
-rare noise looks more predictable than prose.
+rare noise looks more predictable than prose. It does so twice: by folded
+characters, which tell languages and noise, and by pairs of whole words
+(``words``), which grow with the corpus and see what stands beside what.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pyspark.sql import types as T
 
 from riskweave.llm import heldout
 from riskweave.llm.common import Workspace, prepare_workers, slices
+from riskweave.llm.words import BITS, Words
 
 #: Order of the model; n-grams take 6 bits a symbol.
 ORDER = 5
@@ -134,8 +137,8 @@ def keys_of(symbols: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
-#: What the held-out model counts: a maker of tokens, its order and the bits of a token.
-TOKENS = (Folder, ORDER, 6)
+#: What the held-out models count: a maker of tokens, its order and the bits of a token.
+TOKENS, WORD_TOKENS = (Folder, ORDER, 6), (Words, 2, BITS)
 
 
 # -- counting and estimation
@@ -318,9 +321,13 @@ def _held_out_scores(model: heldout.HeldOut, numbers: list[int], tokens: list[np
     return means
 
 
-def measure(docs: DataFrame, model: KneserNey | heldout.HeldOut) -> DataFrame:
-    """Base counts and ``log_ppl`` (mean negative log probability a symbol; null for empty texts)."""
-    added = T.StructType([*BASE.fields, T.StructField("log_ppl", T.DoubleType())])
+def measure(docs: DataFrame, model: KneserNey | heldout.HeldOut, words: heldout.HeldOut | None = None) -> DataFrame:
+    """Base counts and ``log_ppl`` (mean negative log probability a symbol; null for empty texts).
+
+    With ``words`` also ``word_ppl``, the same a word by that model.
+    """
+    added = T.StructType([*BASE.fields, *(T.StructField(c, T.DoubleType()) for c in (
+        ("log_ppl", "word_ppl") if words else ("log_ppl",)))])
     prepare_workers(docs.sparkSession)
     through = [c for c in docs.columns if c not in added.names and c != "text"]
     schema = T.StructType([docs.schema[c] for c in through] + list(added.fields))
@@ -328,18 +335,21 @@ def measure(docs: DataFrame, model: KneserNey | heldout.HeldOut) -> DataFrame:
     held_out = isinstance(model, heldout.HeldOut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = TOKENS[0]() if held_out else Folder()
-        parts, base, numbers, grams = [], [], [], []
+        fold, split = Folder(), WORD_TOKENS[0]() if words else None
+        parts, base, numbers, grams, lists = [], [], [], [], []
 
         def emptied():
-            ppl, at = (_held_out_scores if held_out else _mean_scores)(model, numbers, grams), 0
+            scores, at = [(_held_out_scores if held_out else _mean_scores)(model, numbers, grams)], 0
+            if words:
+                scores.append(_held_out_scores(words, numbers, lists))
             for part in parts:
                 rows = slice(at, at + part.num_rows)
                 made = [pa.array(list(c), pa.int64()) for c in zip(*base[rows], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    part.columns + made + [pa.array(ppl[rows], pa.float64())], names=through + added.names)
+                    part.columns + made + [pa.array(x[rows], pa.float64()) for x in scores],
+                    names=through + added.names)
                 at += part.num_rows
-            for held in (parts, base, numbers, grams):
+            for held in (parts, base, numbers, grams, lists):
                 held.clear()
 
         size = 0
@@ -354,6 +364,8 @@ def measure(docs: DataFrame, model: KneserNey | heldout.HeldOut) -> DataFrame:
                     base.append(base_counts(text or ""))
                     tokens = fold(text or "")
                     grams.append(tokens if held_out else keys_of(tokens, model.order))
+                    if words:
+                        lists.append(split(text or "").astype(np.int32))
                     size += len(grams[-1])
                 if size >= (heldout.SCORED if held_out else SCORED):
                     yield from emptied()
@@ -364,16 +376,16 @@ def measure(docs: DataFrame, model: KneserNey | heldout.HeldOut) -> DataFrame:
     return docs.select("text", lang_number().alias("number"), *(f"`{c}`" for c in through)).mapInArrow(run, schema)
 
 
-def bands(measured: DataFrame) -> DataFrame:
+def bands(measured: DataFrame, ppl: str = "log_ppl") -> DataFrame:
     """``band_lang, lower, upper`` per language over its documents that pass the base rules.
 
     Median and median deviation hold as long as less than half are junk.
     """
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    fair = measured.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).select("lang", "log_ppl")
-    mid = fair.groupBy(F.col("lang").alias("mid_lang")).agg(middle("log_ppl").alias("mid"))
+    fair = measured.where(~F.col("base_failed") & F.col(ppl).isNotNull()).select("lang", ppl)
+    mid = fair.groupBy(F.col("lang").alias("mid_lang")).agg(middle(ppl).alias("mid"))
     far = fair.join(mid, F.col("lang").eqNullSafe(F.col("mid_lang"))).groupBy("mid_lang", "mid").agg(
-        middle(F.abs(F.col("log_ppl") - F.col("mid"))).alias("deviation"))
+        middle(F.abs(F.col(ppl) - F.col("mid"))).alias("deviation"))
     # A language whose documents are all alike still has a band of some width.
     reach = F.greatest(REACH * NORMAL * F.col("deviation"), F.lit(0.05))
     return far.select(F.col("mid_lang").alias("band_lang"), (F.col("mid") - reach).alias("lower"),
@@ -393,15 +405,30 @@ def judge(docs: DataFrame, held_out: bool = False) -> DataFrame:
     base rules and has no perplexity; a null language is one of its own. Whole
     texts are counted and scored, all rows shape counts and bands (repeated
     rows as often as they stand there), and an empty table stays empty. With
-    ``held_out``, ``log_ppl`` is by the model of all other rows.
+    ``held_out``, ``log_ppl`` is by the model of all other rows, and so are
+    ``word_ppl`` and ``word_upper``; ``kept`` rows pass both limits.
     """
     work = Workspace(docs.sparkSession, "quality")
-    model = heldout.learn(docs, lang_number(), *TOKENS, work) if held_out else learn(docs, work)
-    own = ("base_failed", "lower", "upper", "kept", "band_lang")
+    words = None
+    if held_out:
+        model = heldout.learn(docs, lang_number(), *TOKENS, work, "held")
+        words = heldout.learn(docs, lang_number(), *WORD_TOKENS, work, "words")
+    else:
+        model = learn(docs, work)
+    own = ("base_failed", "lower", "upper", "kept", "band_lang", "word_ppl", "word_upper")
     clean = docs.drop(*(c for c in docs.columns if c in own))
-    measured = work.save(measure(clean, model).withColumn("base_failed", base_failed()), "measured")
+    measured = work.save(measure(clean, model, words).withColumn("base_failed", base_failed()), "measured")
     work.drop(*(f"{'held' if held_out else 'model'}-{size}" for size in model.files))
+    if words:
+        work.drop(*(f"words-{size}" for size in words.files))
+    kept = ~F.col("base_failed")
     limits = work.save(bands(measured), "bands")
-    inside = F.col("log_ppl").between(F.col("lower"), F.col("upper"))
-    return measured.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("band_lang")
+    measured = measured.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
+    kept = kept & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
+    if words:
+        # No lower limit here: a text of which copies stand elsewhere is well predicted, but no junk.
+        limits = work.save(bands(measured, "word_ppl").select("band_lang", F.col("upper").alias("word_upper")),
+                           "word-bands")
+        measured = measured.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
+        kept = kept & F.coalesce(F.col("word_ppl") <= F.col("word_upper"), F.lit(False))
+    return measured.withColumn("kept", kept)

@@ -63,7 +63,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.judge(docs, held_out=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "log_ppl", "lower", "upper")
+        "base_failed", "kept", "log_ppl", "lower", "upper", "word_ppl", "word_upper")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

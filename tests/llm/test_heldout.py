@@ -48,17 +48,17 @@ def plain_held_out(lists, order):
 KINDS = ("letters",)
 
 
-def test_own_counts_are_taken_out(spark):
+@pytest.mark.parametrize("tokens", [quality.TOKENS, quality.WORD_TOKENS])
+def test_own_counts_are_taken_out(spark, tokens):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").limit(9).collect()
     texts = [r["text"][:700] for r in rows] + ["qqxq zzyzx " * 9, "short one", "short one", ""]
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    make, order, bits = quality.TOKENS
-    model = heldout.learn(docs, quality.lang_number(), *quality.TOKENS, Workspace(spark, "t"))
+    make, order, bits = tokens
+    model = heldout.learn(docs, quality.lang_number(), *tokens, Workspace(spark, "t"))
     lists = [make()(t).tolist() for t in texts]
     wanted = plain_held_out(lists, order)
     number = docs.select(quality.lang_number().cast("int")).first()[0]
-    tokens = [make()(t) for t in texts]
-    got = model.score(number, tokens)
+    got = model.score(number, [make()(t) for t in texts])
     for value, want in zip(got.tolist(), wanted, strict=True):
         assert (want is None and math.isnan(value)) or abs(value - want) < 1e-6
 
@@ -85,3 +85,31 @@ def test_junk_leaves_at_any_share(spark, share):
         bad = [r for i, r in got.items() if i >= len(english)]
         assert sum(r["kept"] for r in bad) <= 0.05 * len(bad), kind
         assert sum(r["kept"] for r in fair) > 0.95 * len(fair)  # texts of tables and signs are there as well
+
+
+def test_shuffled_words_and_other_scripts(spark):
+    """Words in fixed phrases: the same words in another order are told, also in Greek and in Chinese."""
+    rng = random.Random(3)
+    for alphabet in ("abcdefghij", "αβγδεζηθικ"):
+        phrases = [[("".join(rng.choices(alphabet, k=5))) for _ in range(5)] for _ in range(300)]
+        texts = [" ".join(w for p in rng.choices(phrases, k=40) for w in p) for _ in range(300)]
+        mixed = []
+        for text in texts[:9]:
+            words = text.split()
+            rng.shuffle(words)
+            mixed.append(" ".join(words))
+        docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts[9:] + mixed)],
+                                     "doc_id long, text string, lang string")
+        got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, held_out=True).collect()}
+        assert not any(got[i] for i in range(291, 300)) and sum(got.values()) > 0.97 * 291
+    assert len(set(quality.Words()("漢字 漢").tolist())) == 3
+
+
+def test_word_pairs_grow_with_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
+    sizes = []
+    for part in (docs.where("doc_id % 8 = 0"), docs):
+        work = Workspace(spark, "t")
+        heldout.learn(part, quality.lang_number(), *quality.WORD_TOKENS, work, "words")
+        sizes.append(spark.read.parquet(f"{work.root}/words-2").count())
+    assert sizes[1] > 3 * sizes[0]
