@@ -13,6 +13,7 @@ id; the weights are a few hundred kilobytes whatever the corpus.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ FILTERS = 16
 WINDOW = 192
 #: Documents the network learns from at most, and windows taken from each.
 TRAIN_DOCS, TRAIN_WINDOWS, PASSAGE = 2500, 3, 4000
+#: Distinct documents of each language that the sample has at least, as far as there are so many.
+LEAST_DOCS = 100
 UNDETERMINED = "und"
 
 ADDED = T.StructType([T.StructField("lang_pred", T.StringType()),
@@ -168,17 +171,42 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 12, b
 
 def training_sample(docs: DataFrame, allowed: Column, lang: str = "lang",
                     most: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """At most ``most`` labelled texts, least hash of the id first.
+    """Labelled texts of least hash of the id, with ``LEAST_DOCS`` distinct ones of every language.
 
-    Of a text beyond ``PASSAGE`` characters it takes a passage of that length
-    at a place that the hash picks. The bounds concern training alone. The
-    sample is the same for any layout of the table and grows no further.
+    It has ``most`` rows, or one a language if these are more; of many
+    languages each has an equal part at least. Of a text beyond ``PASSAGE`` characters it takes a passage of that length at a place
+    that the hash picks. The bounds concern training alone. The sample is the
+    same for any layout of the table.
     """
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.char_length("text") - PASSAGE, F.lit(1)))
-    rows = (docs.where(allowed & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}"))
+    fair = (docs.where(allowed & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}"))
             .select(F.xxhash64("doc_id", F.lit(4)).alias("h"), F.col(lang).alias("lang"),
-                    F.col("text").substr((place + 1).cast("int"), F.lit(PASSAGE)).alias("text"))
-            .orderBy("h", "text", "lang").limit(most).collect())
+                    F.col("text").substr((place + 1).cast("int"), F.lit(PASSAGE)).alias("text")))
+    rows = fair.orderBy("h", "text", "lang").limit(most).collect()
+    have = Counter(lang for lang, _ in {(r["lang"], r["text"]) for r in rows})
+    found = {r["lang"] for r in fair.select("lang").distinct().collect()}
+    share = max(1, min(LEAST_DOCS, most // max(1, len(found))))
+    extra = []
+    for rare in sorted(x for x in found if have[x] < share):
+        more = fair.where(F.col("lang") == rare).groupBy("text", "lang").agg(F.min("h").alias("h")).orderBy(
+            "h", "text").limit(share).collect()
+        known = {r["text"] for r in rows if r["lang"] == rare}
+        extra += [r for r in more if r["text"] not in known][:share - len(known)]
+    # Room comes from copies and from the last rows of languages that have more than their part.
+    kept, seen = [], Counter()
+    over = max(0, len(rows) + len(extra) - most)
+    copies = set()
+    for i, r in enumerate(rows):
+        seen[r["lang"], r["text"]] += 1
+        if seen[r["lang"], r["text"]] > 1:
+            copies.add(i)
+    for i in [*sorted(copies, reverse=True), *(i for i in range(len(rows) - 1, -1, -1) if i not in copies)]:
+        if over and (i in copies or have[rows[i]["lang"]] > share):
+            over -= 1
+            have[rows[i]["lang"]] -= i not in copies
+        else:
+            kept.append(i)
+    rows = [rows[i] for i in sorted(kept)] + extra
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

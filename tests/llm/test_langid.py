@@ -77,3 +77,13 @@ def test_sample_is_bounded_and_stable(spark, monkeypatch):
     first = langid.training_sample(docs, F.lit(True), most=50)
     assert first == langid.training_sample(docs.repartition(7), F.lit(True), most=50)
     assert len(first[0]) == 50 and max(map(len, first[0])) <= langid.PASSAGE
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"),
+                                    F.when(F.col("id") == 17, "rare").otherwise("en").alias("lang"))
+    copies = spark.range(6000, 6500).select(F.col("id").alias("doc_id"), F.lit("a copy").alias("text"),
+                                            F.lit("copied").alias("lang"))
+    more = spark.createDataFrame([(9000, "the other one", "copied")], docs.schema)
+    texts, langs = langid.training_sample(docs.unionByName(copies).unionByName(more), F.lit(True), most=50)
+    assert langs.count("rare") == 1 and "the other one" in texts and len(texts) == len(langs) <= 50
