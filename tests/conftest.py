@@ -8,8 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from riskweave.session import build_session  # noqa: E402
 
-TESTDATA = "/root/testdata"
-
 
 @pytest.fixture(scope="session")
 def spark():

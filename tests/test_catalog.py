@@ -6,8 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__  # noqa: E402
-from conftest import TESTDATA  # noqa: E402
-from oracle_check import compare, connect  # noqa: E402
+from oracle_check import TESTDATA, compare, connect  # noqa: E402
 from riskweave.plans.catalog import QUERIES  # noqa: E402
 
 SMALL = f"{TESTDATA}/sf0.001"
