@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII white space that separates words, as a Java or Python character class.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -70,22 +71,38 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, changed until no column of ``df`` has them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def add_columns(df: DataFrame, added: T.StructType, make: Callable[[], Callable[[list], list]],
-                text: str = "text", drop_text: bool = True, most: int = 1 << 20) -> DataFrame:
+                text: str = "text", drop_text: bool = True, most: int = 1 << 20,
+                also: tuple[str, ...] = ()) -> DataFrame:
     """One Arrow pass over ``df`` that adds columns worked out from the text of each row.
 
     ``make`` runs once per task and gives a function from a list of texts
     (null: empty) to one list per added column. Texts reach it in runs of
     about ``most`` characters, whole ones. Added columns replace columns of
-    the same name; all others pass through, the text only if asked for.
+    the same name in any case, as Spark tells names apart without case; all
+    others pass through, the text only if asked for. Columns named in ``also``
+    reach the function as further lists and end there.
     """
     prepare_workers(df.sparkSession)
-    new = set(added.names)
-    kept = [c for c in df.columns if c not in new]
+    new = {c.lower() for c in added.names}
+    text = next(c for c in df.columns if c.lower() == text.lower())
+    kept = [c for c in df.columns if c == text or c.lower() not in new]
     df = df.select(*(f"`{c}`" for c in kept))
-    out = [f for f in df.schema.fields if not (drop_text and f.name == text)]
+    out = [f for f in df.schema.fields if not (drop_text and f.name == text) and f.name not in also]
     schema = T.StructType(out + list(added.fields))
-    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in added.fields])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in added.fields])
     through = [f.name for f in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,18 +113,10 @@ def add_columns(df: DataFrame, added: T.StructType, make: Callable[[], Callable[
             for a, b in slices(lengths, most):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 part = batch.slice(a, b - a)
+                extra = [part.column(part.schema.get_field_index(c)).to_pylist() for c in also]
                 arrays = [part.column(part.schema.get_field_index(c)) for c in through]
                 made = [v if isinstance(v, pa.Array) else pa.array(v, type=t)
-                        for v, t in zip(work(texts), arrow.types, strict=True)]
+                        for v, t in zip(work(texts, *extra), arrow.types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays + made, names=through + arrow.names)
 
     return df.mapInArrow(run, schema)
-
-
-def _arrow(kind: T.DataType) -> pa.DataType:
-    simple = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(),
-              T.FloatType: pa.float32(), T.StringType: pa.string(), T.BooleanType: pa.bool_(),
-              T.BinaryType: pa.binary()}
-    if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
-    return simple[type(kind)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import ann, bpe, chat, langid, mixing, neardup, pii, quality, toxicity, warc
+from riskweave.llm import ann, bpe, chat, langid, lexical, mixing, neardup, pii, quality, runs, suffixes, toxicity, warc
+from riskweave.llm.common import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,45 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") - F.size("base_spans")).cast("long").alias("n_added"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text; a tenth of the texts gets a period of its own first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("_g", F.floor(h / 10).cast("long")).withColumn(
+        "_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0))))
+    n = F.size("_words").cast("long")
+    docs = docs.withColumn("_a", F.when(n > 0, F.col("_g") % n)).withColumn(
+        "_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)).cast("long"))
+    again = lambda word, i: F.when(i < F.col("_a"), word).otherwise(
+        F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    planted = F.array_join(F.transform("_words", again), " ")
+    found = runs.find_runs(docs.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("_top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_top.start").alias("start"),
+        (-F.col("_top.l")).alias("length"), F.col("_top.period").alias("period"),
+        F.expr("(-1000 * _top.l) div _top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 400-byte strings that start anywhere else."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs, least=400).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents of highest score for every benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.search(docs, items, k=10).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -120,6 +160,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_nearest": op9_nearest,
     "op10_pii": op10_pii,
+    "op11_runs": op11_runs,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES = {
@@ -153,4 +196,33 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     + CASE WHEN opens THEN 24 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'),
         '<(\\*)\|', '<\1\\|', 'g')) ELSE 10 END)::BIGINT AS formatted_chars
 FROM n GROUP BY conv_id""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_all FROM d WHERE len(terms) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), t AS (
+  SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d
+), p AS (
+  SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM t
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM p, s GROUP BY term, n_docs
+), c AS (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all))) AS part
+  FROM p JOIN w USING (term), s
+), r AS (
+  SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN c USING (term)
+  GROUP BY item_id, doc_id, row HAVING sum(part) > 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM r
+)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
 }
