@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -39,9 +39,10 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/riskweave-{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, folders: Iterable[str] = ()) -> DataFrame:
+        """Write ``df``, with a folder for each value of ``folders``, and read it again."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*folders).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

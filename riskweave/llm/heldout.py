@@ -1,12 +1,15 @@
 """Perplexity of every text by a model of all other texts of its language.
 
-The model is a modified Kneser-Ney model over tokens. Only counts are written,
-a table of ``number, context, next, c`` for each order, whole and sorted, with
-all rows of a context in one file. A scoring task gathers the n-grams of a run
-of texts, looks their counts up in one file after the other, takes each text's
-own counts out again, in the highest order and in the numbers of distinct
-tokens before that the lower orders use, and works out the probabilities from
-what is left. Discounts are those of the whole language.
+The model is a modified Kneser-Ney model over tokens. A task adds up the
+n-grams of all its texts and sends them on as packed arrays, one for each
+language and hash range. An n-gram that a single text holds counts nothing for
+that text and stands in no other, so of the highest order only n-grams of two
+texts or more are written, as sorted arrays by range, beside sums of each
+context over all its n-grams. A scoring task gathers the n-grams of its texts,
+looks each range up once, takes each text's own counts out again, in the
+highest order and in the numbers of distinct tokens before that the lower
+orders use, and works out the probabilities from what is left. Discounts are
+those of the whole language.
 """
 
 from __future__ import annotations
@@ -22,13 +25,23 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import Workspace, prepare_workers, slices
 
-#: Tokens that a task counts or scores at a time.
-COUNTED, SCORED = 1 << 22, 1 << 21
+#: Tokens that a task adds up, or scores, at a time.
+COUNTED, SCORED = 1 << 22, 1 << 24
+#: Tokens of texts whose n-grams are worked on together.
+PART = 1 << 20
+#: Parts of a context that may go to different ranges.
+SPLIT = 4
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SUMS = ["n1", "n2", "n3", "n4", "more", "total"]
 
 
 def _distinct(owner: np.ndarray, key: np.ndarray, n: np.ndarray | None = None):
     """Sorted distinct pairs, their sums of ``n`` (or places) and the pair of each place."""
-    order = np.lexsort((key, owner))
+    bits = int(key.max()).bit_length() if len(key) else 0
+    if bits + int(owner.max() if len(owner) else 0).bit_length() < 63:
+        order = np.argsort(owner << bits | key)
+    else:
+        order = np.lexsort((key, owner))
     owner, key = owner[order], key[order]
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
@@ -43,54 +56,74 @@ def _distinct(owner: np.ndarray, key: np.ndarray, n: np.ndarray | None = None):
 class HeldOut:
     """The count tables of all orders; holds file names and figures of languages, and goes to tasks as it is."""
 
-    def __init__(self, tables: dict[int, DataFrame], bits: int):
-        self.order, self.bits = max(tables), bits
-        self.files = {size: sorted(table.inputFiles()) for size, table in tables.items()}
+    def __init__(self, top: DataFrame, about: DataFrame, lower: dict[int, DataFrame], order: int, bits: int,
+                 ranges: int):
+        self.order, self.bits, self.ranges = order, bits, ranges
+        self.files = {size: sorted(table.inputFiles()) for size, table in lower.items()}
+        self.about = sorted(about.inputFiles())
+        self.kept: dict[int, list[str]] = {}
+        for file in sorted(f for f in top.inputFiles() if "/kind=2/" in f):
+            self.kept.setdefault(int(file.split("/range=")[1].split("/")[0]), []).append(file)
         #: By order and language: discounts of 0, 1, 2 and more, rows counted 1, 2 and more times, and their sum.
         self.discounts: dict[tuple[int, int], np.ndarray] = {}
         self.whole: dict[tuple[int, int], np.ndarray] = {}
-        for size, table in tables.items():
-            for r in table.groupBy("number").agg(
-                    *(F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)),
-                    F.count(F.lit(1)).alias("rows"), F.sum("c").alias("total")).collect():
-                n = [0, r.n1, r.n2, r.n3, r.n4]
-                y = n[1] / max(1, n[1] + 2 * n[2])
-                self.discounts[size, r.number] = np.array([0.0] + [
-                    min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.05), i - 0.05)
-                    for i in (1, 2, 3)])
-                self.whole[size, r.number] = np.array([r.n1, r.n2, r.rows - r.n1 - r.n2, r.total])
+        self._measure(order, about.groupBy("number").agg(*(F.sum(c).alias(c) for c in _SUMS)))
+        for size, table in lower.items():
+            self._measure(size, table.groupBy("number").agg(
+                *(F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)),
+                F.sum((F.col("c") > 2).cast("long")).alias("more"), F.sum("c").alias("total")))
+
+    def _measure(self, size: int, sums: DataFrame) -> None:
+        for r in sums.collect():
+            n = [0, r.n1, r.n2, r.n3, r.n4]
+            y = n[1] / max(1, n[1] + 2 * n[2])
+            self.discounts[size, r.number] = np.array([0.0] + [
+                min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.05), i - 0.05) for i in (1, 2, 3)])
+            self.whole[size, r.number] = np.array([r.n1, r.n2, r.more, r.total])
 
     def _look_up(self, size: int, number: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of ascending keys, and of their contexts: rows counted 1, 2 and more times, and their sum."""
         count, about = np.zeros(len(wanted), np.int64), np.zeros((len(wanted), 4), np.int64)
+        if size == self.order:
+            ranges = range_of(wanted, self.bits, self.ranges)
+            order = np.argsort(ranges, kind="stable")
+            cuts = np.searchsorted(ranges[order], np.arange(self.ranges + 1))
+            for r, files in self.kept.items():
+                mine = order[cuts[r]:cuts[r + 1]]
+                for uri in files if len(mine) else []:
+                    key, c = _read(uri, number, ["key", "c"])
+                    _fill(key, c, wanted[mine], mine, count)
+            for uri in self.about:
+                context, *sums = _read(uri, number, ["context", "n1", "n2", "more", "total"])
+                _fill(context, np.stack(sums, axis=1), wanted >> self.bits, np.arange(len(wanted)), about)
+            return count, about
         for uri in self.files[size]:
-            filesystem, path = pafs.FileSystem.from_uri(uri)
-            block = pq.read_table(path, filesystem=filesystem, filters=[("number", "=", number)],
-                                  columns=["context", "next", "c"])
-            if not block.num_rows:
-                continue
-            context, following, c = (x.to_numpy() for x in block.columns)
-            key = context.astype(np.int64) << self.bits | following
-            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-            hit = key[at] == wanted
-            count[hit] = c[at[hit]]
-            if size > 1:
+            context, following, c = _read(uri, number, ["context", "next", "c"])
+            _fill(context.astype(np.int64) << self.bits | following, c, wanted, np.arange(len(wanted)), count)
+            if size > 1 and len(context):
                 first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
                 sums = np.stack([np.add.reduceat(x, first) for x in (
                     (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64), c)], axis=1)
-                mine = wanted >> self.bits
-                at = np.minimum(np.searchsorted(context[first], mine), len(first) - 1)
-                hit = context[first][at] == mine
-                about[hit] = sums[at[hit]]
+                _fill(context[first], sums, wanted >> self.bits, np.arange(len(wanted)), about)
         if size == 1:
             about[:] = self.whole.get((1, number), 0)
         return count, about
 
-    def score(self, number: int, texts: list[np.ndarray], own: bool = True) -> np.ndarray:
+    def score(self, number: int, texts: list[np.ndarray]) -> np.ndarray:
         """Mean negative log probability a token of each token array (nan without n-grams).
 
-        ``own``: the texts are part of what was counted, and are taken out.
+        The texts are part of what was counted, and each is taken out.
         """
+        parts = list(slices([len(t) for t in texts], PART))
+        wanted = np.unique(np.concatenate([np.unique(np.concatenate([keys_of(t, self.order, self.bits) for t in texts[a:b]]))
+                                           for a, b in parts]))
+        tables = {}
+        for size in range(self.order, 0, -1):
+            tables[size] = wanted, *self._look_up(size, number, wanted)
+            wanted = np.unique(wanted & (1 << self.bits * (size - 1)) - 1)
+        return np.concatenate([self._score_part(number, texts[a:b], tables) for a, b in parts])
+
+    def _score_part(self, number: int, texts: list[np.ndarray], tables: dict[int, tuple]) -> np.ndarray:
         keys = [keys_of(t, self.order, self.bits) for t in texts]
         lengths = np.array([len(k) for k in keys], dtype=np.int64)
         owner, key = np.repeat(np.arange(len(keys)), lengths), np.concatenate(keys)
@@ -98,13 +131,20 @@ class HeldOut:
         for size in range(self.order, 0, -1):
             owner_, key_, taken_, place = _distinct(owner, inner, taken)
             unique, back = np.unique(key_, return_inverse=True)
-            count, about = self._look_up(size, number, unique)
+            known, count, about = tables[size]
+            back = np.searchsorted(known, unique)[back]
             count, about = count[back], about[back].astype(np.float64)
             d = self.discounts.get((size, number), np.zeros(4))
-            taken_ = np.minimum(taken_, count) if own else np.zeros(len(count), np.int64)
+            if size == self.order:
+                # What is not written stands in this text alone.
+                count = np.where(count, count, taken_)
+            taken_ = np.minimum(taken_, count)
             left = count - taken_
             held = about[:, :3] @ d[1:]
-            context = owner_ if size == 1 else _distinct(owner_, key_ >> self.bits)[3]
+            short = key_ >> self.bits
+            # Pairs are in order, so those of a context stand together.
+            context = owner_ if size == 1 else np.cumsum(
+                np.r_[False, (short[1:] != short[:-1]) | (owner_[1:] != owner_[:-1])])
             lost = lambda x, c=context: np.bincount(c, x)[c]
             less = d[np.minimum(count, 3)] - d[np.minimum(left, 3)]
             total = about[:, 3] - lost(taken_.astype(np.float64))
@@ -138,54 +178,143 @@ def keys_of(tokens: np.ndarray, order: int, bits: int) -> np.ndarray:
     return key
 
 
-def _parts(key, bits: int):
-    return key >> bits, key & (1 << bits) - 1
+def range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """The hash range of each key; a context lies in ``SPLIT`` of them at most."""
+    part = (keys >> bits).astype(np.uint64) * np.uint64(SPLIT) + (
+        (keys & (1 << bits) - 1) * SPLIT >> bits).astype(np.uint64)
+    part *= _MIX
+    return ((part >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
 
 
-def learn(docs: DataFrame, number, make: Callable, order: int, bits: int, work: Workspace,
-          name: str = "held") -> HeldOut:
-    """Counts of all orders over ``text``, in ``work``; ``make`` gives a task its function from text to tokens."""
-    prepare_workers(docs.sparkSession)
+def _read(uri: str, number: int, columns: list[str]) -> list[np.ndarray]:
+    filesystem, path = pafs.FileSystem.from_uri(uri)
+    block = pq.ParquetFile(filesystem.open_input_file(path)).read([*columns, "number"])
+    return [c.to_numpy() for c in block.filter(pa.compute.equal(block["number"], number)).select(columns).columns]
+
+
+def _fill(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
+    """Write the values of ascending ``keys`` to ``out`` where they are wanted."""
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        out[places[hit]] = values[at[hit]]
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Ascending keys, their sums, and in how many texts they stand (2 for more)."""
+    key, n, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    if not len(first):
+        return key, n, texts
+    return (key[first], np.add.reduceat(n[order], first),
+            np.minimum(np.add.reduceat(texts[order].astype(np.int64), first), 2).astype(np.int8))
+
+
+def _counted(docs: DataFrame, number, make: Callable, order: int, bits: int, ranges: int) -> DataFrame:
+    """The n-grams of each task as packed arrays, one row per language and range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, size = make(), {}, 0
-
-        def emptied():
-            for number, parts in held.items():
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
-                for at in range(0, len(key), 1 << 16):
-                    context, following = _parts(key[at:at + (1 << 16)], bits)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(context), number, np.int32)), pa.array(context.astype(np.int32)),
-                        pa.array(following.astype(np.int32)), pa.array(n[at:at + (1 << 16)].astype(np.int64))],
-                        names=["number", "context", "next", "c"])
-            held.clear()
+        tokens, held, fresh, size = make(), {}, {}, 0
+
+        def add_up():
+            for number, parts in fresh.items():
+                held[number] = _added([*([held[number]] if number in held else []), *parts])
+            fresh.clear()
 
         for batch in batches:
             numbers, texts = batch.column(0).to_pylist(), batch.column(1)
             lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
             for a, b in slices(lengths, 1 << 20):
                 for number, text in zip(numbers[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
-                    keys = keys_of(tokens(text or ""), order, bits)
-                    held.setdefault(number, []).append(keys)
-                    size += len(keys)
+                    key, n = np.unique(keys_of(tokens(text or ""), order, bits), return_counts=True)
+                    fresh.setdefault(number, []).append((key, n, np.ones(len(key), np.int8)))
+                    size += len(key)
                 if size >= COUNTED:
-                    yield from emptied()
+                    add_up()
                     size = 0
-        yield from emptied()
+        add_up()
+        for number, (key, n, texts) in held.items():
+            part = range_of(key, bits, ranges)
+            place = np.argsort(part, kind="stable")
+            for at in np.split(place, np.flatnonzero(np.diff(part[place])) + 1) if len(key) else []:
+                context = key[at] >> bits
+                first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+                arrays = (context[first], np.diff(np.r_[first, len(at)]), key[at] & (1 << bits) - 1, n[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int32()), pa.array([int(part[at[0]])], pa.int32()),
+                     *(pa.array([x.astype(np.uint32).tobytes()]) for x in arrays), pa.array([texts[at].tobytes()])],
+                    names=["number", "range", "context", "runs", "next", "n", "texts"])
+
+    return docs.select(number.cast("int").alias("number"), "text").mapInArrow(
+        run, "number int, range int, context binary, runs binary, next binary, n binary, texts binary")
+
+
+def _ranges_added(counted: DataFrame, order: int, bits: int) -> DataFrame:
+    """Per range: n-grams of two texts or more (``kind`` 2), sums of contexts (1), distinct tokens before a rest (0)."""
+    schema = "kind int, number int, range int, key long, context int, c long, " + ", ".join(f"{c} long" for c in _SUMS)
+    names = ["kind", "number", "range", "key", "context", "c", *_SUMS]
+    rest = (1 << bits * (order - 1)) - 1
+
+    def rows(kind: int, number: int, part: int, n: int, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, n, 1 << 16):
+            k = min(n - at, 1 << 16)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, number, np.int32)),
+                pa.array(np.full(k, part, np.int32)),
+                *(pa.array(values[c][at:at + k].astype(np.int32 if c == "context" else np.int64)) if c in values
+                  else pa.nulls(k, pa.int32() if c == "context" else pa.int64()) for c in names[3:])], names=names)
+
+    def finished(part: int, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for number, parts in held.items():
+            key, c, texts = _added(parts)
+            yield from rows(2, number, part, int((texts > 1).sum()), key=key[texts > 1], c=c[texts > 1])
+            context = key >> bits
+            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            sums = [np.add.reduceat(x.astype(np.int64), first) for x in (c == 1, c == 2, c == 3, c == 4, c > 2, c)]
+            yield from rows(1, number, part, len(first), context=context[first], **dict(zip(_SUMS, sums, strict=True)))
+            lower, n = np.unique(key & rest, return_counts=True)
+            yield from rows(0, number, part, len(lower), key=lower, c=n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = {}, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["range"] != current and held:
+                    yield from finished(current, held)
+                    held = {}
+                current = row["range"]
+                context, runs, following, n = (
+                    np.frombuffer(row[c], np.uint32).astype(np.int64) for c in ("context", "runs", "next", "n"))
+                held.setdefault(row["number"], []).append(
+                    (np.repeat(context, runs) << bits | following, n, np.frombuffer(row["texts"], np.int8)))
+        if held:
+            yield from finished(current, held)
+
+    return counted.repartition("range").sortWithinPartitions("range").mapInArrow(run, schema)
+
 
-    counted = docs.select(number.cast("int").alias("number"), "text").mapInArrow(
-        run, "number int, context int, next int, c long")
-    tables: dict[int, DataFrame] = {}
-    for size in range(order, 0, -1):
-        if size < order:
+def learn(docs: DataFrame, number, make: Callable, order: int, bits: int, work: Workspace,
+          name: str = "held") -> HeldOut:
+    """Counts of all orders over ``text``, in ``work``; ``make`` gives a task its function from text to tokens."""
+    spark = docs.sparkSession
+    prepare_workers(spark)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = work.save(_ranges_added(_counted(docs, number, make, order, bits, ranges), order, bits), f"{name}-{order}",
+                    ["kind", "range"])
+    about = work.save(top.where("kind = 1").groupBy("number", "context").agg(
+        *(F.sum(c).alias(c) for c in _SUMS)).sortWithinPartitions("number", "context"), f"{name}-about")
+    lower: dict[int, DataFrame] = {}
+    for size in range(order - 1, 0, -1):
+        if size == order - 1:
+            added = top.where("kind = 0").groupBy("number", "key").agg(F.sum("c").alias("c"))
+            added = added.select("number", F.shiftright("key", bits).cast("int").alias("context"),
+                                 F.col("key").bitwiseAND((1 << bits) - 1).cast("int").alias("next"), "c")
+        else:
             rest = F.col("context").cast("long").bitwiseAND((1 << bits * (size - 1)) - 1).cast("int")
-            counted = tables[size + 1].groupBy("number", rest.alias("context"), "next").agg(
-                F.count(F.lit(1)).alias("c"))
-        # All rows of a context in one file; tasks have added up their own, so rows travel once.
-        dealt = counted.repartition("number", "context") if size > 1 and size == order else counted
-        added = dealt.groupBy("number", "context", "next").agg(F.sum("c").alias("c"))
-        if 1 < size < order:
+            added = lower[size + 1].groupBy("number", rest.alias("context"), "next").agg(F.count(F.lit(1)).alias("c"))
+        if size > 1:
             added = added.repartition("number", "context")
-        tables[size] = work.save(added.sortWithinPartitions("number", "context", "next"), f"{name}-{size}")
-    return HeldOut(tables, bits)
+        lower[size] = work.save(added.sortWithinPartitions("number", "context", "next"), f"{name}-{size}")
+    return HeldOut(top, about, lower, order, bits, ranges)

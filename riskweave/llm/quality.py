@@ -418,9 +418,11 @@ def judge(docs: DataFrame, held_out: bool = False) -> DataFrame:
     own = ("base_failed", "lower", "upper", "kept", "band_lang", "word_ppl", "word_upper")
     clean = docs.drop(*(c for c in docs.columns if c in own))
     measured = work.save(measure(clean, model, words).withColumn("base_failed", base_failed()), "measured")
-    work.drop(*(f"{'held' if held_out else 'model'}-{size}" for size in model.files))
-    if words:
-        work.drop(*(f"words-{size}" for size in words.files))
+    if held_out:
+        work.drop(*(f"{name}-{part}" for name, m in (("held", model), ("words", words))
+                    for part in ("about", *range(1, m.order + 1))))
+    else:
+        work.drop(*(f"model-{size}" for size in model.files))
     kept = ~F.col("base_failed")
     limits = work.save(bands(measured), "bands")
     measured = measured.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")

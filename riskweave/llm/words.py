@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -14,6 +15,7 @@ _UNSPACED = ((0x0E00, 0x0E80), (0x0E80, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x18
              (0xF900, 0xFB00), (0x20000, 0x40000))
 
 
+@functools.cache
 def _classes() -> np.ndarray:
     """0: white space, 1: part of a word, 2: a word by itself."""
     table = np.full(0x110000, 2, dtype=np.uint8)
