@@ -13,15 +13,14 @@ id; the weights are a few hundred kilobytes whatever the corpus.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.common import add_columns
+from riskweave.llm.common import Workspace, add_columns, fresh_names
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -171,42 +170,37 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 12, b
 
 def training_sample(docs: DataFrame, allowed: Column, lang: str = "lang",
                     most: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """Labelled texts of least hash of the id, with ``LEAST_DOCS`` distinct ones of every language.
-
-    It has ``most`` rows, or one a language if these are more; of many
-    languages each has an equal part at least. Of a text beyond ``PASSAGE`` characters it takes a passage of that length at a place
-    that the hash picks. The bounds concern training alone. The sample is the
-    same for any layout of the table.
+    """Distinct labelled texts: of each language those of least hash, then those of least hash of all.
+
+    It has ``most`` texts, or one a language if these are more, and of each
+    language ``LEAST_DOCS`` as far as there are so many, or an equal part with
+    many languages. Only hashes are compared, and only texts that are chosen
+    travel. Of a text beyond ``PASSAGE`` characters it takes a passage of that
+    length anywhere in the text, at a place that the hash picks. The bounds
+    concern training alone. The sample is the same for any layout of the table.
     """
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.char_length("text") - PASSAGE, F.lit(1)))
-    fair = (docs.where(allowed & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select(F.xxhash64("doc_id", F.lit(4)).alias("h"), F.col(lang).alias("lang"),
-                    F.col("text").substr((place + 1).cast("int"), F.lit(PASSAGE)).alias("text")))
-    rows = fair.orderBy("h", "text", "lang").limit(most).collect()
-    have = Counter(lang for lang, _ in {(r["lang"], r["text"]) for r in rows})
-    found = {r["lang"] for r in fair.select("lang").distinct().collect()}
-    share = max(1, min(LEAST_DOCS, most // max(1, len(found))))
-    extra = []
-    for rare in sorted(x for x in found if have[x] < share):
-        more = fair.where(F.col("lang") == rare).groupBy("text", "lang").agg(F.min("h").alias("h")).orderBy(
-            "h", "text").limit(share).collect()
-        known = {r["text"] for r in rows if r["lang"] == rare}
-        extra += [r for r in more if r["text"] not in known][:share - len(known)]
-    # Room comes from copies and from the last rows of languages that have more than their part.
-    kept, seen = [], Counter()
-    over = max(0, len(rows) + len(extra) - most)
-    copies = set()
-    for i, r in enumerate(rows):
-        seen[r["lang"], r["text"]] += 1
-        if seen[r["lang"], r["text"]] > 1:
-            copies.add(i)
-    for i in [*sorted(copies, reverse=True), *(i for i in range(len(rows) - 1, -1, -1) if i not in copies)]:
-        if over and (i in copies or have[rows[i]["lang"]] > share):
-            over -= 1
-            have[rows[i]["lang"]] -= i not in copies
-        else:
-            kept.append(i)
-    rows = [rows[i] for i in sorted(kept)] + extra
+    fair = docs.where(allowed & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        F.shiftrightunsigned(F.xxhash64("text", F.lit(4)), 1).alias("h"), F.col(lang).alias("lang"), "text")
+    work = Workspace(docs.sparkSession, "langid")
+    sizes = work.save(fair.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "sizes")
+    languages, total = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not languages:
+        return [], []
+    most = max(most, languages)
+    share = max(1, min(LEAST_DOCS, most // languages))
+    # Hashes are even, so a share of their range holds about that share of the texts; twice the need leaves room.
+    part = 2 * (2 * share + 50 + most * F.col("n") / total) / F.col("n")
+    near = fair.select("lang", "h").join(sizes.select(F.col("lang").alias("l"), part.alias("part")), F.col("lang") == F.col("l")).where(
+        F.col("h") / float(1 << 63) < F.col("part")).select("lang", "h").distinct()
+    own = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = work.save(near.withColumn("own", own).orderBy(
+        F.when(F.col("own") <= share, 0).otherwise(1), "h", "lang").limit(most).select(
+        F.col("lang").alias("l"), F.col("h").alias("k")), "chosen")
+    place = F.pmod("h", F.greatest(F.char_length("text") - PASSAGE, F.lit(1)))
+    rows = fair.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k"))).groupBy(
+        "h", "lang").agg(F.min(F.col("text").substr((place + 1).cast("int"), F.lit(PASSAGE))).alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: (r["h"], r["lang"]))
+    work.drop("sizes", "chosen")
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -219,9 +213,9 @@ def identify(docs: DataFrame, model: ByteCnn | None, drop_text: bool = True) ->
     named like the added ones are replaced, all others pass through.
     """
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    flag = "_has_letter"
+    flag, = fresh_names(docs, "_has_letter")
     if model is None or not model.labels:
-        found = docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        found = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
         return found.drop("text") if drop_text else found
 
     def make():
