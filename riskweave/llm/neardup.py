@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import Workspace, prepare_workers, slices
+from riskweave.llm.common import Workspace, prepare_workers, slices, tidy
 
 SHINGLE = 3
 #: A pair of similarity 0.85 shares no bucket with a chance of 4e-7.
@@ -38,8 +38,8 @@ PERCENT = 85
 #: A pair is confirmed where its share of equal minima is no further than this
 #: below the threshold: over four standard deviations.
 SLACK = 0.15
-#: Members of a block, with their full sets, when a bucket is opened again.
-BLOCK = 64
+#: Shingles of the members of a block, with their full sets, when a bucket is opened again.
+BLOCK = 1 << 15
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -108,7 +108,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_key", "buckets", "minima"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, buckets array<long>, minima binary")
+        tidy(run), "doc_id long, n_shingles long, set_key binary, buckets array<long>, minima binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                                                  names=["node", "shingles"])
 
     chosen = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    return chosen.mapInArrow(run, "node long, shingles binary")
+    return chosen.mapInArrow(tidy(run), "node long, shingles binary")
 
 
 def _estimated(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
@@ -141,7 +141,7 @@ def _estimated(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFra
 
     side = lambda n: signatures.select(F.col("node").alias(n), F.col("minima").alias(f"m_{n}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(
-        run, "a long, b long, estimate double")
+        tidy(run), "a long, b long, estimate double")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s_{n}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct()
+        "a", "b", "s_a", "s_b").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
@@ -207,21 +207,22 @@ def _open_links(members: DataFrame, found: DataFrame, signatures: DataFrame, set
     become rows: a row holds a block of stragglers and a block of members.
     """
     placed = work.save(members.join(found, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "placed")
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     state = work.save(parts.groupBy(F.col("bucket").alias("k")).agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"),
-        F.max_by("component", "n").alias("main")).where("parts > 1"), "open")
+        F.count(F.lit(1)).alias("parts"), F.sum("s").alias("all"),
+        F.max_by(F.struct("component", "s"), F.struct("n", "component")).alias("top")).where("parts > 1"), "open")
     opened = work.save(placed.join(state, F.col("bucket") == F.col("k")).select(
-        "bucket", "node", "component", "main", "n", "most"), "opened")
+        "bucket", "node", "component", F.col("top.component").alias("main"), "all",
+        (F.col("all") - F.col("top.s")).alias("others")), "opened")
     # The sets are joined last and only for open buckets; their blocks are not written out.
     full = signatures.join(sets, "node").join(opened.select("node").distinct(), "node", "left_semi")
     filled = opened.join(full, "node")
     outside = filled.where("component <> main")
     items = F.collect_list(F.struct("node", "component", "minima", "shingles"))
     slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK).cast("int")).alias("slot")
-    left = outside.groupBy("bucket", slot(F.col("n") - F.col("most"))).agg(items.alias("x")).drop("slot")
-    right = filled.groupBy("bucket", slot(F.col("n"))).agg(items.alias("y")).drop("slot")
+    left = outside.groupBy("bucket", slot(F.col("others"))).agg(items.alias("x")).drop("slot")
+    right = filled.groupBy("bucket", slot(F.col("all"))).agg(items.alias("y")).drop("slot")
 
     def unpack(column: pa.Array):
         return (column.field("node").to_numpy(zero_copy_only=False), column.field("component").to_numpy(
@@ -252,10 +253,20 @@ def _open_links(members: DataFrame, found: DataFrame, signatures: DataFrame, set
                             out[1].append(int(others[j]))
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b"])
 
-    return left.join(right, "bucket").select("x", "y").mapInArrow(run, "a long, b long").select(
+    return left.join(right, "bucket").select("x", "y").mapInArrow(tidy(run), "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _same_id(valid: DataFrame, groups: DataFrame, work: Workspace) -> DataFrame:
+    """``a, b``: links between the classes of the texts of one id, for ids with several texts."""
+    several = work.save(valid.groupBy(F.col("doc_id").alias("id")).agg(
+        F.min("set_key").alias("s"), F.max("set_key").alias("t")).where("s <> t").select("id"), "several")
+    held = valid.join(several, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "set_key").join(
+        groups.select(F.col("set_key").alias("key"), "node"), F.col("set_key") == F.col("key"))
+    return held.select(F.least("node", "doc_id").alias("a"), F.greatest("node", "doc_id").alias("b")).where(
+        "a < b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row.
 
@@ -274,13 +285,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     groups = work.save(valid.groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
     nodes = valid.join(groups.select(F.col("set_key").alias("key"), "node"), (
-        F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key"))).select("node", "buckets", "minima")
+        F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key"))).select("node", "buckets", "minima", "n_shingles")
     nodes = work.save(nodes, "nodes")
-    exploded = nodes.select("node", F.explode("buckets").alias("bucket"))
+    exploded = nodes.select("node", "n_shingles", F.explode("buckets").alias("bucket"))
     shared = work.save(exploded.groupBy(F.col("bucket").alias("k")).agg(
         F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("k", "pivot"), "shared")
     members = work.save(exploded.join(shared, F.col("bucket") == F.col("k")).select(
-        "bucket", "node", "pivot").distinct(), "members")
+        "bucket", "node", "pivot", "n_shingles").distinct(), "members")
     crowd = work.save(members.select("node").distinct(), "crowd")
     signatures = work.save(nodes.join(crowd, "node", "left_semi").select("node", "minima"), "signatures")
     work.drop("nodes", "shared")
@@ -289,8 +300,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     pairs = work.save(members.where("node <> pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     close = work.save(_estimated(pairs, signatures, least), "close")
-    links = work.save(_confirmed(close, sets, percent), "links")
-    work.drop("pairs", "close")
+    links = work.save(_confirmed(close, sets, percent).unionByName(_same_id(valid, groups, work)).distinct(), "links")
+    work.drop("pairs", "close", "several")
     found = work.save(components(links, work, "cc1"), "found1")
     work.drop("links")
     fresh = work.save(_open_links(members, found, signatures, sets, work, least, percent), "fresh")

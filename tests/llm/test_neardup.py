@@ -122,3 +122,11 @@ def test_minima_estimate_similarity():
     true = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
     share = (neardup.minima(a) == neardup.minima(b)).mean()
     assert abs(share - true) < 0.12
+
+
+def test_texts_of_one_id_link_their_groups(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, "other words entirely"), (5, "more of it")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(3, 3), (5, 3), (9, 3), (7, 7)}
+    assert all(r["kept"] == (r["doc_id"] in (3, 7)) for r in found)
