@@ -30,8 +30,8 @@ from riskweave.llm.common import add_columns
 
 #: Bytes of the pieces merged in step; longer ones are merged alone.
 WIDTHS = (8, 16, 32, 64)
-#: Pieces a worker remembers.
-REMEMBERED = 300_000
+#: Bytes of pieces and ids that a task remembers, an overhead for each included.
+REMEMBERED, OVERHEAD = 32 << 20, 160
 _NONE = 1 << 60
 
 ADDED = T.StructType([
@@ -75,6 +75,11 @@ class ByteBpe:
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[int(k)] for k in self.pair_keys], dtype=np.int64)
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Give up all remembered pieces."""
+        self.known, self.held = {}, 0
 
     # -- encoding
 
@@ -87,10 +92,12 @@ class ByteBpe:
         known = self.known
         wanted = set().union(*pieces)
         fresh = wanted - known.keys()
-        if len(known) + len(fresh) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known = known = {p: v for p, v in known.items() if p in wanted}
+            self.held = sum(len(p) + len(v) + OVERHEAD for p, v in known.items())
         if fresh:
             self._learn(sorted(fresh))
+            self.held += sum(len(p) + len(known[p]) + OVERHEAD for p in fresh)
         return [b"".join(map(known.__getitem__, line)) for line in pieces]
 
     def _learn(self, fresh: list[str]) -> None:
@@ -233,9 +240,9 @@ class ByteBpe:
         return b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _coder(tokens: tuple[bytes, ...], pattern: str) -> ByteBpe:
-    """One coder per worker process: tasks that follow in it find its known pieces."""
+    """One coder per worker process; what it remembers of texts ends with each task."""
     return ByteBpe(list(tokens), pattern)
 
 
@@ -265,4 +272,4 @@ def encode_texts(docs: DataFrame, tokens: list[bytes], pattern: str, text: str =
 
         return work
 
-    return add_columns(docs, ADDED, make, text, drop_text)
+    return add_columns(docs, ADDED, make, text, drop_text, close=lambda: _coder(ranks, pattern).forget())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -60,6 +63,21 @@ def prepare_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+def tidy(run: Callable[[Iterator], Iterator], close: Callable[[], None] = lambda: None) -> Callable:
+    """``run``, giving memory back when its task ends: workers live on and serve other operators."""
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            close()
+            pa.default_memory_pool().release_unused()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # not with every C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges whose lengths add up to about ``most``; a longer row stands alone."""
     start = total = 0
@@ -86,7 +104,7 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
 
 def add_columns(df: DataFrame, added: T.StructType, make: Callable[[], Callable[[list], list]],
                 text: str = "text", drop_text: bool = True, most: int = 1 << 20,
-                also: tuple[str, ...] = ()) -> DataFrame:
+                also: tuple[str, ...] = (), close: Callable[[], None] = lambda: None) -> DataFrame:
     """One Arrow pass over ``df`` that adds columns worked out from the text of each row.
 
     ``make`` runs once per task and gives a function from a list of texts
@@ -94,7 +112,8 @@ def add_columns(df: DataFrame, added: T.StructType, make: Callable[[], Callable[
     about ``most`` characters, whole ones. Added columns replace columns of
     the same name in any case, as Spark tells names apart without case; all
     others pass through, the text only if asked for. Columns named in ``also``
-    reach the function as further lists and end there.
+    reach the function as further lists and end there. ``close`` runs as a
+    task ends.
     """
     prepare_workers(df.sparkSession)
     new = {c.lower() for c in added.names}
@@ -120,4 +139,4 @@ def add_columns(df: DataFrame, added: T.StructType, make: Callable[[], Callable[
                         for v, t in zip(work(texts, *extra), arrow.types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays + made, names=through + arrow.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, close), schema)

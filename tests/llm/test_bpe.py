@@ -50,7 +50,7 @@ def test_tree_alone_equals_tree_in_step(text):
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
-    monkeypatch.setattr("riskweave.llm.bpe.REMEMBERED", 50)
+    monkeypatch.setattr("riskweave.llm.bpe.REMEMBERED", 5000)
     small = ByteBpe(TOKENS, P.PATTERN)
     for i in range(20):
         text = " ".join(f"w{i}x{j}" for j in range(20))
