@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +66,11 @@ def stream_orders(spark: SparkSession, path: str, max_files: int | None = None)
 
 
 def _as_payload(rows: DataFrame) -> DataFrame:
-    """(payload, corrupt line, source file, file time) with enums normalised."""
+    """(payload, corrupt line, source file, start of the split, file time) with enums normalised."""
     return rows.select(
         _payload().alias("payload"), F.col(CORRUPT),
         F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("source_offset"),
         F.col("_metadata.file_modification_time").alias("arrived_at"))
 
 
@@ -133,8 +136,8 @@ def split_rejected(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, judged.filter(F.col("reason").isNotNull())
 
 
-def import_batch(good: DataFrame) -> DataFrame:
-    """Rows for ``import_versions`` with the fields of a fresh transaction."""
+def import_batch(good: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Rows for ``import_versions`` with the fields of a fresh transaction, and columns named in ``also``."""
     major, minor = SCHEMA_VERSION
     return good.select(
         F.col("payload.id").alias("payload_number"),
@@ -145,4 +148,4 @@ def import_batch(good: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp").alias("last_scoring_date"),
         F.col("arrived_at").alias("created_at"),
         F.col("arrived_at").alias("updated_at"),
-        "source_file")
+        "source_file", *also)

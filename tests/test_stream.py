@@ -38,7 +38,8 @@ def test_stream_equals_batch(spark, tmp_path):
         (inbox / f"{n}.json").write_text("\n".join(json.dumps(o) for o in orders) + "\n")
         worker.start(spark, str(inbox), once=True).awaitTermination()
 
-    history = sinks.read_runs(spark, f"{state}/transactions")
+    history = worker.transactions(spark)
+    assert history.filter("is_latest").count() == 5
     assert {(r.payload_number, r.transaction_version) for r in history.collect()} == {
         ("1", 1), ("2", 1), ("2", 2), ("3", 1), ("4", 1), ("5", 1)}
     assert history.filter("NOT processing_complete OR last_scoring_date IS NULL").count() == 0
@@ -79,14 +80,74 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
         worker.run_batch(rows, n)
 
     def state():
-        return {t: sorted(map(str, sinks.read_runs(spark, worker.path(t)).select(
-            "payload_number", "run").collect())) for t in ("transactions", "members", "features", "events")}
+        tables = {t: worker.table(spark, t).read().drop("last_scoring_date", "updated_at")
+                  for t in ("transactions", "members", "memberships", "features")}
+        tables |= {t: sinks.read_runs(spark, worker.path(t)).drop("last_scoring_date", "updated_at")
+                   for t in ("events", "recalculated_events", "history")}
+        return {t: sorted(map(str, rows.collect())) for t, rows in tables.items()}
 
     before = state()
     worker.run_batch(files[-1], len(files) - 1)
     assert state() == before
 
 
+def test_labels_imports_and_clean_up_equal_one_batch(spark, tmp_path):
+    """Labels between batches stay with later imports; one latest row a payload; clean-up changes nothing."""
+    worker = Worker(str(tmp_path / "state"), CHANNELS, buckets=8, upkeep=2)
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    asked = spark.createDataFrame([("2",), ("2",), ("nobody",)], "payload_number string")
+    two = order("2", "b", None)
+    later = order("2", "b", "d1")
+    for n, orders in enumerate([*BATCHES, [two, later]]):
+        path = tmp_path / f"{n}.json"
+        path.write_text("\n".join(json.dumps(o) for o in orders) + "\n")
+        worker.run_batch(order_json.read_orders(spark, str(path)), n)
+        if n == 1:
+            worker.label(spark, asked, "Fraud", "stolen", "me", now)
+    rows = worker.transactions(spark).filter("payload_number = '2'").orderBy(
+        "transaction_version", "is_latest", F.col("label").isNotNull()).collect()
+    assert [(r.transaction_version, r.is_latest, r.label and r.label.fraud_level) for r in rows] == [
+        (1, False, None), (2, False, None), (2, False, "Fraud"), (3, False, "Fraud"), (4, True, "Fraud")]
+    # The later line of the file is the later version, whatever the documents hold.
+    assert [r.payload.deviceData and r.payload.deviceData.exactId for r in rows[-2:]] == [None, "d1"]
+    latest = worker.table(spark, "transactions").read()
+    assert latest.count() == latest.select("payload_number").distinct().count() == 5
+
+    members = matching.node_members(ORDERS.matching_fields(latest)).unionByName(
+        matching.node_members(ORDERS.matching_fields(worker.transactions(spark)))).distinct()
+    assert sorted(worker.table(spark, "members").read().select(*matching.MEMBER).collect()) == sorted(
+        members.select(*matching.MEMBER).collect())
+    shared = matching.shared_members(members, matching.match_nodes(members))
+    scored, _ = plans.process(ORDERS.simple_features(latest), shared, CHANNELS, everything=True)
+    wanted = {r.payload_number: (r.connected_transaction_count, r.direct_connection_count) for r in scored.collect()}
+    found = {}
+    for r in worker.latest_features(spark).collect():
+        graph = {f.name: int(f.value) for f in r.graph}
+        found[r.payload_number] = (graph["connected_transaction_count"], graph["direct_connection_count"])
+    assert found == wanted
+
+
+def test_batch_touches_its_buckets_only(spark, tmp_path):
+    """What a batch reads and writes depends on its keys, not on the size of the state."""
+    worker = Worker(str(tmp_path / "state"), CHANNELS, buckets=64)
+    many = [order(str(i), f"mail{i}", f"device{i}") for i in range(300)]
+    one = [order("7", "mail7", "device7"), order("new", "mail7", None)]
+    for n, orders in enumerate([many, one]):
+        path = tmp_path / f"{n}.json"
+        path.write_text("\n".join(json.dumps(o) for o in orders) + "\n")
+        worker.run_batch(order_json.read_orders(spark, str(path)), n)
+    for name, most in (("transactions", 2), ("features", 2), ("members", 3), ("memberships", 2)):
+        table = worker.table(spark, name)
+        first, second = table._manifest(table.version())["chains"], table._manifest()["chains"]
+        changed = {b for b in second if second[b] != first.get(b)}
+        assert 1 <= len(changed) <= most and len(second) > 50, name
+    ids = spark.createDataFrame([("7",)], "payload_number string")
+    table = worker.table(spark, "memberships")
+    assert len(table.read(table.touched(ids)).inputFiles()) <= 2
+    near = worker.neighbourhood(spark, ids)
+    assert {r.payload_number for r in near.select("payload_number").collect()} == {"7", "new"}
+
+
 def test_recalculation_and_pending(spark):
     nodes = [("e", "x", "1"), ("e", "x", "2"), ("d", "y", "2"), ("d", "y", "3")]
     members = spark.createDataFrame(nodes, "matcher string, value string, payload_number string")
