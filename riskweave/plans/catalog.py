@@ -24,8 +24,6 @@ from riskweave.session import cut_lineage, shared_path
 from riskweave.sources import order_json, sinks
 from riskweave.sources.tables import MATCHER_CONFIG, Tables
 
-LINK_DEPTH = 3
-
 RULES = (
     Rule("large_amount", "amount > 3000000.0", 40),
     Rule("many_items", "item_count >= 6 && is_high_value", 25),
@@ -318,7 +316,7 @@ def batch_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected transactions of every order, summed up per confidence and hops."""
-    rows = paths.connected_transactions(_shared(Tables(spark, sf_dir)), LINK_DEPTH,
+    rows = paths.connected_transactions(_shared(Tables(spark, sf_dir)), paths.DEFAULT_DEPTH,
                                         paths.DEFAULT_LIMIT, plans.MIN_CONFIDENCE)
     return rows.groupBy("root", "confidence", "hops").agg(
         F.count("payload_number").alias("partners"), F.min("payload_number").alias("first_partner"),
@@ -327,7 +325,7 @@ def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def connected_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.connected_transactions(
-        _shared(Tables(spark, sf_dir)), LINK_DEPTH, 10, plans.MIN_CONFIDENCE).select(
+        _shared(Tables(spark, sf_dir)), paths.DEFAULT_DEPTH, 10, plans.MIN_CONFIDENCE).select(
         "root", "payload_number", "confidence", "hops")
 
 
@@ -506,14 +504,14 @@ def _pending(t: Tables) -> DataFrame:
 
 def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return plans.affected(_recent(t), _shared(t), _pending(t), max_depth=LINK_DEPTH)
+    return plans.affected(_recent(t), _shared(t), _pending(t))
 
 
 def recalculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     shared = _shared(t)
-    ids = plans.affected(_recent(t), shared, _pending(t), max_depth=LINK_DEPTH)
-    _, events = plans.recalculate(ids, _simple(t), shared, CHANNELS, max_depth=LINK_DEPTH)
+    ids = plans.affected(_recent(t), shared, _pending(t))
+    _, events = plans.recalculate(ids, _simple(t), shared, CHANNELS)
     return events.select("payload_number", "channel", "total_score",
                          _joined("triggered").alias("triggered"))
 

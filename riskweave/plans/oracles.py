@@ -52,36 +52,45 @@ direct AS (
 """
 
 
-def _hops(depth: int) -> str:
-    """Best confidence over walks of exactly k hops, then the best over all k."""
-    steps = ["""hop1 AS MATERIALIZED (
-  SELECT a.payload_number AS root, b.payload_number AS target, max(a.confidence) AS confidence
-  FROM shared a JOIN shared b ON a.matcher = b.matcher AND a.value = b.value
-   AND a.payload_number <> b.payload_number
-  GROUP BY 1, 2)"""]
-    for k in range(2, depth + 1):
-        steps.append(f"""at{k} AS MATERIALIZED (
-  SELECT h.root, s.matcher, s.value, max(h.confidence * s.confidence // 100) AS confidence
-  FROM hop{k - 1} h JOIN shared s ON s.payload_number = h.target
-  GROUP BY 1, 2, 3),
-hop{k} AS MATERIALIZED (
-  SELECT a.root, s.payload_number AS target, max(a.confidence) AS confidence
+#: Hops of the path search.
+DEPTH = 10
+
+
+def _hops(depth: int, limit: int = 200) -> str:
+    """Best confidence, then fewest hops, per pair; hop by hop from what the last hop improved.
+
+    What is weaker than the ``limit`` best of a root so far can neither enter
+    its list nor lead to what does, as confidence never rises along a path.
+    """
+    steps = ["""at1 AS (
+  SELECT payload_number AS root, matcher, value, confidence FROM shared)"""]
+    for k in range(1, depth + 1):
+        if k > 1:
+            steps.append(f"""at{k} AS MATERIALIZED (
+  SELECT h.root, s.matcher, s.value, max(h.score // 100 * s.confidence // 100) AS confidence
+  FROM best{k - 1} h JOIN shared s ON s.payload_number = h.target WHERE 99 - h.score % 100 = {k - 1}
+  GROUP BY 1, 2, 3)""")
+        before = f"SELECT root, target, score FROM best{k - 1} UNION ALL " if k > 1 else ""
+        steps.append(f"""found{k} AS (
+  {before}SELECT a.root, s.payload_number, max(a.confidence) * 100 + 99 - {k}
   FROM at{k} a JOIN shared s ON s.matcher = a.matcher AND s.value = a.value
-  WHERE s.payload_number <> a.root
-  GROUP BY 1, 2)""")
-    union = " UNION ALL ".join(
-        f"SELECT root, target, confidence, {k} AS hops FROM hop{k}" for k in range(1, depth + 1))
-    steps.append(f"""walks AS ({union}),
-best AS MATERIALIZED (
-  SELECT root, target, max(confidence) AS confidence,
-         arg_max(hops, confidence * 100 - hops) AS hops
-  FROM walks GROUP BY 1, 2),
+  WHERE s.payload_number <> a.root GROUP BY 1, 2),
+all{k}(root, target, score) AS MATERIALIZED (
+  SELECT f.root, f.{'target' if k > 1 else 'payload_number'}, max(f.{'score' if k > 1 else 'm'}) FROM found{k} f{'' if k > 1 else '(root, payload_number, m)'} GROUP BY 1, 2),
+floor{k} AS (
+  SELECT root, score // 100 AS least FROM (
+    SELECT root, score, row_number() OVER (PARTITION BY root ORDER BY score DESC) AS rn FROM all{k}) WHERE rn = {limit}),
+best{k} AS MATERIALIZED (
+  SELECT a.root, a.target, a.score FROM all{k} a LEFT JOIN floor{k} f ON f.root = a.root
+  WHERE a.score // 100 >= coalesce(f.least, 0))""")
+    steps.append(f"""best AS MATERIALIZED (
+  SELECT root, target, (score // 100)::INTEGER AS confidence, (99 - score % 100)::INTEGER AS hops FROM best{depth}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY root ORDER BY confidence DESC, target) AS rn FROM best)""")
     return ",\n".join(steps)
 
 
-CONNECTED = MEMBERS + ",\n" + _hops(3)
+CONNECTED = MEMBERS + ",\n" + _hops(DEPTH)
 
 
 def _reach(depth: int, limit: int) -> str:
@@ -423,7 +432,7 @@ rows_ AS MATERIALIZED (
 {_channels("rows_")}""",
     "affected": f"WITH {CONNECTED}, {AFFECTED} SELECT payload_number FROM affected",
     "recalculate": f"""
-WITH {DIRECT}, {_hops(3)}, {AFFECTED}, {SIMPLE},
+WITH {DIRECT}, {_hops(DEPTH)}, {AFFECTED}, {SIMPLE},
 counted AS (SELECT root AS payload_number, least(count(*), 200) AS n FROM best GROUP BY root),
 rows_ AS MATERIALIZED (
   SELECT s.*, coalesce(c.n, 0) AS cc, coalesce(d.direct_connection_count, 0) AS dc
