@@ -14,7 +14,7 @@ those of the whole language.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,20 @@ from riskweave.llm.common import Workspace, prepare_workers, slices
 COUNTED, SCORED = 1 << 22, 1 << 24
 #: Tokens of texts whose n-grams are worked on together.
 PART = 1 << 20
+#: Characters of the corpus for each hash range of n-grams.
+RANGE = 1 << 24
 #: Parts of a context that may go to different ranges.
 SPLIT = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SUMS = ["n1", "n2", "n3", "n4", "more", "total"]
 
 
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][:len(x)]]
+
+
 def _distinct(owner: np.ndarray, key: np.ndarray, n: np.ndarray | None = None):
     """Sorted distinct pairs, their sums of ``n`` (or places) and the pair of each place."""
     bits = int(key.max()).bit_length() if len(key) else 0
@@ -81,47 +89,61 @@ class HeldOut:
                 min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.05), i - 0.05) for i in (1, 2, 3)])
             self.whole[size, r.number] = np.array([r.n1, r.n2, r.more, r.total])
 
-    def _look_up(self, size: int, number: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of ascending keys, and of their contexts: rows counted 1, 2 and more times, and their sum."""
-        count, about = np.zeros(len(wanted), np.int64), np.zeros((len(wanted), 4), np.int64)
+    def _look_up(self, size: int, wanted: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By language: counts of ascending keys, and of their contexts: rows counted 1, 2 and more times, their sum.
+
+        Each file is read once for all languages.
+        """
+        out = {n: (np.zeros(len(w), np.int64), np.zeros((len(w), 4), np.int64)) for n, w in wanted.items()}
         if size == self.order:
-            ranges = range_of(wanted, self.bits, self.ranges)
-            order = np.argsort(ranges, kind="stable")
-            cuts = np.searchsorted(ranges[order], np.arange(self.ranges + 1))
+            places = {}
+            for number, keys in wanted.items():
+                ranges = range_of(keys, self.bits, self.ranges)
+                order = np.argsort(ranges, kind="stable")
+                places[number] = np.split(order, np.searchsorted(ranges[order], np.arange(1, self.ranges)))
             for r, files in self.kept.items():
-                mine = order[cuts[r]:cuts[r + 1]]
-                for uri in files if len(mine) else []:
-                    key, c = _read(uri, number, ["key", "c"])
-                    _fill(key, c, wanted[mine], mine, count)
+                mine = {n: p[r] for n, p in places.items() if len(p[r])}
+                for uri in files if mine else []:
+                    for number, (key, c) in _read(uri, mine, ["key", "c"]):
+                        _fill(key, c, wanted[number][mine[number]], mine[number], out[number][0])
             for uri in self.about:
-                context, *sums = _read(uri, number, ["context", "n1", "n2", "more", "total"])
-                _fill(context, np.stack(sums, axis=1), wanted >> self.bits, np.arange(len(wanted)), about)
-            return count, about
+                for number, (context, *sums) in _read(uri, wanted, ["context", "n1", "n2", "more", "total"]):
+                    _fill(context, np.stack(sums, axis=1), wanted[number] >> self.bits,
+                          np.arange(len(wanted[number])), out[number][1])
+            return out
         for uri in self.files[size]:
-            context, following, c = _read(uri, number, ["context", "next", "c"])
-            _fill(context.astype(np.int64) << self.bits | following, c, wanted, np.arange(len(wanted)), count)
-            if size > 1 and len(context):
-                first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-                sums = np.stack([np.add.reduceat(x, first) for x in (
-                    (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64), c)], axis=1)
-                _fill(context[first], sums, wanted >> self.bits, np.arange(len(wanted)), about)
+            for number, (context, following, c) in _read(uri, wanted, ["context", "next", "c"]):
+                keys, all_of = wanted[number], np.arange(len(wanted[number]))
+                _fill(context.astype(np.int64) << self.bits | following, c, keys, all_of, out[number][0])
+                if size > 1:
+                    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+                    sums = np.stack([np.add.reduceat(x, first) for x in (
+                        (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64), c)], axis=1)
+                    _fill(context[first], sums, keys >> self.bits, all_of, out[number][1])
         if size == 1:
-            about[:] = self.whole.get((1, number), 0)
-        return count, about
+            for number in wanted:
+                out[number][1][:] = self.whole.get((1, number), 0)
+        return out
 
     def score(self, number: int, texts: list[np.ndarray]) -> np.ndarray:
-        """Mean negative log probability a token of each token array (nan without n-grams).
+        """``score_all`` for texts of one language."""
+        return self.score_all({number: texts})[number]
+
+    def score_all(self, texts: dict[int, list[np.ndarray]]) -> dict[int, np.ndarray]:
+        """By language: mean negative log probability a token of each token array (nan without n-grams).
 
         The texts are part of what was counted, and each is taken out.
         """
-        parts = list(slices([len(t) for t in texts], PART))
-        wanted = np.unique(np.concatenate([np.unique(np.concatenate([keys_of(t, self.order, self.bits) for t in texts[a:b]]))
-                                           for a, b in parts]))
-        tables = {}
+        parts = {n: list(slices([len(t) for t in some], PART)) for n, some in texts.items()}
+        wanted = {n: _unique(np.concatenate([_unique(np.concatenate(
+            [keys_of(t, self.order, self.bits) for t in some[a:b]])) for a, b in parts[n]])) for n, some in texts.items()}
+        tables: dict[int, dict[int, tuple]] = {n: {} for n in texts}
         for size in range(self.order, 0, -1):
-            tables[size] = wanted, *self._look_up(size, number, wanted)
-            wanted = np.unique(wanted & (1 << self.bits * (size - 1)) - 1)
-        return np.concatenate([self._score_part(number, texts[a:b], tables) for a, b in parts])
+            for number, found in self._look_up(size, wanted).items():
+                tables[number][size] = wanted[number], *found
+            wanted = {n: _unique(w & (1 << self.bits * (size - 1)) - 1) for n, w in wanted.items()}
+        return {n: np.concatenate([self._score_part(n, some[a:b], tables[n]) for a, b in parts[n]])
+                for n, some in texts.items()}
 
     def _score_part(self, number: int, texts: list[np.ndarray], tables: dict[int, tuple]) -> np.ndarray:
         keys = [keys_of(t, self.order, self.bits) for t in texts]
@@ -186,10 +208,14 @@ def range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return ((part >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
 
 
-def _read(uri: str, number: int, columns: list[str]) -> list[np.ndarray]:
+def _read(uri: str, numbers: Iterable[int], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of a file for each of the languages that it has."""
     filesystem, path = pafs.FileSystem.from_uri(uri)
-    block = pq.ParquetFile(filesystem.open_input_file(path)).read([*columns, "number"])
-    return [c.to_numpy() for c in block.filter(pa.compute.equal(block["number"], number)).select(columns).columns]
+    block = pq.ParquetFile(filesystem.open_input_file(path)).read(["number", *columns])
+    number, *rest = (c.to_numpy() for c in block.columns)
+    for n in np.intersect1d(np.unique(number), np.fromiter(numbers, np.int64)).tolist():
+        at = number == n
+        yield n, [x[at] for x in rest]
 
 
 def _fill(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
@@ -228,7 +254,9 @@ def _counted(docs: DataFrame, number, make: Callable, order: int, bits: int, ran
             lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
             for a, b in slices(lengths, 1 << 20):
                 for number, text in zip(numbers[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
-                    key, n = np.unique(keys_of(tokens(text or ""), order, bits), return_counts=True)
+                    key = np.sort(keys_of(tokens(text or ""), order, bits))
+                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+                    key, n = key[first], np.diff(np.r_[first, len(key)])
                     fresh.setdefault(number, []).append((key, n, np.ones(len(key), np.int8)))
                     size += len(key)
                 if size >= COUNTED:
@@ -300,7 +328,8 @@ def learn(docs: DataFrame, number, make: Callable, order: int, bits: int, work:
     """Counts of all orders over ``text``, in ``work``; ``make`` gives a task its function from text to tokens."""
     spark = docs.sparkSession
     prepare_workers(spark)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    ranges = max(4, -(-size // RANGE))
     top = work.save(_ranges_added(_counted(docs, number, make, order, bits, ranges), order, bits), f"{name}-{order}",
                     ["kind", "range"])
     about = work.save(top.where("kind = 1").groupBy("number", "context").agg(

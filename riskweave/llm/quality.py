@@ -313,11 +313,13 @@ def _mean_scores(model: KneserNey, numbers: list[int], grams: list[np.ndarray])
 def _held_out_scores(model: heldout.HeldOut, numbers: list[int], tokens: list[np.ndarray]) -> list[float | None]:
     """The same by the model of all other texts."""
     means: list[float | None] = [None] * len(tokens)
-    for number in set(numbers):
-        mine = [i for i, n in enumerate(numbers) if n == number and len(tokens[i]) >= model.order]
-        if mine:
-            for i, mean in zip(mine, model.score(number, [tokens[i] for i in mine]).tolist(), strict=True):
-                means[i] = mean
+    mine: dict[int, list[int]] = {}
+    for i, number in enumerate(numbers):
+        if len(tokens[i]) >= model.order:
+            mine.setdefault(number, []).append(i)
+    for number, scores in model.score_all({n: [tokens[i] for i in at] for n, at in mine.items()}).items():
+        for i, mean in zip(mine[number], scores.tolist(), strict=True):
+            means[i] = mean
     return means
 
 
