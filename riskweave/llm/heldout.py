@@ -43,22 +43,26 @@ def _unique(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]][:len(x)]]
 
 
-def _distinct(owner: np.ndarray, key: np.ndarray, n: np.ndarray | None = None):
-    """Sorted distinct pairs, their sums of ``n`` (or places) and the pair of each place."""
-    bits = int(key.max()).bit_length() if len(key) else 0
-    if bits + int(owner.max() if len(owner) else 0).bit_length() < 63:
-        order = np.argsort(owner << bits | key)
+def _distinct(owner: np.ndarray, key: np.ndarray, n: np.ndarray):
+    """Sorted distinct pairs, their sums of ``n`` and the pair of each place."""
+    size = len(key)
+    bits, digits = (int(x.max()).bit_length() if size else 0 for x in (key, np.arange(size)))
+    if bits + digits + int(owner.max() if size else 0).bit_length() < 63:
+        # The place rides below the pair: sorting values is cheaper than ordering places.
+        pair = np.sort((owner << bits | key) << digits | np.arange(size))
+        order = pair & (1 << digits) - 1
+        pair >>= digits
+        owner, key = pair >> bits, pair & (1 << bits) - 1
+        fresh = np.r_[True, pair[1:] != pair[:-1]][:size]
     else:
         order = np.lexsort((key, owner))
-    owner, key = owner[order], key[order]
-    fresh = np.ones(len(key), dtype=bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    group = np.cumsum(fresh) - 1
-    place = np.empty(len(key), dtype=np.int64)
-    place[order] = group
-    weights = None if n is None else n[order]
-    total = np.bincount(group, weights, int(group[-1]) + 1 if len(group) else 0)
-    return owner[fresh], key[fresh], total.astype(np.int64), place
+        owner, key = owner[order], key[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])][:size]
+    first = np.flatnonzero(fresh)
+    place = np.empty(size, dtype=np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    total = np.add.reduceat(n[order], first) if size else n
+    return owner[first], key[first], total, place
 
 
 class HeldOut:
@@ -146,15 +150,19 @@ class HeldOut:
                 for n, some in texts.items()}
 
     def _score_part(self, number: int, texts: list[np.ndarray], tables: dict[int, tuple]) -> np.ndarray:
-        keys = [keys_of(t, self.order, self.bits) for t in texts]
+        keys = [np.sort(keys_of(t, self.order, self.bits)) for t in texts]
         lengths = np.array([len(k) for k in keys], dtype=np.int64)
-        owner, key = np.repeat(np.arange(len(keys)), lengths), np.concatenate(keys)
-        taken, levels, inner = None, {}, key
+        # Texts are in order and so is each text's list, so equal pairs stand together.
+        owner_, key_ = np.repeat(np.arange(len(keys)), lengths), np.concatenate(keys)
+        first = np.flatnonzero(np.r_[True, (key_[1:] != key_[:-1]) | (owner_[1:] != owner_[:-1])][:len(key_)])
+        taken_ = times = np.diff(np.r_[first, len(key_)])
+        owner_, key_ = owner_[first], key_[first]
+        top, place, levels = owner_, None, {}
         for size in range(self.order, 0, -1):
-            owner_, key_, taken_, place = _distinct(owner, inner, taken)
-            unique, back = np.unique(key_, return_inverse=True)
+            if size < self.order:
+                owner_, key_, taken_, place = _distinct(owner_, key_ & (1 << self.bits * size) - 1, taken)
             known, count, about = tables[size]
-            back = np.searchsorted(known, unique)[back]
+            back = np.searchsorted(known, key_)
             count, about = count[back], about[back].astype(np.float64)
             d = self.discounts.get((size, number), np.zeros(4))
             if size == self.order:
@@ -162,31 +170,29 @@ class HeldOut:
                 count = np.where(count, count, taken_)
             taken_ = np.minimum(taken_, count)
             left = count - taken_
-            held = about[:, :3] @ d[1:]
+            held = sum(about[:, i] * d[i + 1] for i in range(3))
             short = key_ >> self.bits
             # Pairs are in order, so those of a context stand together.
             context = owner_ if size == 1 else np.cumsum(
-                np.r_[False, (short[1:] != short[:-1]) | (owner_[1:] != owner_[:-1])])
+                np.r_[False, (short[1:] != short[:-1]) | (owner_[1:] != owner_[:-1])][:len(key_)])
             lost = lambda x, c=context: np.bincount(c, x)[c]
-            less = d[np.minimum(count, 3)] - d[np.minimum(left, 3)]
-            total = about[:, 3] - lost(taken_.astype(np.float64))
-            held = np.maximum(held - lost(less), 0.0)
-            levels[size] = left, total, held, place, d
+            after = d[np.minimum(left, 3)]
+            total = about[:, 3] - lost(taken_)
+            held = np.maximum(held - lost(d[np.minimum(count, 3)] - after), 0.0)
+            levels[size] = left - after, total, held, place
             # What a text alone has seen goes from the number of distinct tokens before its rest.
             taken = ((left == 0) & (count > 0)).astype(np.int64)
-            owner, inner = owner_, key_ & (1 << self.bits * (size - 1)) - 1
         types = max(1, int(self.whole.get((1, number), np.zeros(4))[:3].sum())) + 1
         chance = np.full(len(levels[1][0]), 1.0 / types)
         for size in range(1, self.order + 1):
-            left, total, held, place, d = levels[size]
+            rest, total, held, _ = levels[size]
             if size > 1:
                 chance = chance[levels[size - 1][3]]
-            some = (total > 0.5) & (left.astype(float) - d[np.minimum(left, 3)] + held > 1e-9)
+            some = (total > 0.5) & (rest + held > 1e-9)
             with np.errstate(divide="ignore", invalid="ignore"):
-                mixed = (left - d[np.minimum(left, 3)] + held * chance) / total
+                mixed = (rest + held * chance) / total
             chance = np.where(some, mixed, chance)
-        logs = np.log(chance)[levels[self.order][3]]
-        sums = np.bincount(np.repeat(np.arange(len(keys)), lengths), logs, len(keys))
+        sums = np.bincount(top, np.log(chance) * times, len(keys))
         with np.errstate(divide="ignore", invalid="ignore"):
             return -sums / lengths
 
@@ -194,9 +200,11 @@ class HeldOut:
 def keys_of(tokens: np.ndarray, order: int, bits: int) -> np.ndarray:
     """N-gram keys at all positions of one text."""
     n = max(0, len(tokens) - order + 1)
-    key = np.zeros(n, dtype=np.int64)
-    for i in range(order if n else 0):
-        key = key << bits | tokens[i:i + n].astype(np.int64)
+    tokens = tokens.astype(np.int64)
+    key = tokens[:n].copy()
+    for i in range(1, order if n else 0):
+        key <<= bits
+        key |= tokens[i:i + n]
     return key
 
 
@@ -211,7 +219,7 @@ def range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
 def _read(uri: str, numbers: Iterable[int], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns of a file for each of the languages that it has."""
     filesystem, path = pafs.FileSystem.from_uri(uri)
-    block = pq.ParquetFile(filesystem.open_input_file(path)).read(["number", *columns])
+    block = pq.ParquetFile(filesystem.open_input_file(path)).read(["number", *columns], use_threads=False)
     number, *rest = (c.to_numpy() for c in block.columns)
     for n in np.intersect1d(np.unique(number), np.fromiter(numbers, np.int64)).tolist():
         at = number == n

@@ -85,14 +85,20 @@ def _repeated_words(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    numbers: dict[bytes, int] = {}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
-    pair = ids[:-1] * len(numbers) + ids[1:]
-    if len(numbers) ** 3 >= 1 << 62:  # keep the key of three words within an integer
+    numbers = dict(zip(words, range(n), strict=True))
+    if len(numbers) == n:
+        return 0
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
+    pair = ids[:-1] * n + ids[1:]
+    if n ** 3 >= 1 << 62:  # keep the key of three words within an integer
         pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    _, place, count = np.unique(pair[:-1] * len(numbers) + ids[2:], return_inverse=True,
-                                return_counts=True)
-    twice = count[place] > 1
+    window = pair[:-1] * n + ids[2:]
+    order = np.argsort(window)
+    same = np.diff(window[order]) == 0
+    if not same.any():
+        return 0
+    twice = np.empty(n - 2, dtype=bool)
+    twice[order] = np.r_[same, False] | np.r_[False, same]
     covered = np.zeros(n, dtype=bool)
     for offset in range(3):
         covered[offset:n - 2 + offset] |= twice
