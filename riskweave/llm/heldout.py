@@ -28,7 +28,7 @@ from riskweave.llm.common import Workspace, prepare_workers, slices
 #: Tokens that a task adds up, or scores, at a time.
 COUNTED, SCORED = 1 << 22, 1 << 24
 #: Tokens of texts whose n-grams are worked on together.
-PART = 1 << 20
+PART = 1 << 17
 #: Characters of the corpus for each hash range of n-grams.
 RANGE = 1 << 24
 #: Parts of a context that may go to different ranges.
