@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from riskweave.llm import heldout, quality
@@ -113,3 +114,26 @@ def test_word_pairs_grow_with_the_corpus(spark):
         heldout.learn(part, quality.lang_number(), *quality.WORD_TOKENS, work, "words")
         sizes.append(spark.read.parquet(f"{work.root}/words-2").where("kind = 2").count())
     assert sizes[1] > 3 * sizes[0] > 1000
+
+
+@pytest.mark.parametrize("bits", [6, 45, 61])
+@pytest.mark.parametrize("size", [0, 1, 3000])
+def test_distinct_pairs_equal_a_dictionary(bits, size):
+    r = np.random.default_rng(bits + size)
+    owner, key, n = np.sort(r.integers(0, 9, size)), r.integers((1 << bits) - 40, 1 << bits, size), r.integers(0, 5, size)
+    wanted = Counter()
+    for o, k, c in zip(owner.tolist(), key.tolist(), n.tolist(), strict=True):
+        wanted[o, k] += c
+    owners, keys, sums, place = heldout._distinct(owner, key, n)
+    pairs = list(zip(owners.tolist(), keys.tolist(), strict=True))
+    assert pairs == sorted(wanted) and sums.tolist() == [wanted[p] for p in pairs]
+    assert (owners[place] == owner).all() and (keys[place] == key).all()
+
+
+def test_repeated_words_equal_a_plain_count():
+    r = random.Random(5)
+    for _ in range(2000):
+        words = [r.choice((b"a", b"b", b"c", b"d")) for _ in range(r.randint(0, 30))]
+        seen = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if seen[tuple(words[i:i + 3])] > 1 for k in range(3)}
+        assert quality._repeated_words(words) == len(covered)
