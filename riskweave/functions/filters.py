@@ -39,7 +39,8 @@ _APPLY = {
     "is_not_null": lambda c, v: c.isNotNull(),
 }
 
-Registry = Mapping[str, tuple[str, Column]]
+# Tests of a list that no element may pass, and what is asked of the elements.
+_NO_ELEMENT = {"not_eq": "eq", "not_in": "in"}
 
 
 @dataclass(frozen=True)
@@ -56,10 +57,32 @@ class Group:
     groups: Sequence["Group"] = field(default_factory=tuple)
 
 
+@dataclass(frozen=True)
+class Elements:
+    """An array column of a registry, tested element by element."""
+
+    column: Column
+
+
+Registry = Mapping[str, tuple[str, Column | Elements]]
+
+
 def _base_kind(kind: str) -> str:
     return kind[5:-1] if kind.startswith("List(") else kind
 
 
+def _list_test(column: Column, operator: str, value: Any) -> Column:
+    """Test of a list: some element passes it, or none for ``not_eq`` and ``not_in``.
+
+    A null list passes ``is_null`` alone; null elements pass nothing.
+    """
+    if operator in ("is_null", "is_not_null"):
+        return _APPLY[operator](column, value)
+    asked = _APPLY[_NO_ELEMENT.get(operator, operator)]
+    found = F.exists(column, lambda e: F.coalesce(asked(e, value), F.lit(False)))
+    return ~found if operator in _NO_ELEMENT else found
+
+
 def condition(registry: Registry, test: Condition) -> Column:
     """Column of one test; an unknown column or operator is an error."""
     if test.column not in registry:
@@ -67,6 +90,8 @@ def condition(registry: Registry, test: Condition) -> Column:
     kind, column = registry[test.column]
     if test.operator not in OPERATORS[_base_kind(kind)]:
         raise ValueError(f"{test.operator} is not allowed on {test.column} ({kind})")
+    if isinstance(column, Elements):
+        return _list_test(column.column, test.operator, test.value)
     return _APPLY[test.operator](column, test.value)
 
 

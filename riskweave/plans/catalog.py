@@ -19,6 +19,7 @@ from riskweave.operators import (features, links, matching, monitor, paths, scor
 from riskweave.operators.ordering import positions
 from riskweave.operators.scoring import Channel, Rule
 from riskweave.plans import batch as plans
+from riskweave.plans import order_documents
 from riskweave.plans.domain import ORDERS
 from riskweave.session import cut_lineage, shared_path
 from riskweave.sources import order_json, sinks
@@ -657,4 +658,4 @@ QUERIES = {f.__name__: f for f in [
     process_orders, affected, recalculate, pending_depth,
     run_totals, run_rate, run_percentiles, run_histogram,
     reject_split, payload_columns, payload_features,
-]}
+]} | order_documents.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from riskweave.plans import order_oracles
+
 MEMBERS = """
 members AS (
   SELECT DISTINCT matcher, value, payload_number FROM (
@@ -498,4 +500,4 @@ SELECT d.id AS payload_number, coalesce(item_count, 0) AS item_count,
   c_mktsegment || ' St ' || CAST(n_nationkey AS VARCHAR) || ', ' || n_name || ', ' || country AS single_line,
   coalesce(item_names, '') AS item_names
 FROM docs d LEFT JOIN baskets b ON b.id = d.id WHERE reason = 'imported'""",
-}
+} | order_oracles.ORACLES
