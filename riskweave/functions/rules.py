@@ -3,8 +3,14 @@
 The text is read with Python's own expression grammar; each node of it maps to
 a Column. A rule that cannot be typed (bad syntax, unknown feature, mixed
 types) never triggers, and neither does one that fails in a row, such as for a
-missing feature, whatever the rest of it says. Integer division drops the fraction, values of different types are never
-equal, and ``len`` works on lists and strings.
+missing feature, whatever the rest of it says. Integer division drops the
+fraction, values of different types are never equal, and ``len`` works on lists
+and strings.
+
+Conditions joined by ``&&`` or ``||`` become balanced trees, so a rule of
+thousands of conditions is no deep expression. Arithmetic keeps its order and
+may nest ``MAX_DEPTH`` levels. A rule beyond that, or of more than ``MAX_TERMS``
+terms, is refused with a ``RuleError`` and leaves the rules beside it alone.
 """
 
 from __future__ import annotations
@@ -12,6 +18,8 @@ from __future__ import annotations
 import ast
 import logging
 import re
+from collections.abc import Callable, Sequence
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,11 +30,37 @@ log = logging.getLogger(__name__)
 INT, FLOAT, STRING, BOOL, LIST = "int", "float", "string", "bool", "list"
 
 
+# A rule beyond these is refused.
+MAX_TERMS = 10_000
+MAX_DEPTH = 100
+
 _PYTHON_WORDS = re.compile(r"\b(and|or|not|in|is|if|else|for|lambda|await|yield)\b")
 
 
 class RuleError(ValueError):
-    """The rule has no meaning for the given features."""
+    """The rule has no meaning for the given features, or is too large."""
+
+
+def balanced(join: Callable[[Column, Column], Column], parts: Sequence[Column]) -> Column:
+    """All parts joined, in order, as a tree of least height."""
+    while len(parts) > 1:
+        joined = [join(a, b) for a, b in zip(parts[::2], parts[1::2])]
+        parts = joined + list(parts[len(joined) * 2:])
+    return parts[0]
+
+
+def _check_size(tree: ast.AST) -> None:
+    """Refuse what would be too large or too deep an expression."""
+    terms, level, depth = 0, [tree], 0
+    while level:
+        depth += 1
+        terms += sum(isinstance(n, (ast.Name, ast.Constant)) for n in level)
+        level = [child for n in level for child in ast.iter_child_nodes(n)
+                 if isinstance(child, ast.expr)]
+    if terms > MAX_TERMS:
+        raise RuleError(f"more than {MAX_TERMS} terms")
+    if depth > MAX_DEPTH:
+        raise RuleError(f"nested more than {MAX_DEPTH} levels deep")
 
 
 def feature_columns(schema: T.StructType, exclude: tuple[str, ...] = ()) -> dict:
@@ -115,12 +149,13 @@ class _Reader(ast.NodeVisitor):
     """Maps an expression to (type, Column).
 
     ``needed`` are the values without which the rule is an error in a row:
-    missing features, integer overflow, integer division by zero.
+    missing features, integer overflow, integer division by zero. They are
+    keyed by the text they come from, so each is checked once.
     """
 
     def __init__(self, features: dict):
         self.features = features
-        self.needed: list[Column] = []
+        self.needed: dict[str, Column] = {}
 
     def generic_visit(self, node):
         raise RuleError(f"{type(node).__name__} is not part of the rule language")
@@ -134,7 +169,7 @@ class _Reader(ast.NodeVisitor):
         if node.id not in self.features:
             raise RuleError(f"unknown feature {node.id}")
         kind, column = self.features[node.id]
-        self.needed.append(column)
+        self.needed[node.id] = column
         return kind, column
 
     def visit_Constant(self, node):
@@ -157,10 +192,7 @@ class _Reader(ast.NodeVisitor):
 
     def visit_BoolOp(self, node):
         parts = [self._typed(v, BOOL) for v in node.values]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out & part if isinstance(node.op, ast.And) else out | part
-        return BOOL, out
+        return BOOL, balanced(and_ if isinstance(node.op, ast.And) else or_, parts)
 
     def visit_UnaryOp(self, node):
         if isinstance(node.op, ast.Invert):
@@ -189,7 +221,7 @@ class _Reader(ast.NodeVisitor):
         else:
             raise RuleError(f"operator {type(node.op).__name__}")
         if kind == INT:
-            self.needed.append(result)
+            self.needed[ast.unparse(node)] = result
         return kind, result
 
     def visit_Compare(self, node):
@@ -230,15 +262,15 @@ def compile_rule(rule: str, features: dict) -> Column:
     """Boolean Column of a rule; raises ``RuleError`` when it has no meaning."""
     reader = _Reader(features)
     try:
-        kind, value = reader.visit(ast.parse(_python_text(rule), mode="eval"))
+        tree = ast.parse(_python_text(rule), mode="eval")
+        _check_size(tree)
+        kind, value = reader.visit(tree)
     except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError) as error:
         raise error if isinstance(error, RuleError) else RuleError(str(error)) from error
     if kind != BOOL:
         raise RuleError(f"rule gives {kind}, not a boolean")
-    present = F.lit(True)
-    for column in reader.needed:
-        present = present & column.isNotNull()
-    return present & F.coalesce(value, F.lit(False))
+    present = [column.isNotNull() for column in reader.needed.values()]
+    return balanced(and_, [*present, F.coalesce(value, F.lit(False))])
 
 
 def rule_column(rule: str, features: dict) -> Column:

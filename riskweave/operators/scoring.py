@@ -65,14 +65,14 @@ def read_channels(table: DataFrame, most_rules: int = MAX_RULES) -> list[Channel
 
 def score_struct(rules: Sequence[Rule], features: dict) -> Column:
     """struct(total_score, triggered) of one rule list."""
-    total, names = F.lit(0), []
-    for rule in rules:
-        hit = rule_column(rule.rule, features)
-        total = total + F.when(hit, F.lit(rule.score)).otherwise(F.lit(0))
-        names.append(F.when(hit, F.lit(rule.name)))
-    listed = F.filter(F.array(*names), lambda n: n.isNotNull()) if names else F.array()
-    return F.struct(total.cast("int").alias("total_score"),
-                    listed.cast("array<string>").alias("triggered"))
+    hits = [F.when(rule_column(r.rule, features), F.struct(
+        F.lit(r.name).alias("name"), F.lit(r.score).alias("score"))) for r in rules]
+    if not hits:
+        return F.struct(F.lit(0).alias("total_score"), F.array().cast("array<string>").alias("triggered"))
+    # one flat list of rules: a sum of thousands of terms would be a deep expression
+    hit = F.array_compact(F.array(*hits))
+    total = F.aggregate(hit["score"], F.lit(0).cast("long"), lambda a, s: a + s)
+    return F.struct(total.cast("int").alias("total_score"), hit["name"].alias("triggered"))
 
 
 def score(features: DataFrame, rules: Sequence[Rule], key: str = "payload_number") -> DataFrame:

@@ -94,7 +94,7 @@ def test_run_log_rollups(spark):
     assert {tuple(r) for r in monitor.totals(log).collect()} == {("ok", 160), ("failed", 40)}
     rates = monitor.rate(log).collect()
     assert sum(r.runs for r in rates) == 200 and all(r.per_second == r.runs / 60 for r in rates)
-    by_stage = {r.stage: r for r in monitor.percentiles(log, width=0.1).collect()}
+    by_stage = {r.stage: r for r in monitor.percentiles(log).collect()}
     import numpy as np
     for stage, row in by_stage.items():
         values = [s for st, _, s, _ in rows if st == stage]
@@ -106,6 +106,40 @@ def test_run_log_rollups(spark):
             sum(v <= b for v in values) for b in (0.005, 1, 5, float("inf")))
 
 
+@pytest.mark.parametrize("most", [100_000, 40, 3])
+def test_percentiles_by_refinement(spark, most):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    stages = {"short": rng.random(900) / 1000, "wide": np.exp(rng.normal(0, 30, 700)),
+              "same": np.full(300, 2.5), "one": np.array([7.0]), None: rng.integers(-9, 9, 500) / 4,
+              "two": np.array([1.0, 2.0])}
+    rows = [(stage, float(v)) for stage, values in stages.items() for v in values] + [("none", None), ("two", None)]
+    log = spark.createDataFrame(rows, "stage string, seconds double").repartition(5)
+    found = {r.stage: r for r in monitor.percentiles(log, most=most).collect()}
+    assert set(found) == set(stages)
+    for stage, values in stages.items():
+        for p in monitor.PERCENTILES:
+            assert found[stage][f"p{round(p * 100)}"] == pytest.approx(np.percentile(values, p * 100), rel=1e-12)
+    assert monitor.percentiles(log.limit(0), most=most).count() == 0
+
+
+def test_rate_of_a_stream_with_late_rows(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    for i, seconds in enumerate([(0, 600), (30, 570), (45, 1200)]):
+        rows = [("ok", day + dt.timedelta(seconds=s)) for s in seconds]
+        part = spark.createDataFrame(rows, "status string, started_at timestamp").coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema("status string, started_at timestamp").option(
+        "maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    query = monitor.rate(stream.withWatermark("started_at", "1 minute")).writeStream.format("memory").queryName(
+        "late_rates").outputMode("append").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination()
+    # 00:00:30 comes late but while its window is open, 00:00:45 after that is closed
+    found = {(r.window_start - day).seconds: r.runs for r in spark.table("late_rates").collect()}
+    assert found == {0: 2, 540: 1, 600: 1}
+
+
 def test_rate_of_a_stream(spark, tmp_path):
     log = spark.createDataFrame([("ok", dt.datetime(2024, 1, 1, 0, m)) for m in (0, 0, 1, 5)],
                                 "status string, started_at timestamp")

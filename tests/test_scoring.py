@@ -64,6 +64,20 @@ def test_rules_without_meaning(spark, rule):
         compile_rule(rule, feature_columns(df.schema))
 
 
+def test_large_rules(spark):
+    df = spark.createDataFrame([("t", 5, 2.0)], "payload_number string, n long, f double")
+    texts = [" && ".join(["n > 1"] * 4999), " || ".join(f"n == {i}" for i in range(1000)),
+             " + ".join(["n"] * 90) + " == 450", " + ".join(["n"] * 1000) + " > 0",
+             " && ".join(["n > 1"] * 6000), " && ".join(["f > 1.0", "n < 2"] * 500), "n > 4"]
+    triggered = scoring.score(df, [Rule(f"r{i}", text, 1) for i, text in enumerate(texts)]).first().triggered
+    assert triggered == ["r0", "r1", "r2", "r6"]
+    assert scoring.score(df, [Rule("r", "n > 4", 1)] * 1500).first().total_score == 1500
+    known = feature_columns(df.schema, exclude=("payload_number",))
+    for text in (texts[3], texts[4]):
+        with pytest.raises(RuleError, match="more than"):
+            compile_rule(text, known)
+
+
 def test_channels(spark):
     df = spark.createDataFrame([("t1", 5), ("t2", 50)], "payload_number string, amount long")
     channels = [Channel("a", (Rule("fraud_score", "amount > 10", 85), Rule("risk_score", "amount > 20", 65),
