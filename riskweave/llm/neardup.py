@@ -287,6 +287,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     nodes = valid.join(groups.select(F.col("set_key").alias("key"), "node"), (
         F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key"))).select("node", "buckets", "minima", "n_shingles")
     nodes = work.save(nodes, "nodes")
+    # buckets and minima stay in one table only, that of the class representatives
+    classes = work.save(signed.select("doc_id", "n_shingles", "set_key"), "classes")
+    valid = classes.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
+    work.drop("signed")
     exploded = nodes.select("node", "n_shingles", F.explode("buckets").alias("bucket"))
     shared = work.save(exploded.groupBy(F.col("bucket").alias("k")).agg(
         F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("k", "pivot"), "shared")
@@ -313,6 +317,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         (F.col("copies") > 1) | F.col("component").isNotNull()).select(
         F.col("set_key").alias("key"), F.coalesce("component", "node").alias("component")), "answers")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return signed.join(answers, F.col("set_key") == F.col("key"), "left").select(
+    return classes.join(answers, F.col("set_key") == F.col("key"), "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
