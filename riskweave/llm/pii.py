@@ -5,13 +5,13 @@ pattern and check. Beside them, generators of high recall propose wider spans:
 number chains with any usual separators, and addresses with written-out signs.
 Boosted trees score each proposal for each kind from its format and context.
 
-There are no marked documents, so the trees learn from the corpus itself, on a
-bounded sample of documents for each kind: checked base spans and rewritten forms of them (without country
+There are no marked documents, so the trees learn from the corpus itself, from
+every document: checked base spans and rewritten forms of them (without country
 sign, with other separators, with spelt-out signs) are positive, all other
-proposals negative. The features are small integers, so the sample is reduced
+proposals negative. The features are small integers, so the corpus is reduced
 to counts per pattern by Spark; the trees are grown over these and become one
 Column. A kind's threshold is the least score that is precise enough on the
-sample's held-out part; without such a score the kind adds nothing.
+held-out third; without such a score the kind adds nothing.
 
 Patterns equal the plain ones but take possessive quantifiers and begin only
 where a run begins, so no text, however long, is scanned more than a few times.
@@ -46,7 +46,7 @@ RUN, PART_DIGITS = r"[+(]?[0-9]++", (8, 19)
 #: Words before a span that speak for a kind, in the order of KINDS.
 CUES = ("mail|contact|write to|correo|courriel", r"\bip\b|host|server|servidor|serveur",
         "card|visa|credit|karte|carte|tarjeta|iban|konto", "phone|tel|call|mobil|fax|handy|cell|llam")
-#: Documents with a kind, and others, that the trees learn from at most.
+#: Documents with a kind, and others, that ``sample`` picks at most.
 SAMPLE = 4000
 TREES, RATE, LEAST = 24, 0.3, 5.0
 #: Precision that a score must reach on held-out proposals before it adds spans.
@@ -328,7 +328,7 @@ def _rewritten(s: Column, kind: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """``doc_id, weight`` of the documents to learn from, by least hash: for each kind those with a checked base span
+    """``doc_id, weight`` of some documents, for a quick trial of ``learn``, by least hash: for each kind those with a checked base span
     of it, and others that hold a digit or an @, ``SAMPLE`` of each at most.
 
     ``weight`` is one over the chance of a document to be picked, so what is rare counts as rare.
@@ -355,24 +355,32 @@ def _order() -> Column:
     return F.xxhash64("doc_id", F.lit(10))
 
 
-def learn(docs: DataFrame) -> dict[str, Boosted]:
-    """A model per kind from the sample.
+def learn(docs: DataFrame, picked: DataFrame | None = None) -> dict[str, Boosted]:
+    """A model per kind from all rows, or from the ``doc_id, weight`` of ``picked`` (see ``sample``).
 
-    What comes to the driver are weighted counts per feature pattern of that sample.
+    What comes to the driver are (weighted) counts per feature pattern. Features are capped small integers, so
+    patterns grow far slower than the rows.
     """
     text = F.coalesce("text", F.lit(""))
-    # Some ids a kind: the texts need no shuffle.
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample(docs)), "doc_id")
-    rows = rows.select("weight", F.pmod(_order(), F.lit(3)).alias("fold"), base_spans(F.col("text")).alias("base"),
+    rows = docs.select("doc_id", text.alias("text"), F.lit(1.0).alias("weight"))
+    if picked is not None:
+        # Some ids a kind: the texts need no shuffle.
+        rows = rows.drop("weight").join(F.broadcast(picked), "doc_id")
+    rows = rows.select("weight", (F.pmod(_order(), F.lit(3)) == 0).alias("held"), base_spans(F.col("text")).alias("base"),
                        proposals(F.col("text")).alias("proposed"))
-    positive = rows.select("weight", "fold", F.explode("base").alias("b")).select(
-        "weight", "fold", F.col("b.kind").alias("kind"), F.explode(_rewritten(F.col("b.s"), F.col("b.kind"))).alias("s"),
-        F.col("b.before").alias("before"), F.col("b.after").alias("after"))
-    negative = rows.select("weight", "fold", F.explode(_free(F.col("proposed"), F.col("base"))).alias("p")).select(
-        "weight", "fold", F.lit("none").alias("kind"), "p.s", "p.before", "p.after", "p.is_mail")
-    cases = positive.withColumn("is_mail", F.col("kind") == "email").unionByName(negative)
-    counted = cases.select("weight", (F.col("fold") == 0).alias("held"), "kind", features(
-        F.col("s"), F.col("before"), F.col("after"), F.col("is_mail")).alias("f")).groupBy(
+
+    def case(x: Column, kind: Column, s: Column, is_mail: Column) -> Column:
+        return F.struct(kind.alias("kind"), s.alias("s"), x["before"].alias("before"), x["after"].alias("after"),
+                        is_mail.alias("is_mail"))
+
+    positive = F.flatten(F.transform("base", lambda b: F.transform(
+        _rewritten(b["s"], b["kind"]), lambda s: case(b, b["kind"], s, b["kind"] == "email"))))
+    negative = F.transform(_free(F.col("proposed"), F.col("base")), lambda p: case(
+        p, F.lit("none"), p["s"], p["is_mail"]))
+    # Both in one array: spans are found once for each text.
+    cases = rows.select("weight", "held", F.explode(F.concat(positive, negative)).alias("c"))
+    counted = cases.select("weight", "held", "c.kind", features(
+        F.col("c.s"), F.col("c.before"), F.col("c.after"), F.col("c.is_mail")).alias("f")).groupBy(
         "held", "kind", "f").agg(F.sum("weight").alias("n")).collect()
     patterns: dict[tuple, dict] = {}
     for r in counted:

@@ -175,3 +175,14 @@ def test_neighbouring_numbers(spark, models):
     assert got[0] == [("ip", "10.0.0.1"), ("card", wanted[0][0])] and got[1] == [("card", wanted[1][0])]
     assert [k for k, _ in got[2]] == ["phone"] and "555-8013" in got[2][0][1]
     assert got[3] == [("card", w) for w in wanted[3]]
+
+
+def test_trees_learn_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 10)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("pay by card 4111 1111 1111 1111 soon").alias(
+        "text"))
+    ones, boost = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda rows, a, b: ones.append(sum(a)) or boost(rows, a, b))
+    pii.learn(docs)
+    fitted = docs.where(F.pmod(pii._order(), F.lit(3)) != 0).count()
+    assert ones == [3.0 * fitted]  # three ways to write a card
