@@ -16,7 +16,7 @@ from riskweave.functions.enums import SHIPMENT_TYPES
 from riskweave.functions.filters import Condition, Elements, Group
 from riskweave.operators import matching, versions
 from riskweave.plans.domain import ORDERS
-from riskweave.session import shared_path
+from riskweave.session import spread, written
 from riskweave.sources import order_json
 from riskweave.sources.tables import Tables
 
@@ -101,8 +101,9 @@ def _delivery() -> Column:
 
 def documents(t: Tables) -> DataFrame:
     """One JSON line per order, with all members of an order document."""
+    # few rows of the tables fill a file part, and each becomes a long line that is parsed: dealt evenly
     rows = t.orders.join(t.customer, F.col("o_custkey") == _c()).join(
-        t.nation, _n() == F.col("n_nationkey"))
+        t.nation, _n() == F.col("n_nationkey")).repartition(spread(t.spark), "o_orderkey")
     ordered = _later(F.col("o_orderdate"), _o() % 86400)
     reported = _later(ordered, _o() * 7 % 4000 - 30)
     status = F.col("o_orderstatus")
@@ -159,11 +160,13 @@ def transaction_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     arrived = F.lit("2024-01-01 00:00:00").cast("timestamp")
     number = F.substring("payload_number", 2, 20).cast("long")
-    batch = order_json.import_batch(_good(spark, sf_dir).withColumns({
+    # written once, as marks and labels read it again; of the payload what is shown
+    shown_part = F.struct(F.struct(F.col("payload.order.channelDetail").alias("channelDetail")).alias("order"))
+    batch = written(order_json.import_batch(_good(spark, sf_dir).withColumns({
         "arrived_at": arrived, "source_file": F.lit("orders.json")})).withColumns({
             "id": F.col("payload_number"), "transaction_version": F.lit(1), "is_latest": F.lit(True),
             "label": F.lit(None).cast(versions.LABEL_TYPE),
-            "comment": F.when(number % 4 == 0, "checked")})
+            "comment": F.when(number % 4 == 0, "checked")}).withColumn("payload", shown_part), "imported")
     marked = versions.mark_processed(batch, batch.filter(number % 3 == 0).select("id"), now)
     labelled = versions.label_transactions(
         marked, batch.filter(number % 10 == 0).select("payload_number"), "Fraud", "stolen card",
@@ -179,9 +182,7 @@ def transaction_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payloads as a nested table."""
-    path = shared_path(spark, "payloads")
-    _good(spark, sf_dir).select("payload").write.parquet(path)
-    return spark.read.parquet(path)
+    return written(_good(spark, sf_dir).select("payload"), "payloads")
 
 
 def payload_registry() -> dict:

@@ -129,11 +129,16 @@ def reject_reason(payload: Column | None = None) -> Column:
     return reason
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """Rows with the ``reason`` why they cannot be imported, or null."""
+    return rows.withColumn("reason", reject_reason())
+
+
 def split_rejected(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(importable rows, rejected rows with reason)."""
-    judged = rows.withColumn("reason", reject_reason())
-    good = judged.filter(F.col("reason").isNull()).drop("reason", CORRUPT)
-    return good, judged.filter(F.col("reason").isNotNull())
+    """(importable rows, rejected rows with reason); rows that are judged already are only split."""
+    seen = rows if "reason" in rows.columns else judged(rows)
+    good = seen.filter(F.col("reason").isNull()).drop("reason", CORRUPT)
+    return good, seen.filter(F.col("reason").isNotNull())
 
 
 def import_batch(good: DataFrame, also: Sequence[str] = ()) -> DataFrame:
