@@ -21,16 +21,16 @@ LINK = ["a_id", "b_id", "matcher"]
 
 
 def _strongest(df: DataFrame) -> DataFrame:
-    """One row per pair and matcher: highest confidence, then importance."""
-    best = df.groupBy(*LINK).agg(F.max(F.struct("confidence", "importance")).alias("best"))
-    return best.select(*LINK, "best.confidence", "best.importance")
+    """One row per pair and matcher: highest confidence, then importance.
 
+    Rows are dealt by pair, which also serves who goes on to group by pairs.
+    """
+    best = df.repartition("a_id", "b_id").groupBy(*LINK).agg(F.max(F.struct("confidence", "importance")).alias("best"))
+    return best.select(*LINK, "best.confidence", "best.importance")
 
-def pair_links(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Unordered pairs (a_id < b_id) and the matchers that link them.
 
-    With ``roots`` (``payload_number``), all pairs that hold one of them.
-    """
+def _pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs of each node's members, once for every node they share."""
     left = shared.select(F.col("payload_number").alias("src"), *NODE, "confidence", "importance")
     right = shared.select(F.col("payload_number").alias("dst"), *NODE)
     if roots is None:
@@ -38,9 +38,17 @@ def pair_links(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     else:
         chosen = roots.select(F.col("payload_number").alias("src")).distinct()
         pairs = left.join(chosen, "src", "left_semi").join(right, NODE).filter("src <> dst")
-    return _strongest(pairs.select(
+    return pairs.select(
         F.least("src", "dst").alias("a_id"), F.greatest("src", "dst").alias("b_id"),
-        "matcher", "confidence", "importance"))
+        "matcher", "confidence", "importance")
+
+
+def pair_links(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs (a_id < b_id) and the matchers that link them.
+
+    With ``roots`` (``payload_number``), all pairs that hold one of them.
+    """
+    return _strongest(_pairs(shared, roots))
 
 
 def edge_summary(shared: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def refresh_links(stored: DataFrame, shared: DataFrame, batch_ids: DataFrame) ->
     ``shared`` is the membership after the batch. The result equals a fresh
     build over it.
     """
-    new = pair_links(shared, batch_ids)
+    new = _pairs(shared, batch_ids)
     return _strongest(stored.select(*new.columns).unionByName(new))
 
 
@@ -74,13 +82,11 @@ def pair_edges(links: DataFrame) -> DataFrame:
     """
     ranked = F.struct((-F.col("confidence")).alias("rank"), F.col("matcher").alias("name"))
     grouped = links.groupBy("a_id", "b_id").agg(
-        F.sort_array(F.collect_set("matcher")).alias("attributes"),
-        F.min(ranked).alias("best"),
-        F.sort_array(F.collect_set(ranked)).alias("ranked"))
+        F.array_distinct(F.sort_array(F.collect_list(ranked))).alias("ranked"))
+    best = F.element_at("ranked", 1)
     return grouped.select(
-        "a_id", "b_id", "attributes",
-        F.col("best.name").alias("best_attribute"),
-        (-F.col("best.rank")).alias("best_confidence"),
+        "a_id", "b_id", F.sort_array(F.array_distinct(F.array_compact(F.col("ranked.name")))).alias("attributes"),
+        best["name"].alias("best_attribute"), (-best["rank"]).alias("best_confidence"),
         F.transform("ranked", lambda r: F.struct(
             r["name"].alias("name"), (-r["rank"]).alias("confidence"))).alias("connection_types"))
 
@@ -143,11 +149,14 @@ def direct_counts(shared: DataFrame, roots: DataFrame | None = None) -> DataFram
     per_root = cut_lineage(shared.groupBy("payload_number", "matcher").agg(
         *_profile_key(), F.max(F.struct("size", "value")).alias("largest")))
     several = per_root.filter("node_count > 1")
+    # as few as the configuration names; joined by matcher, all rows of one would meet in one task
+    matchers = [r["matcher"] for r in several.select("matcher").distinct().collect()]
     counts = per_root.filter("node_count = 1").select(
         "payload_number", (F.col("largest.size") - 1).alias("n"))
-    if not several.isEmpty():
+    if matchers:
+        of_several = F.col("matcher").isin(matchers)
         counts = counts.unionByName(several.join(
-            _beyond_largest(shared, per_root, profile), profile, "left").select(
+            _beyond_largest(shared.filter(of_several), per_root.filter(of_several), profile), profile, "left").select(
             "payload_number",
             (F.col("largest.size") - 1 + F.coalesce("extra", F.lit(0))).alias("n")))
     return counts.groupBy("payload_number").agg(F.sum("n").alias("direct_connection_count"))
@@ -155,9 +164,8 @@ def direct_counts(shared: DataFrame, roots: DataFrame | None = None) -> DataFram
 
 def _beyond_largest(shared: DataFrame, per_root: DataFrame, profile: list[str]) -> DataFrame:
     """Per set of nodes: partners that are not members of its largest node."""
-    matchers = per_root.filter("node_count > 1").select("matcher").distinct()
     profiles = cut_lineage(shared.select("payload_number", *NODE).join(
-        per_root.join(matchers, "matcher", "left_semi"), ["payload_number", "matcher"]).groupBy(
+        per_root, ["payload_number", "matcher"]).groupBy(
         *profile, "value").agg(F.count("payload_number").alias("weight"),
                                F.any_value("largest").alias("largest")))
     mine = profiles.filter("node_count > 1 AND value <> largest.value").select(
