@@ -31,7 +31,7 @@ from riskweave.llm.common import add_columns
 #: Bytes of the pieces merged in step; longer ones are merged alone.
 WIDTHS = (8, 16, 32, 64)
 #: Bytes of pieces and ids that a task remembers, an overhead for each included.
-REMEMBERED, OVERHEAD = 32 << 20, 160
+REMEMBERED, OVERHEAD = 8 << 20, 160
 _NONE = 1 << 60
 
 ADDED = T.StructType([

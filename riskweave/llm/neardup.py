@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import Workspace, prepare_workers, slices, tidy
+from riskweave.llm.common import Workspace, bound_batches, prepare_workers, slices, tidy
 
 SHINGLE = 3
 #: A pair of similarity 0.85 shares no bucket with a chance of 4e-7.
@@ -278,6 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     spark = docs.sparkSession
     prepare_workers(spark)
+    bound_batches(spark)
     work = Workspace(spark, "neardup")
     least = percent / 100 - SLACK
     signed = work.save(sign(docs, size), "signed")
