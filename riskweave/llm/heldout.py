@@ -143,9 +143,15 @@ class HeldOut:
             [keys_of(t, self.order, self.bits) for t in some[a:b]])) for a, b in parts[n]])) for n, some in texts.items()}
         tables: dict[int, dict[int, tuple]] = {n: {} for n in texts}
         for size in range(self.order, 0, -1):
-            for number, found in self._look_up(size, wanted).items():
-                tables[number][size] = wanted[number], *found
-            wanted = {n: _unique(w & (1 << self.bits * (size - 1)) - 1) for n, w in wanted.items()}
+            short = {n: w & (1 << self.bits * (size - 1)) - 1 for n, w in wanted.items()}
+            lower = {n: _unique(s) for n, s in short.items()}
+            for number, (count, about) in self._look_up(size, wanted).items():
+                d = self.discounts.get((size, number), np.zeros(4))
+                about = about.astype(np.float64)
+                # Per n-gram: its count, its context's sum and discounts, and the place of its rest one order below.
+                tables[number][size] = (wanted[number], count, about[:, 3], sum(about[:, i] * d[i + 1] for i in range(3)),
+                                        np.searchsorted(lower[number], short[number]))
+            wanted = lower
         return {n: np.concatenate([self._score_part(n, some[a:b], tables[n]) for a, b in parts[n]])
                 for n, some in texts.items()}
 
@@ -161,23 +167,27 @@ class HeldOut:
         for size in range(self.order, 0, -1):
             if size < self.order:
                 owner_, key_, taken_, place = _distinct(owner_, key_ & (1 << self.bits * size) - 1, taken)
-            known, count, about = tables[size]
-            back = np.searchsorted(known, key_)
-            count, about = count[back], about[back].astype(np.float64)
+                upper, back = tables[size + 1][4][back], np.empty(len(key_), np.int64)
+                back[place] = upper
+            known, count, total, held, _ = tables[size]
+            if size == self.order:
+                # By way of the part's own n-grams, few enough for the cache.
+                own = _unique(key_)
+                back = np.searchsorted(known, own)[np.searchsorted(own, key_)]
+            count, total, held = count[back], total[back], held[back]
             d = self.discounts.get((size, number), np.zeros(4))
             if size == self.order:
                 # What is not written stands in this text alone.
                 count = np.where(count, count, taken_)
             taken_ = np.minimum(taken_, count)
             left = count - taken_
-            held = sum(about[:, i] * d[i + 1] for i in range(3))
             short = key_ >> self.bits
             # Pairs are in order, so those of a context stand together.
             context = owner_ if size == 1 else np.cumsum(
                 np.r_[False, (short[1:] != short[:-1]) | (owner_[1:] != owner_[:-1])][:len(key_)])
             lost = lambda x, c=context: np.bincount(c, x)[c]
             after = d[np.minimum(left, 3)]
-            total = about[:, 3] - lost(taken_)
+            total = total - lost(taken_)
             held = np.maximum(held - lost(d[np.minimum(count, 3)] - after), 0.0)
             levels[size] = left - after, total, held, place
             # What a text alone has seen goes from the number of distinct tokens before its rest.

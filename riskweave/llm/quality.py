@@ -60,6 +60,7 @@ SIGNS = "#*$%&|<>"
 
 BASE = T.StructType([T.StructField(n, T.LongType()) for n in (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -85,18 +86,17 @@ def _repeated_words(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    numbers = dict(zip(words, range(n), strict=True))
-    if len(numbers) == n:
-        return 0
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
-    pair = ids[:-1] * n + ids[1:]
-    if n ** 3 >= 1 << 62:  # keep the key of three words within an integer
-        pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    window = pair[:-1] * n + ids[2:]
-    order = np.argsort(window)
-    same = np.diff(window[order]) == 0
+    # Equal windows have equal sums of hashes; that equal sums are those of equal windows is checked.
+    mixed = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+    sums = mixed[:-2] * _ODD[0] + mixed[1:-1] * _ODD[1] + mixed[2:] * _ODD[2]
+    order = np.argsort(sums)
+    sums = sums[order]
+    same = sums[1:] == sums[:-1]
     if not same.any():
         return 0
+    if not all(words[i:i + 3] == words[j:j + 3] for i, j in zip(
+            order[:-1][same].tolist(), order[1:][same].tolist(), strict=True)):
+        order, same = _numbered_windows(words)
     twice = np.empty(n - 2, dtype=bool)
     twice[order] = np.r_[same, False] | np.r_[False, same]
     covered = np.zeros(n, dtype=bool)
@@ -105,6 +105,14 @@ def _repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _numbered_windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows that has equal ones together, and whether each equals the next."""
+    n, numbers = len(words), {}
+    ids = [numbers.setdefault(tuple(words[i:i + 3]), i) for i in range(n - 2)]
+    order = np.argsort(ids, kind="stable")
+    return order, np.diff(np.asarray(ids)[order]) == 0
+
+
 # -- symbols
 
 def _symbol_table() -> np.ndarray:

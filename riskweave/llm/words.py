@@ -30,6 +30,12 @@ def _classes() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """The mixed value of every code point."""
+    return _mixed(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
@@ -40,7 +46,7 @@ class Words:
     """Hashes the lower-cased words and signs of a text; 0 stands at both ends."""
 
     def __init__(self):
-        self.classes = _classes()
+        self.classes, self.letters = _classes(), _letters()
         self.powers = np.full(256, _PRIME).cumprod()
 
     def __call__(self, text: str) -> np.ndarray:
@@ -51,12 +57,14 @@ class Words:
         first = np.flatnonzero(starts)
         if not len(first):
             return np.zeros(0, np.int64)
-        inside = np.arange(len(code)) - first[np.maximum(np.cumsum(starts) - 1, 0)]
-        longest = int(inside[kind != 0].max()) + 1
+        # White space adds nothing to a word, so it goes, and words stand end to end.
+        dark = np.flatnonzero(kind)
+        first = np.flatnonzero(starts[dark])
+        sizes = np.diff(first, append=len(dark))
+        longest = int(sizes.max())
         if longest > len(self.powers):
             self.powers = np.full(longest, _PRIME).cumprod()
-        value = _mixed(code.astype(np.uint64) + np.uint64(1)) * self.powers[np.clip(inside, 0, longest - 1)]
-        value[kind == 0] = 0
-        # White space after a word adds nothing to it.
+        inside = np.arange(len(dark)) - np.repeat(first, sizes)
+        value = self.letters[code[dark]] * self.powers[inside]
         hashed = _mixed(np.add.reduceat(value, first)) >> np.uint64(64 - BITS)
         return np.concatenate([[0], np.maximum(hashed.astype(np.int64), 1), [0]])
