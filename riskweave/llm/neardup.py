@@ -8,7 +8,7 @@
    are joined to components.
 4. A bucket whose members are not yet in one component is opened again: its
    members outside the bucket's largest component are compared with all members
-   of other components, in blocks. Two members of the largest component need no
+   of other components, in blocks, the least member aside. Two members of the largest component need no
    comparison, as they are together already. So no link is lost, and a large
    group of near copies costs its stragglers times its size, not its square.
 5. Components are found by alternating large-star and small-star until the edges
@@ -40,6 +40,8 @@ PERCENT = 85
 SLACK = 0.15
 #: Shingles of the members of a block, with their full sets, when a bucket is opened again.
 BLOCK = 1 << 15
+#: Pairs of two blocks that become rows, for each member of these.
+PAIRS = 4
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -198,36 +200,82 @@ def components(links: DataFrame, work: Workspace, name: str = "cc") -> DataFrame
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _unpacked(members: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components and signatures of a block."""
+    return (members.field("node").to_numpy(zero_copy_only=False), members.field("component").to_numpy(
+        zero_copy_only=False), np.frombuffer(b"".join(members.field("minima").to_pylist()), "<u2").reshape(-1, HASHES))
+
+
+def _alike(paired: DataFrame, least: float) -> DataFrame:
+    """``bucket, a, b``: the pairs of a straggler and a member whose share of equal minima is high enough.
+
+    Where two blocks have few such pairs, these are the rows, without a bucket, as most stand in several.
+    Where they have many, the rows are their nodes with the bucket and no ``b``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket = batch.column(0)[i].as_py()
+                (ids, owner, mine), (others, theirs, signed) = (_unpacked(c[i].values) for c in batch.columns[1:])
+                most = PAIRS * (len(ids) + len(others))
+                left, right, pairs = np.zeros(len(ids), dtype=bool), np.zeros(len(others), dtype=bool), set()
+                for j, (node, own, line) in enumerate(zip(ids.tolist(), owner.tolist(), mine, strict=True)):
+                    close = ((signed == line).mean(axis=1) >= least) & (theirs != own)
+                    left[j] = close.any()
+                    right |= close
+                    if len(pairs) <= most:
+                        pairs.update((min(node, n), max(node, n)) for n in others[close].tolist())
+                if len(pairs) <= most:
+                    out = [[None] * len(pairs), *map(list, zip(*pairs, strict=True))] if pairs else [[], [], []]
+                else:
+                    nodes = np.union1d(ids[left], others[right]).tolist()
+                    out = [[bucket] * len(nodes), nodes, [None] * len(nodes)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["bucket", "a", "b"])
+
+    return paired.select("bucket", "x", "y").mapInArrow(tidy(run), "bucket long, a long, b long").distinct()
+
+
 def _open_links(members: DataFrame, found: DataFrame, signatures: DataFrame, sets: DataFrame, work: Workspace,
                 least: float, percent: int) -> DataFrame:
     """``a, b``: links between different components of a bucket, confirmed on full sets in blocks.
 
     A straggler needs one link to a component only, so its candidates of a
-    component are tried from the likeliest on until one holds. Pairs never
-    become rows: a row holds a block of stragglers and a block of members.
+    component are tried from the likeliest on until one holds. A row holds a
+    block of stragglers and a block of members, first with signatures only.
+    Few pairs that are alike become rows; for many, the blocks of their nodes
+    come again with full sets.
     """
-    placed = work.save(members.join(found, "node", "left").select(
+    # Every pair with the least member has been compared.
+    placed = work.save(members.where("node <> pivot").join(found, "node", "left").select(
         "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "placed")
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     state = work.save(parts.groupBy(F.col("bucket").alias("k")).agg(
         F.count(F.lit(1)).alias("parts"), F.sum("s").alias("all"),
         F.max_by(F.struct("component", "s"), F.struct("n", "component")).alias("top")).where("parts > 1"), "open")
     opened = work.save(placed.join(state, F.col("bucket") == F.col("k")).select(
-        "bucket", "node", "component", F.col("top.component").alias("main"), "all",
+        "bucket", "node", "component", F.col("top.component").alias("main"), "n_shingles", "all",
         (F.col("all") - F.col("top.s")).alias("others")), "opened")
-    # The sets are joined last and only for open buckets; their blocks are not written out.
-    full = signatures.join(sets, "node").join(opened.select("node").distinct(), "node", "left_semi")
-    filled = opened.join(full, "node")
-    outside = filled.where("component <> main")
-    items = F.collect_list(F.struct("node", "component", "minima", "shingles"))
-    slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK).cast("int")).alias("slot")
-    left = outside.groupBy("bucket", slot(F.col("others"))).agg(items.alias("x")).drop("slot")
-    right = filled.groupBy("bucket", slot(F.col("all"))).agg(items.alias("y")).drop("slot")
-
-    def unpack(column: pa.Array):
-        return (column.field("node").to_numpy(zero_copy_only=False), column.field("component").to_numpy(
-            zero_copy_only=False), np.frombuffer(b"".join(column.field("minima").to_pylist()), "<u2").reshape(
-            -1, HASHES), [np.frombuffer(x, "<u8") for x in column.field("shingles").to_pylist()])
+
+    def blocks(rows: DataFrame, *fields: str) -> DataFrame:
+        """``bucket, x, y``: every block of stragglers beside every block of members."""
+        items = F.collect_list(F.struct("node", "component", *fields))
+        slot = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK).cast("int")).alias("slot")
+        left = rows.where("component <> main").groupBy("bucket", slot(F.col("others"))).agg(items.alias("x"))
+        right = rows.groupBy("bucket", slot(F.col("all"))).agg(items.alias("y"))
+        return left.drop("slot").join(right.drop("slot"), "bucket")
+
+    # A set is many times a signature and would go to all buckets that its node is in, so signatures go there first.
+    alike = work.save(_alike(blocks(opened.join(signatures, "node"), "minima"), least), "alike")
+    few = _confirmed(alike.where("b IS NOT NULL").select("a", "b"), sets, percent)
+    many = alike.where("b IS NULL").select("bucket", F.col("a").alias("node"))
+    members = opened.drop("all", "others").join(many, ["bucket", "node"], "left_semi")
+    sums = members.groupBy(F.col("bucket").alias("k")).agg(
+        F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("component") != F.col("main"), F.col("n_shingles")).otherwise(
+            0)).alias("others"))
+    members = work.save(members.join(sums, F.col("bucket") == F.col("k")).drop("k"), "candidates")
+    # The sets are joined last; their blocks are not written out.
+    full = signatures.join(sets, "node").join(members.select("node").distinct(), "node", "left_semi")
+    paired = blocks(members.join(full, "node"), "minima", "shingles").select("x", "y")
 
     def holds(x: np.ndarray, y: np.ndarray) -> bool:
         if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -239,8 +287,9 @@ def _open_links(members: DataFrame, found: DataFrame, signatures: DataFrame, set
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, owner, mine, my_sets = unpack(batch.column(0)[i].values)
-                others, theirs, signed, their_sets = unpack(batch.column(1)[i].values)
+                (ids, owner, mine), (others, theirs, signed) = (_unpacked(c[i].values) for c in batch.columns)
+                my_sets, their_sets = ([np.frombuffer(x, "<u8") for x in c[i].values.field("shingles").to_pylist()]
+                                       for c in batch.columns)
                 out: tuple[list, list] = ([], [])
                 for node, own, line, full in zip(ids.tolist(), owner.tolist(), mine, my_sets, strict=True):
                     share = (signed == line).mean(axis=1)
@@ -253,8 +302,8 @@ def _open_links(members: DataFrame, found: DataFrame, signatures: DataFrame, set
                             out[1].append(int(others[j]))
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["a", "b"])
 
-    return left.join(right, "bucket").select("x", "y").mapInArrow(tidy(run), "a long, b long").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return paired.mapInArrow(tidy(run), "a long, b long").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(few).distinct()
 
 
 def _same_id(valid: DataFrame, groups: DataFrame, work: Workspace) -> DataFrame:
@@ -310,7 +359,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     found = work.save(components(links, work, "cc1"), "found1")
     work.drop("links")
     fresh = work.save(_open_links(members, found, signatures, sets, work, least, percent), "fresh")
-    work.drop("members", "signatures", "sets", "placed", "open", "opened")
+    work.drop("members", "signatures", "sets", "placed", "open", "opened", "alike", "candidates")
     if fresh.limit(1).count():
         joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)
         found = work.save(components(joined, work, "cc2"), "found2")

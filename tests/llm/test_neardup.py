@@ -75,6 +75,53 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     compare(neardup.near_duplicates(frame), docs)
 
 
+def _kept_tables(monkeypatch, *names):
+    """Rows of the tables of these names, as they are written."""
+    rows, save = {}, neardup.Workspace.save
+
+    def saved(self, df, name, folders=()):
+        out = save(self, df, name, folders)
+        if name in names:
+            rows[name] = [tuple(r) for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(neardup.Workspace, "save", saved)
+    return rows
+
+
+def _like_groups(groups, size):
+    """Groups of texts that are alike, most pairs of them below the threshold."""
+    rng, docs = random.Random(8), {}
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for i in range(size):
+            words = list(base)
+            for at in rng.sample(range(200), 4):
+                words[at] = f"x{rng.randrange(1 << 40)}"
+            docs[g * size + i] = " ".join(words)
+    return docs
+
+
+def test_sets_do_not_go_to_every_bucket_of_their_node(spark, monkeypatch):
+    docs = _like_groups(30, 3)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    rows = _kept_tables(monkeypatch, "opened", "alike", "candidates")
+    compare(neardup.near_duplicates(frame), docs)
+    # Only the two that are not least in a bucket are compared again, in many buckets by signature, by set once.
+    assert len(rows["opened"]) > 100
+    assert rows["alike"] and len(rows["alike"]) == len({r[1:] for r in rows["alike"]}) <= 90
+    assert not rows["candidates"]
+
+
+def test_many_alike_pairs_go_as_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 0)
+    docs = _like_groups(6, 9)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    rows = _kept_tables(monkeypatch, "alike", "candidates")
+    compare(neardup.near_duplicates(frame), docs)
+    assert rows["candidates"] and all(r[2] is None for r in rows["alike"])
+
+
 def test_nulls_short_texts_repeats_and_other_columns(spark):
     rows = [(5, "One two  three\nfour"), (3, "one TWO three four"), (4, "a b"), (9, "A\tb"), (8, "b a"), (7, "É x"),
             (6, "é x"), (1, ""), (2, None), (10, " \n"), (11, "a\x85b c d"), (12, "a b c d"), (20, "w " * 90_000),
