@@ -43,10 +43,31 @@ def _unique(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]][:len(x)]]
 
 
+def _fresh(x: np.ndarray) -> np.ndarray:
+    """Places at which an ascending list has another value than before."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][:len(x)])
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and the place of each among them."""
+    size, digits = len(x), len(x).bit_length()
+    if size and int(x.max()).bit_length() + digits < 63:
+        # As below, a value's place rides with it.
+        ranked = np.sort(x << digits | np.arange(size))
+        order = ranked & (1 << digits) - 1
+        ranked >>= digits
+        fresh = np.r_[True, ranked[1:] != ranked[:-1]]
+        place = np.empty(size, dtype=np.int64)
+        place[order] = np.cumsum(fresh) - 1
+        return ranked[fresh], place
+    own = _unique(x)
+    return own, np.searchsorted(own, x)
+
+
 def _distinct(owner: np.ndarray, key: np.ndarray, n: np.ndarray):
     """Sorted distinct pairs, their sums of ``n`` and the pair of each place."""
     size = len(key)
-    bits, digits = (int(x.max()).bit_length() if size else 0 for x in (key, np.arange(size)))
+    bits, digits = int(key.max()).bit_length() if size else 0, size.bit_length()
     if bits + digits + int(owner.max() if size else 0).bit_length() < 63:
         # The place rides below the pair: sorting values is cheaper than ordering places.
         pair = np.sort((owner << bits | key) << digits | np.arange(size))
@@ -98,7 +119,10 @@ class HeldOut:
 
         Each file is read once for all languages.
         """
-        out = {n: (np.zeros(len(w), np.int64), np.zeros((len(w), 4), np.int64)) for n, w in wanted.items()}
+        counts = {n: np.zeros(len(w), np.int64) for n, w in wanted.items()}
+        firsts = {n: _fresh(w >> self.bits) for n, w in wanted.items()}
+        contexts = {n: wanted[n][first] >> self.bits for n, first in firsts.items()}
+        about = {n: np.zeros((len(c), 4), np.int64) for n, c in contexts.items()}
         if size == self.order:
             places = {}
             for number, keys in wanted.items():
@@ -109,25 +133,24 @@ class HeldOut:
                 mine = {n: p[r] for n, p in places.items() if len(p[r])}
                 for uri in files if mine else []:
                     for number, (key, c) in _read(uri, mine, ["key", "c"]):
-                        _fill(key, c, wanted[number][mine[number]], mine[number], out[number][0])
+                        _fill(key, c, wanted[number][mine[number]], mine[number], counts[number])
             for uri in self.about:
                 for number, (context, *sums) in _read(uri, wanted, ["context", "n1", "n2", "more", "total"]):
-                    _fill(context, np.stack(sums, axis=1), wanted[number] >> self.bits,
-                          np.arange(len(wanted[number])), out[number][1])
-            return out
-        for uri in self.files[size]:
-            for number, (context, following, c) in _read(uri, wanted, ["context", "next", "c"]):
-                keys, all_of = wanted[number], np.arange(len(wanted[number]))
-                _fill(context.astype(np.int64) << self.bits | following, c, keys, all_of, out[number][0])
-                if size > 1:
-                    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-                    sums = np.stack([np.add.reduceat(x, first) for x in (
-                        (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64), c)], axis=1)
-                    _fill(context[first], sums, keys >> self.bits, all_of, out[number][1])
+                    _fill(context, np.stack(sums, axis=1), contexts[number], None, about[number])
+        else:
+            for uri in self.files[size]:
+                for number, (context, following, c) in _read(uri, wanted, ["context", "next", "c"]):
+                    _fill(context.astype(np.int64) << self.bits | following, c, wanted[number], None, counts[number])
+                    if size > 1:
+                        first = _fresh(context)
+                        sums = np.stack([np.add.reduceat(x, first) for x in (
+                            (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64), c)], axis=1)
+                        _fill(context[first], sums, contexts[number], None, about[number])
         if size == 1:
             for number in wanted:
-                out[number][1][:] = self.whole.get((1, number), 0)
-        return out
+                about[number][:] = self.whole.get((1, number), 0)
+        return {n: (counts[n], np.repeat(about[n], np.diff(firsts[n], append=len(w)), axis=0))
+                for n, w in wanted.items()}
 
     def score(self, number: int, texts: list[np.ndarray]) -> np.ndarray:
         """``score_all`` for texts of one language."""
@@ -172,8 +195,8 @@ class HeldOut:
             known, count, total, held, _ = tables[size]
             if size == self.order:
                 # By way of the part's own n-grams, few enough for the cache.
-                own = _unique(key_)
-                back = np.searchsorted(known, own)[np.searchsorted(own, key_)]
+                own, place_ = _numbered(key_)
+                back = np.searchsorted(known, own)[place_]
             count, total, held = count[back], total[back], held[back]
             d = self.discounts.get((size, number), np.zeros(4))
             if size == self.order:
@@ -236,12 +259,23 @@ def _read(uri: str, numbers: Iterable[int], columns: list[str]) -> Iterator[tupl
         yield n, [x[at] for x in rest]
 
 
-def _fill(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
-    """Write the values of ascending ``keys`` to ``out`` where they are wanted."""
-    if len(keys):
+def _fill(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, places: np.ndarray | None, out: np.ndarray) -> None:
+    """Write the values of ascending ``keys`` to ``out`` where they are wanted.
+
+    Both lists are ascending and distinct; the shorter one is looked up in the
+    longer one, as a file has few of the keys of a task, or a task few of a file's.
+    """
+    if not len(keys) or not len(wanted):
+        return
+    if len(keys) < len(wanted):
+        at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        hit = wanted[at] == keys
+        to, values = at[hit], values[hit]
+    else:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        out[places[hit]] = values[at[hit]]
+        to = np.flatnonzero(keys[at] == wanted)
+        values = values[at[to]]
+    out[to if places is None else places[to]] = values
 
 
 def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:

@@ -89,11 +89,11 @@ def _repeated_words(words: list[bytes]) -> int:
     # Equal windows have equal sums of hashes; that equal sums are those of equal windows is checked.
     mixed = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
     sums = mixed[:-2] * _ODD[0] + mixed[1:-1] * _ODD[1] + mixed[2:] * _ODD[2]
-    order = np.argsort(sums)
-    sums = sums[order]
-    same = sums[1:] == sums[:-1]
-    if not same.any():
+    ranked = np.sort(sums)
+    if not (ranked[1:] == ranked[:-1]).any():
         return 0
+    order = np.argsort(sums)
+    same = ranked[1:] == ranked[:-1]
     if not all(words[i:i + 3] == words[j:j + 3] for i, j in zip(
             order[:-1][same].tolist(), order[1:][same].tolist(), strict=True)):
         order, same = _numbered_windows(words)

@@ -19,7 +19,8 @@ _UNSPACED = ((0x0E00, 0x0E80), (0x0E80, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x18
 def _classes() -> np.ndarray:
     """0: white space, 1: part of a word, 2: a word by itself."""
     table = np.full(0x110000, 2, dtype=np.uint8)
-    for i in range(0x110000):
+    # The planes left out have no white space, letters or marks.
+    for i in (*range(0x40000), *range(0xE0000, 0xE1000)):
         c = chr(i)
         if c.isspace():
             table[i] = 0

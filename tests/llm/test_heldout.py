@@ -137,3 +137,44 @@ def test_repeated_words_equal_a_plain_count():
         seen = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
         covered = {i + k for i in range(len(words) - 2) if seen[tuple(words[i:i + 3])] > 1 for k in range(3)}
         assert quality._repeated_words(words) == len(covered)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 5_000])
+def test_fill_equals_a_dictionary_whichever_list_is_longer(n):
+    rng = np.random.default_rng(n)
+    keys, wanted = (np.unique(rng.integers(0, 3_000, k)) for k in (n, 400))
+    values, out = rng.integers(1, 99, len(keys)), np.zeros(len(wanted), np.int64)
+    heldout._fill(keys, values, wanted, None, out)
+    held = dict(zip(keys.tolist(), values.tolist(), strict=True))
+    assert out.tolist() == [held.get(k, 0) for k in wanted.tolist()]
+    moved = np.zeros(len(wanted) + 3, np.int64)
+    heldout._fill(keys, values, wanted, np.arange(len(wanted)) + 3, moved)
+    assert moved[3:].tolist() == out.tolist() and not moved[:3].any()
+
+
+@pytest.mark.parametrize("most", [7, 1 << 30, 1 << 62])
+def test_numbered_equals_unique(most):
+    x = np.random.default_rng(most % 97).integers(0, most, 2_000)
+    own, place = heldout._numbered(np.r_[x, x[:500]])
+    assert own.tolist() == sorted(set(x.tolist()))
+    assert (own[place] == np.r_[x, x[:500]]).all()
+    assert [len(a) for a in heldout._numbered(x[:0])] == [0, 0]
+
+
+def test_contexts_are_looked_up_once_for_all_their_ngrams(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(60)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
+    work = Workspace(spark, "lookups")
+    model = heldout.learn(docs, quality.lang_number(), *quality.TOKENS, work)
+    number = docs.select(quality.lang_number().alias("n")).first()[0]
+    found, fill = [], heldout._fill
+
+    def counted(keys, values, wanted, places, out):
+        found.append(len(np.unique(wanted)) == len(wanted))
+        fill(keys, values, wanted, places, out)
+
+    monkeypatch.setattr(heldout, "_fill", counted)
+    fold = quality.Folder()
+    scores = model.score(number, [fold(t) for t in texts])
+    assert found and all(found) and np.isfinite(scores).all()
