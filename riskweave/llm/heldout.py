@@ -14,7 +14,7 @@ those of the whole language.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import Workspace, prepare_workers, slices
 
 #: Tokens that a task adds up, or scores, at a time.
-COUNTED, SCORED = 1 << 22, 1 << 24
+COUNTED, SCORED = 1 << 22, 1 << 25
 #: Tokens of texts whose n-grams are worked on together.
 PART = 1 << 17
 #: Characters of the corpus for each hash range of n-grams.
@@ -114,8 +114,10 @@ class HeldOut:
                 min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.05), i - 0.05) for i in (1, 2, 3)])
             self.whole[size, r.number] = np.array([r.n1, r.n2, r.more, r.total])
 
-    def _look_up(self, size: int, wanted: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By language: counts of ascending keys, and of their contexts: rows counted 1, 2 and more times, their sum.
+    def _look_up(self, size: int, wanted: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, ...]]:
+        """By language: counts of ascending keys, the number of each key's context, and a row for each context.
+
+        The row has how many n-grams of the context are counted 1, 2 and more times, and their sum.
 
         Each file is read once for all languages.
         """
@@ -149,8 +151,8 @@ class HeldOut:
         if size == 1:
             for number in wanted:
                 about[number][:] = self.whole.get((1, number), 0)
-        return {n: (counts[n], np.repeat(about[n], np.diff(firsts[n], append=len(w)), axis=0))
-                for n, w in wanted.items()}
+        return {n: (counts[n], np.repeat(np.arange(len(firsts[n]), dtype=np.int32), np.diff(firsts[n], append=len(w))),
+                    about[n]) for n, w in wanted.items()}
 
     def score(self, number: int, texts: list[np.ndarray]) -> np.ndarray:
         """``score_all`` for texts of one language."""
@@ -168,12 +170,13 @@ class HeldOut:
         for size in range(self.order, 0, -1):
             short = {n: w & (1 << self.bits * (size - 1)) - 1 for n, w in wanted.items()}
             lower = {n: _unique(s) for n, s in short.items()}
-            for number, (count, about) in self._look_up(size, wanted).items():
+            for number, (count, context, about) in self._look_up(size, wanted).items():
                 d = self.discounts.get((size, number), np.zeros(4))
                 about = about.astype(np.float64)
-                # Per n-gram: its count, its context's sum and discounts, and the place of its rest one order below.
-                tables[number][size] = (wanted[number], count, about[:, 3], sum(about[:, i] * d[i + 1] for i in range(3)),
-                                        np.searchsorted(lower[number], short[number]))
+                # Per n-gram: its count, its context (with sum and discounts) and the place of its rest one order below.
+                tables[number][size] = (wanted[number], count, context, about[:, 3].copy(),
+                                        sum(about[:, i] * d[i + 1] for i in range(3)),
+                                        np.searchsorted(lower[number], short.pop(number)).astype(np.int32))
             wanted = lower
         return {n: np.concatenate([self._score_part(n, some[a:b], tables[n]) for a, b in parts[n]])
                 for n, some in texts.items()}
@@ -190,14 +193,15 @@ class HeldOut:
         for size in range(self.order, 0, -1):
             if size < self.order:
                 owner_, key_, taken_, place = _distinct(owner_, key_ & (1 << self.bits * size) - 1, taken)
-                upper, back = tables[size + 1][4][back], np.empty(len(key_), np.int64)
+                upper, back = tables[size + 1][5][back], np.empty(len(key_), np.int64)
                 back[place] = upper
-            known, count, total, held, _ = tables[size]
+            known, count, inside, total, held, _ = tables[size]
             if size == self.order:
                 # By way of the part's own n-grams, few enough for the cache.
                 own, place_ = _numbered(key_)
                 back = np.searchsorted(known, own)[place_]
-            count, total, held = count[back], total[back], held[back]
+            count, inside = count[back], inside[back]
+            total, held = total[inside], held[inside]
             d = self.discounts.get((size, number), np.zeros(4))
             if size == self.order:
                 # What is not written stands in this text alone.
@@ -249,14 +253,15 @@ def range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return ((part >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
 
 
-def _read(uri: str, numbers: Iterable[int], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The columns of a file for each of the languages that it has."""
+def _read(uri: str, numbers: Container[int], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of a file for each run of rows of a language."""
     filesystem, path = pafs.FileSystem.from_uri(uri)
     block = pq.ParquetFile(filesystem.open_input_file(path)).read(["number", *columns], use_threads=False)
     number, *rest = (c.to_numpy() for c in block.columns)
-    for n in np.intersect1d(np.unique(number), np.fromiter(numbers, np.int64)).tolist():
-        at = number == n
-        yield n, [x[at] for x in rest]
+    first = _fresh(number)
+    for n, a, b in zip(number[first].tolist(), first.tolist(), [*first[1:].tolist(), len(number)], strict=True):
+        if n in numbers:
+            yield n, [x[a:b] for x in rest]
 
 
 def _fill(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, places: np.ndarray | None, out: np.ndarray) -> None:
@@ -281,13 +286,18 @@ def _fill(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, places: np.n
 def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Ascending keys, their sums, and in how many texts they stand (2 for more)."""
     key, n, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    room = int(n.max()).bit_length() + 2 if len(key) else 0
+    if len(key) and int(key.max()).bit_length() + room < 64:
+        # Counts ride below the key: sorting values is cheaper than ordering places.
+        packed = np.sort(key << room | n << 2 | texts)
+        key, n, texts = packed >> room, packed >> 2 & (1 << room - 2) - 1, packed & 3
+    else:
+        order = np.argsort(key)
+        key, n, texts = key[order], n[order], texts[order].astype(np.int64)
+    first = _fresh(key)
     if not len(first):
         return key, n, texts
-    return (key[first], np.add.reduceat(n[order], first),
-            np.minimum(np.add.reduceat(texts[order].astype(np.int64), first), 2).astype(np.int8))
+    return key[first], np.add.reduceat(n, first), np.minimum(np.add.reduceat(texts, first), 2).astype(np.int8)
 
 
 def _counted(docs: DataFrame, number, make: Callable, order: int, bits: int, ranges: int) -> DataFrame:

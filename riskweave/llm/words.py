@@ -10,6 +10,7 @@ import numpy as np
 #: Bits of a word's hash.
 BITS = 31
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 #: Scripts written without spaces: each character counts as a word.
 _UNSPACED = ((0x0E00, 0x0E80), (0x0E80, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA000),
              (0xF900, 0xFB00), (0x20000, 0x40000))
@@ -48,7 +49,14 @@ class Words:
 
     def __init__(self):
         self.classes, self.letters = _classes(), _letters()
-        self.powers = np.full(256, _PRIME).cumprod()
+        self._reach(1 << 12)
+
+    def _reach(self, size: int) -> None:
+        """Powers for texts of ``size`` characters."""
+        self.powers = np.full(size, _PRIME).cumprod()
+        self.inverse = np.full(size, _INVERSE)
+        self.inverse[0] = 1
+        np.cumprod(self.inverse, out=self.inverse)
 
     def __call__(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -58,14 +66,11 @@ class Words:
         first = np.flatnonzero(starts)
         if not len(first):
             return np.zeros(0, np.int64)
-        # White space adds nothing to a word, so it goes, and words stand end to end.
-        dark = np.flatnonzero(kind)
-        first = np.flatnonzero(starts[dark])
-        sizes = np.diff(first, append=len(dark))
-        longest = int(sizes.max())
-        if longest > len(self.powers):
-            self.powers = np.full(longest, _PRIME).cumprod()
-        inside = np.arange(len(dark)) - np.repeat(first, sizes)
-        value = self.letters[code[dark]] * self.powers[inside]
-        hashed = _mixed(np.add.reduceat(value, first)) >> np.uint64(64 - BITS)
+        if len(code) > len(self.powers):
+            self._reach(2 * len(code))
+        # White space adds nothing to a word. Powers run through the text and are taken back to a word's first letter.
+        value = self.letters[code]
+        value *= self.powers[:len(code)]
+        value[kind == 0] = 0
+        hashed = _mixed(np.add.reduceat(value, first) * self.inverse[first]) >> np.uint64(64 - BITS)
         return np.concatenate([[0], np.maximum(hashed.astype(np.int64), 1), [0]])
