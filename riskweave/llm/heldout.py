@@ -37,14 +37,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SUMS = ["n1", "n2", "n3", "n4", "more", "total"]
 
 
-def _sorted(x: np.ndarray) -> np.ndarray:
-    """Ascending keys; where all fit 32 bits they are sorted as such, which costs half."""
-    return np.sort(x.astype(np.int32)).astype(np.int64) if len(x) and int(x.max()) >> 31 == 0 else np.sort(x)
-
-
 def _unique(x: np.ndarray) -> np.ndarray:
     """Ascending distinct values, by sorting."""
-    x = _sorted(x)
+    x = np.sort(x)
     return x[np.r_[True, x[1:] != x[:-1]][:len(x)]]
 
 
@@ -187,7 +182,7 @@ class HeldOut:
                 for n, some in texts.items()}
 
     def _score_part(self, number: int, texts: list[np.ndarray], tables: dict[int, tuple]) -> np.ndarray:
-        keys = [_sorted(keys_of(t, self.order, self.bits)) for t in texts]
+        keys = [np.sort(keys_of(t, self.order, self.bits)) for t in texts]
         lengths = np.array([len(k) for k in keys], dtype=np.int64)
         # Texts are in order and so is each text's list, so equal pairs stand together.
         owner_, key_ = np.repeat(np.arange(len(keys)), lengths), np.concatenate(keys)
@@ -321,7 +316,7 @@ def _counted(docs: DataFrame, number, make: Callable, order: int, bits: int, ran
             lengths = [n or 0 for n in pa.compute.binary_length(texts).to_pylist()]
             for a, b in slices(lengths, 1 << 20):
                 for number, text in zip(numbers[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
-                    key = _sorted(keys_of(tokens(text or ""), order, bits))
+                    key = np.sort(keys_of(tokens(text or ""), order, bits))
                     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
                     key, n = key[first], np.diff(np.r_[first, len(key)])
                     fresh.setdefault(number, []).append((key, n, np.ones(len(key), np.int8)))
